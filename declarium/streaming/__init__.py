@@ -1,0 +1,4 @@
+"""Empty on purpose: every source of this data is a finite file, re-read as a whole.
+
+The operators take any batch DataFrame; there is no streaming query to offer.
+"""
