@@ -46,7 +46,9 @@ def month_start(when: Column) -> Column:
 
 
 def month_name(when: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in MONTH_NAMES]), F.month(when))
+    names = F.array(*[F.lit(name) for name in MONTH_NAMES])
+    # element_at answers a NULL index with a name, so undated rows are kept out of it.
+    return F.when(when.isNotNull(), F.element_at(names, F.month(when)))
 
 
 def month_text(when: Column) -> Column:
