@@ -6,30 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def solve(matrix: Column, right_side: Column) -> Column:
+def solve(matrix: str, right_side: str) -> Column:
     """Solve ``matrix · x = right_side`` by elimination, for positive definite matrices.
 
-    The matrix is an array of rows. It stays a column expression, so fitting many groups
-    needs no Python worker; positive definite systems need no row exchange.
+    Both are SQL expressions, the matrix an array of rows. The solution stays a column
+    expression, so fitting many groups needs no Python worker; positive definite systems
+    need no row exchange. Step k scales row k and clears column k in every other row.
     """
-    rows = F.zip_with(matrix, right_side, lambda row, value: F.concat(row, F.array(value)))
-
-    def eliminate(rows: Column, k: Column) -> Column:
-        pivot_row = F.element_at(rows, k)
-        scaled = F.transform(pivot_row, lambda value: value / F.element_at(pivot_row, k))
-        return F.transform(
-            rows,
-            lambda row, i: F.when(i + 1 == k, scaled).otherwise(
-                F.zip_with(row, scaled, lambda x, p: x - F.element_at(row, k) * p)
-            ),
-        )
-
-    reduced = F.aggregate(F.sequence(F.lit(1), F.size(right_side)), rows, eliminate)
-    return F.transform(reduced, lambda row: F.element_at(row, -1))
-
-
-def dot(features: list[Column], coefficients: Column) -> Column:
-    total = F.lit(0.0)
-    for position, feature in enumerate(features, start=1):
-        total = total + feature * F.element_at(coefficients, position)
-    return total
+    scaled = "transform(rows[k], v -> v / rows[k][k])"
+    cleared = f"zip_with(row, {scaled}, (x, p) -> x - row[k] * p)"
+    return F.expr(
+        f"""aggregate(
+            sequence(0, size({right_side}) - 1),
+            zip_with({matrix}, {right_side}, (row, value) -> concat(row, array(value))),
+            (rows, k) -> transform(rows, (row, i) -> if(i = k, {scaled}, {cleared})),
+            rows -> transform(rows, row -> element_at(row, -1)))"""
+    )
+
+
+def dot(features: list[str], coefficients: str) -> str:
+    return " + ".join(f"{coefficients}[{i}] * {feature}" for i, feature in enumerate(features))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +30,10 @@ def decay(age: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), F.greatest(age, F.lit(0)) / F.lit(half_life))
 
 
-def seasonal_features(offset: Column, month_number: Column) -> list[Column]:
-    """Intercept, trend in years, and sine and cosine of the first harmonics of the year."""
-    features = [F.lit(1.0), offset / F.lit(12.0)]
+def seasonal_features(offset: str, month_number: str) -> list[str]:
+    """Intercept, trend in years, and sine and cosine of the first harmonics, as SQL."""
+    features = ["1D", f"({offset}) / 12D"]
     for harmonic in range(1, HARMONICS + 1):
-        angle = (month_number - 1) * F.lit(2.0 * math.pi * harmonic / SEASON_MONTHS)
-        features += [F.sin(angle), F.cos(angle)]
+        angle = f"2D * pi() * {harmonic} * ({month_number} - 1) / {SEASON_MONTHS}"
+        features += [f"sin({angle})", f"cos({angle})"]
     return features

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from declarium.functions.dates import (
     month_floor,
     months_between,
-    next_month_number,
-    previous_month_number,
     shift_month,
 )
-from declarium.functions.numbers import decay, half_even
+from declarium.functions.numbers import decay
 from declarium.functions.text import strip, title_case
 from declarium.schema import (
     BLEND,
@@ -32,6 +30,7 @@ EXACT, NEIGHBOUR, OVERALL = "exact", "neighbour", "overall"
 # Scores are compared at this many digits, so that equal scores tie whatever the order in
 # which they were summed; ties go to the smaller name.
 SCORE_DIGITS = 12
+TARGET = "(PARTITION BY region, other)"
 
 
 def category_history(cube: DataFrame, as_of: date | str) -> DataFrame:
@@ -62,28 +61,23 @@ def category_history(cube: DataFrame, as_of: date | str) -> DataFrame:
     )
 
 
-def related_months(month_number: Column) -> Column:
-    """The calendar months a month bears on, with its role for each."""
-    def link(role: str, month: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), month.cast("int").alias("other"))
+def related_months(month_number: str) -> str:
+    """SQL: the calendar months a month bears on, as an array of (role, other)."""
+    before, after = f"pmod({month_number} - 2, 12) + 1", f"pmod({month_number}, 12) + 1"
+    return f"""array(
+        named_struct('role', '{EXACT}', 'other', {month_number}),
+        named_struct('role', '{NEIGHBOUR}', 'other', {before}),
+        named_struct('role', '{NEIGHBOUR}', 'other', {after}))"""
 
-    near = F.array(
-        link(EXACT, month_number),
-        link(NEIGHBOUR, previous_month_number(month_number)),
-        link(NEIGHBOUR, next_month_number(month_number)),
-    )
-    every = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: link(OVERALL, m))
-    return F.concat(near, every)
+
+def every_month() -> str:
+    return f"transform(sequence(1, 12), m -> named_struct('role', '{OVERALL}', 'other', m))"
 
 
-def blend_weights(exact_years: Column, has_neighbours: Column) -> tuple[Column, Column]:
-    """Weight of the exact month and of its neighbours, by years seen in the exact month."""
-    exact, near = F.lit(0.0), F.lit(0.0)
-    for least_years, exact_weight, near_weight in reversed(BLEND):
-        enough = exact_years >= least_years
-        exact = F.when(enough, exact_weight).otherwise(exact)
-        near = F.when(enough, near_weight).otherwise(near)
-    return exact, F.when(has_neighbours, near).otherwise(0.0)
+def blend_weight(position: int) -> str:
+    """SQL: weight of the exact month (position 1) or its neighbours (2), by years seen."""
+    cases = " ".join(f"WHEN exact_years >= {entry[0]} THEN {entry[position]}D" for entry in BLEND)
+    return f"CASE {cases} END"
 
 
 def category_scores(history: DataFrame) -> DataFrame:
@@ -92,112 +86,110 @@ def category_scores(history: DataFrame) -> DataFrame:
     A blend of the shares in the month itself, in its neighbours and over the whole year.
     ``category_years`` counts the years that saw the category in that very month.
     """
-    occurred = history.select("region", "month", "category", "weight").dropDuplicates()
-    by_month = occurred.groupBy(
+    # A category's months in one calendar month: at most one per training year.
+    by_month = history.groupBy(
         "region", F.month("month").alias("month_number"), "category"
-    ).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("years"))
-    exact_years = occurred.groupBy("region", F.month("month").alias("other")).agg(
-        F.countDistinct(F.year("month")).alias("exact_years")
+    ).agg(F.expr("collect_set(struct(month, weight)) AS months"))
+    weighed = by_month.selectExpr(
+        "region",
+        "category",
+        "transform(months, m -> m.month) AS seen",
+        "aggregate(months, 0D, (total, m) -> total + m.weight) AS weight",
+        f"inline(concat({related_months('month_number')}, {every_month()}))",
     )
-    scores = (
-        by_month.select("region", "category", "weight", "years",
-                        F.inline(related_months(F.col("month_number"))))
-        .groupBy("region", "other", "role", "category")
+    # One shuffle by target month serves the sums per category and the totals over them.
+    shares = (
+        weighed.repartition("region", "other")
+        .groupBy("region", "other", "category")
         .agg(
-            F.sum("weight").alias("weight"),
-            F.max(F.when(F.col("role") == EXACT, F.col("years"))).alias("years"),
+            F.expr(f"sum(weight) FILTER (WHERE role = '{EXACT}') AS exact"),
+            F.expr(f"sum(weight) FILTER (WHERE role = '{NEIGHBOUR}') AS near"),
+            F.expr(f"sum(weight) FILTER (WHERE role = '{OVERALL}') AS overall"),
+            F.expr(f"flatten(collect_list(seen) FILTER (WHERE role = '{EXACT}')) AS seen"),
         )
-    )
-    target = Window.partitionBy("region", "other")
-    same_role = Window.partitionBy("region", "other", "role")
-    has_neighbours = F.max(F.col("role") == NEIGHBOUR).over(target)
-    exact, near = blend_weights(
-        F.coalesce(F.col("exact_years"), F.lit(0)), F.col("has_neighbours")
-    )
-    part = (
-        F.when(F.col("role") == EXACT, exact)
-        .when(F.col("role") == NEIGHBOUR, near)
-        .otherwise(1.0 - exact - near)
-    )
-    blended = (
-        scores.withColumn("share", F.col("weight") / F.sum("weight").over(same_role))
-        .withColumn("has_neighbours", has_neighbours)
-        .join(exact_years, ["region", "other"], "left")
-        .groupBy("region", F.col("other").alias("month_number"), "category")
-        .agg(
-            F.sum(F.col("share") * part).alias("score"),
-            F.coalesce(F.max("years"), F.lit(0)).alias("category_years"),
+        .selectExpr(
+            "*",
+            *[f"sum({role}) OVER {TARGET} AS {role}_total" for role in ["exact", "near", "overall"]],
+            f"size(array_distinct(flatten(collect_list(seen) OVER {TARGET}))) AS exact_years",
+        )
+        .selectExpr(
+            "*",
+            f"{blend_weight(1)} AS exact_part",
+            f"if(near_total IS NULL, 0D, {blend_weight(2)}) AS near_part",
         )
     )
-    whole = Window.partitionBy("region", "month_number")
-    share = F.col("score") / F.sum("score").over(whole)
-    return blended.withColumn("score", F.round(share, SCORE_DIGITS))
+    score = """coalesce(exact / exact_total, 0D) * exact_part
+        + coalesce(near / near_total, 0D) * near_part
+        + overall / overall_total * (1D - exact_part - near_part)"""
+    return shares.selectExpr(
+        "region", "other AS month_number", "category", "exact", "near", "seen",
+        f"{score} AS score",
+    ).selectExpr(
+        "region",
+        "month_number",
+        "category",
+        "round(score / sum(score) OVER (PARTITION BY region, month_number), "
+        f"{SCORE_DIGITS}) AS score",
+        "CAST(size(seen) AS BIGINT) AS category_years",
+        "exact IS NOT NULL OR near IS NOT NULL AS seen_nearby",
+    )
 
 
 def likely_categories(scores: DataFrame) -> DataFrame:
     """The leading category per region and calendar month, with support and confidence."""
-    best = Window.partitionBy("region", "month_number").orderBy(
-        F.col("score").desc(), "category"
-    )
-    support = F.col("score") * 100.0
-    years = F.col("category_years")
-    confidence = (
-        F.when((support >= 50.0) & (years >= 5), STRONG)
-        .when((support >= 32.0) & (years >= 3), MODERATE)
-        .otherwise(LIMITED)
-    )
+    best = "PARTITION BY region, month_number ORDER BY score DESC, category"
+    support = "score * 100"
     return (
-        scores.withColumn("place", F.row_number().over(best))
-        .where(F.col("place") == 1)
-        .select(
+        scores.selectExpr("*", f"row_number() OVER ({best}) AS place")
+        .where("place = 1")
+        .selectExpr(
             "region",
             "month_number",
-            F.col("category").alias("likelyIncidentType"),
-            half_even(support, 1).alias("incidentTypeSupport"),
-            confidence.alias("incidentTypeConfidence"),
+            "category AS likelyIncidentType",
+            f"bround({support}, 1) AS incidentTypeSupport",
+            f"""CASE WHEN {support} >= 50 AND category_years >= 5 THEN '{STRONG}'
+                WHEN {support} >= 32 AND category_years >= 3 THEN '{MODERATE}'
+                ELSE '{LIMITED}' END AS incidentTypeConfidence""",
+            "seen_nearby",
         )
     )
 
 
-def likely_areas(history: DataFrame, likely: DataFrame) -> DataFrame:
-    """Up to three places per region and calendar month that saw the likely category most.
+def with_areas(likely: DataFrame, history: DataFrame) -> DataFrame:
+    """Adds up to three places that saw the likely category most, as one text.
 
-    Places seen in the month or its neighbours count; only if there are none at all, those
-    of the whole year do.
+    Places seen in the month or its neighbours count; only if the category was not seen
+    there at all, those of the whole year do.
     """
-    places = history.groupBy(
-        "region", F.col("category"), F.month("month").alias("other"), "geo"
-    ).agg(F.sum("weight").alias("weight"))
-    wanted = likely.select(
-        "region",
-        "month_number",
-        F.col("likelyIncidentType").alias("category"),
-        F.inline(related_months(F.col("month_number"))),
-    )
-    target = ["region", "month_number"]
-    is_near = F.col("role") != OVERALL
-    weight = F.when(F.col("role") == NEIGHBOUR, F.col("weight") * NEIGHBOUR_AREA_WEIGHT).otherwise(
-        F.col("weight")
+    places = (
+        history.where(F.col("geo") != REGION_WIDE)
+        .groupBy("region", "category", F.month("month").alias("other"), "geo")
+        .agg(F.sum("weight").alias("weight"))
     )
-    seen = (
-        wanted.join(places, ["region", "category", "other"])
-        .withColumn("any_near", F.max(is_near).over(Window.partitionBy(*target)))
-        .where((is_near == F.col("any_near")) & (F.col("geo") != REGION_WIDE))
-        .groupBy(*target, "geo")
-        .agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
+    found = likely.selectExpr(
+        "*",
+        "likelyIncidentType AS category",
+        f"inline(if(seen_nearby, {related_months('month_number')}, {every_month()}))",
+    ).join(places, ["region", "category", "other"], "left")
+    kept = ["region", "month_number", "likelyIncidentType", "incidentTypeSupport",
+            "incidentTypeConfidence"]
+    weight = f"weight * if(role = '{NEIGHBOUR}', {NEIGHBOUR_AREA_WEIGHT}D, 1D)"
+    best = "PARTITION BY region, month_number ORDER BY score DESC NULLS LAST, geo"
+    # Without any place the one row with a NULL place keeps the month.
+    ranked = (
+        found.groupBy(*kept, "geo")
+        .agg(F.expr(f"round(sum({weight}), {SCORE_DIGITS}) AS score"))
+        .selectExpr("*", f"row_number() OVER ({best}) AS place")
+        .where("place <= 3")
     )
-    best = Window.partitionBy(*target).orderBy(F.col("score").desc(), "geo")
-    ranked = seen.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 3)
-    in_order = F.array_sort(F.collect_list(F.struct("place", "geo")))
-    return ranked.groupBy(*target).agg(
-        F.array_join(F.transform(in_order, lambda p: p["geo"]), ", ").alias("likelyAreas")
+    listed = """array_join(transform(array_sort(
+        collect_list(struct(place, geo)) FILTER (WHERE geo IS NOT NULL)), p -> p.geo), ', ')"""
+    return ranked.groupBy(*kept).agg(
+        F.expr(f"coalesce(nullif({listed}, ''), '{REGION_WIDE}') AS likelyAreas")
     )
 
 
 def category_estimates(cube: DataFrame, as_of: date | str) -> DataFrame:
     """Likely category and places for each calendar month of every region with history."""
     history = category_history(cube, as_of)
-    likely = likely_categories(category_scores(history))
-    return likely.join(
-        likely_areas(history, likely), ["region", "month_number"], "left"
-    ).withColumn("likelyAreas", F.coalesce("likelyAreas", F.lit(REGION_WIDE)))
+    return with_areas(likely_categories(category_scores(history)), history)

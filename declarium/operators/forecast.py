@@ -13,7 +13,7 @@ from declarium.functions.numbers import half_even
 from declarium.functions.text import region_order
 from declarium.operators.categories import category_estimates
 from declarium.operators.filters import require_range
-from declarium.operators.models import age, volume_forecast
+from declarium.operators.models import volume_forecast
 from declarium.operators.scale import fixed
 from declarium.operators.series import dense_series, forecast_cube
 from declarium.schema import (
@@ -78,8 +78,7 @@ def forecast_from_cube(
         "validation_mae",
         "trained_through",
     )
-    shown = age(F.col("position"), F.col("months")) <= history_months
-    past = series.where(shown).select(
+    past = series.where(F.col("months") - F.col("position") <= history_months).select(
         "region",
         "month",
         F.lit("Historical").alias("recordType"),

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declarium.functions.dates import months_between, next_month
+from declarium.functions.dates import next_month
 from declarium.functions.linear import dot, solve
-from declarium.functions.numbers import clip, decay, half_even, seasonal_features
+from declarium.functions.numbers import seasonal_features
 from declarium.schema import (
     BACKTEST_MINIMUM_MONTHS,
     HARMONICS,
@@ -36,277 +36,251 @@ FULL, BACKTEST = "full", "backtest"
 KEYS = ["region", "fit"]
 
 
-def age(series_position: Column, months: Column) -> Column:
-    """1 for the latest month of the series."""
-    return months - series_position
-
-
 def fit_rows(series: DataFrame) -> DataFrame:
-    """The rows each fit learns from: all of them, and all but the holdout year.
+    """The rows of each fit: the whole series, and the training window less its last year.
 
-    ``rank`` counts back from the latest month of the fit, ``size`` is its length, and
-    ``offset`` counts from the first month of the training window, which both fits share.
+    ``rank`` counts back from the latest month a fit learns from; the held-back year has
+    ranks 0, -1, … ``size`` is the number of months to learn from, and ``offset`` counts
+    from the first month of the training window, which both fits share.
     """
-    back = age(F.col("position"), F.col("months"))
-    window = F.least(F.col("months"), F.lit(TRAINING_MONTHS))
-    offset = F.col("position") - (F.col("months") - window)
-    full = F.struct(
-        F.lit(FULL).alias("fit"),
-        back.alias("rank"),
-        F.col("months").alias("size"),
-        offset.alias("offset"),
-    )
-    backtest = F.struct(
-        F.lit(BACKTEST).alias("fit"),
-        (back - HOLDOUT_MONTHS).alias("rank"),
-        (window - HOLDOUT_MONTHS).alias("size"),
-        offset.alias("offset"),
-    )
-    held_back = (
-        (window >= BACKTEST_MINIMUM_MONTHS) & (back > HOLDOUT_MONTHS) & (back <= TRAINING_MONTHS)
+    window = f"least(months, {TRAINING_MONTHS})"
+    back = "months - position"
+    offset = f"position - (months - {window})"
+    return series.selectExpr("region", "month", "n", f"{back} AS back", f"{window} AS window",
+                             f"{offset} AS offset", "months").selectExpr(
+        "region",
+        "month",
+        "n",
+        "offset",
+        "window",
+        f"""inline(filter(array(
+            named_struct('fit', '{FULL}', 'rank', back, 'size', months),
+            named_struct('fit', '{BACKTEST}', 'rank', back - {HOLDOUT_MONTHS},
+                         'size', window - {HOLDOUT_MONTHS})),
+            f -> f.fit = '{FULL}' OR (window >= {BACKTEST_MINIMUM_MONTHS} AND back <= window)))""",
     )
-    fits = F.when(held_back, F.array(full, backtest)).otherwise(F.array(full))
-    return series.select("region", "month", "n", F.inline(fits))
 
 
-def regression_sums(rows: DataFrame) -> DataFrame:
-    """Weighted normal-equation sums of log volume per region and fit.
+def learned(rows: DataFrame) -> DataFrame:
+    return rows.where("rank >= 1")
 
-    44 sums: ``xx_i_j`` for i ≤ j and ``xy_i``; with the first month and number of months
-    of the training window.
-    """
-    training = rows.where(F.col("rank") <= TRAINING_MONTHS)
-    features = [
-        f"x_{i}" for i in range(FEATURES)
-    ]
-    expressions = seasonal_features(F.col("offset"), F.month("month"))
-    prepared = training.select(
-        *KEYS,
-        F.add_months("month", -F.col("offset")).alias("origin"),
-        decay(F.col("rank") - 1, REGRESSION_HALF_LIFE).alias("w"),
-        F.log1p("n").alias("y"),
-        *[e.alias(name) for e, name in zip(expressions, features)],
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """Adds log volume, recency weight (0 outside the training window) and the features."""
+    features = seasonal_features("offset", "month(month)")
+    return rows.selectExpr(
+        "*",
+        "log1p(n) AS y",
+        f"if(rank BETWEEN 1 AND {TRAINING_MONTHS}, "
+        f"pow(0.5D, (rank - 1) / {REGRESSION_HALF_LIFE}D), 0D) AS w",
+        *[f"{feature} AS x{i}" for i, feature in enumerate(features)],
     )
+
+
+def normal_equation_sums() -> list[Column]:
+    """44 weighted sums: ``xx_i_j`` for i ≤ j, and ``xy_i``."""
     products = [
-        F.sum(F.col("w") * F.col(features[i]) * F.col(features[j])).alias(f"xx_{i}_{j}")
+        F.expr(f"sum(w * x{i} * x{j}) AS xx_{i}_{j}")
         for i in range(FEATURES)
         for j in range(i, FEATURES)
     ]
-    targets = [
-        F.sum(F.col("w") * F.col(features[i]) * F.col("y")).alias(f"xy_{i}")
-        for i in range(FEATURES)
-    ]
-    return prepared.groupBy(*KEYS).agg(
-        F.min("origin").alias("origin"),
-        F.count(F.lit(1)).alias("training_months"),
-        *products,
-        *targets,
+    return products + [F.expr(f"sum(w * x{i} * y) AS xy_{i}") for i in range(FEATURES)]
+
+
+def regression_sums(rows: DataFrame) -> DataFrame:
+    """Normal-equation sums of each fit, with the origin and length of its training window."""
+    training = with_features(learned(rows)).where("w > 0")
+    return training.groupBy(*KEYS).agg(
+        F.expr("min(add_months(month, -offset)) AS origin"),
+        F.expr("count(*) AS training_months"),
+        *normal_equation_sums(),
     )
 
 
-def regression_coefficients(sums: DataFrame) -> DataFrame:
-    """Ridge coefficients per region and fit; the intercept is not penalised."""
+def coefficients() -> Column:
+    """Ridge solution of the normal-equation sums; the intercept is not penalised."""
 
-    def entry(i: int, j: int) -> Column:
-        value = F.col(f"xx_{min(i, j)}_{max(i, j)}")
-        return value + RIDGE if i == j and i > 0 else value
+    def entry(i: int, j: int) -> str:
+        penalty = f" + {RIDGE}D" if i == j and i > 0 else ""
+        return f"xx_{min(i, j)}_{max(i, j)}{penalty}"
 
-    matrix = F.array(
-        *[F.array(*[entry(i, j) for j in range(FEATURES)]) for i in range(FEATURES)]
-    )
-    right_side = F.array(*[F.col(f"xy_{i}") for i in range(FEATURES)])
-    return sums.select(*KEYS, "origin", solve(matrix, right_side).alias("coefficients"))
+    size = range(FEATURES)
+    matrix = f"array({', '.join(f'array({", ".join(entry(i, j) for j in size)})' for i in size)})"
+    return solve(matrix, f"array({', '.join(f'xy_{i}' for i in size)})")
 
 
-def seasonal_profile(rows: DataFrame) -> DataFrame:
-    """Weighted mean of the latest same-month values, the newest weighing most."""
-    same_month = Window.partitionBy(*KEYS, "month_number").orderBy(F.col("month").desc())
-    recent = (
-        rows.select(*KEYS, F.month("month").alias("month_number"), "month", "n")
-        .withColumn("nth", F.row_number().over(same_month))
-        .where(F.col("nth") <= SAME_MONTH_VALUES)
-    )
-    values = recent.groupBy(*KEYS, "month_number").agg(
-        F.count(F.lit(1)).alias("values"),
-        F.sum("n").alias("total"),
-        F.sum(F.col("n") * F.col("nth")).alias("ranked_total"),
-    )
-    # Weight of the nth newest of k values is k + 1 - nth.
-    k = F.col("values")
-    weighted = (k + 1) * F.col("total") - F.col("ranked_total")
-    return values.select(*KEYS, "month_number", (weighted / (k * (k + 1) / 2)).alias("base"))
+def level_means() -> list[Column]:
+    """Size of a fit and the means of its latest year and of the year before that."""
+    return [
+        F.expr("max(size) AS size"),
+        F.expr(f"avg(n) FILTER (WHERE rank BETWEEN 1 AND {SEASON_MONTHS}) AS recent_mean"),
+        F.expr(
+            f"avg(n) FILTER (WHERE rank BETWEEN {SEASON_MONTHS + 1} AND {2 * SEASON_MONTHS}) "
+            "AS previous_mean"
+        ),
+    ]
 
 
-def level_adjustment(rows: DataFrame) -> DataFrame:
+def level() -> Column:
     """How the latest year's level compares with the year before it, within bounds."""
-    rank = F.col("rank")
-    years = rows.groupBy(*KEYS).agg(
-        F.max("size").alias("size"),
-        F.avg(F.when(rank <= SEASON_MONTHS, F.col("n"))).alias("recent_mean"),
-        F.avg(
-            F.when((rank > SEASON_MONTHS) & (rank <= 2 * SEASON_MONTHS), F.col("n"))
-        ).alias("previous_mean"),
+    low, high = LEVEL_BOUNDS
+    return F.expr(
+        f"if(size >= {2 * SEASON_MONTHS} AND previous_mean > 0, "
+        f"least(greatest(recent_mean / previous_mean, {low}D), {high}D), 1D)"
     )
-    comparable = (F.col("size") >= 2 * SEASON_MONTHS) & (F.col("previous_mean") > 0)
-    ratio = clip(F.col("recent_mean") / F.col("previous_mean"), *LEVEL_BOUNDS)
-    return years.withColumn("level", F.when(comparable, ratio).otherwise(1.0))
+
+
+def level_adjustment(rows: DataFrame) -> DataFrame:
+    return learned(rows).groupBy(*KEYS).agg(*level_means()).withColumn("level", level())
 
 
 def fitted_models(series: DataFrame) -> DataFrame:
-    """One row per region and fit with all that either model needs to predict."""
-    rows = fit_rows(series)
-    profile = seasonal_profile(rows).groupBy(*KEYS).agg(
-        F.map_from_entries(F.collect_list(F.struct("month_number", "base"))).alias("profile")
+    """One row per region and fit with all that either model needs.
+
+    ``recent`` holds the latest values, newest first, as far as the seasonal model looks
+    back, and ``window_values`` those of the training window (the holdout year before them,
+    in the backtest): at most a few hundred numbers per region. The series is partitioned by
+    region already, so this aggregation does not shuffle.
+    """
+    reach = SEASON_MONTHS * SAME_MONTH_VALUES
+    fitted = with_features(fit_rows(series)).groupBy(*KEYS).agg(
+        F.expr("min(add_months(month, -offset)) FILTER (WHERE rank >= 1) AS origin"),
+        F.expr("max(month) FILTER (WHERE rank >= 1) AS last_month"),
+        F.expr("max(month) AS trained_through"),
+        F.expr("max(window) AS window"),
+        F.expr("array_sort(collect_list(struct(rank, n)) "
+               f"FILTER (WHERE rank <= {TRAINING_MONTHS})) AS ranked"),
+        *level_means(),
+        *normal_equation_sums(),
     )
-    return (
-        regression_coefficients(regression_sums(rows))
-        .join(level_adjustment(rows), KEYS)
-        .join(profile, KEYS)
+    return fitted.select(
+        *KEYS,
+        "origin",
+        "last_month",
+        "trained_through",
+        "window",
+        "recent_mean",
+        level().alias("level"),
+        coefficients().alias("coefficients"),
+        F.expr("transform(ranked, v -> v.n) AS window_values"),
+        F.expr(f"transform(filter(ranked, v -> v.rank BETWEEN 1 AND {reach}), v -> v.n) AS recent"),
     )
 
 
-def regression_prediction() -> Column:
-    offset = months_between(F.col("month"), F.col("origin"))
-    log_volume = dot(seasonal_features(offset, F.month("month")), F.col("coefficients"))
-    return F.greatest(F.lit(0.0), F.expm1(log_volume))
-
+def prediction_targets(as_of: date | str, horizon: int) -> str:
+    """SQL: the months a fit predicts, as an array of structs.
 
-def seasonal_prediction() -> Column:
-    base = F.coalesce(F.col("profile")[F.month("month")], F.col("recent_mean"))
-    return F.greatest(F.lit(0.0), base * F.col("level"))
+    The backtest predicts the holdout year. The full fit predicts its training window
+    (``step`` 0), where ``lagged`` is the value a year before, and the future (``step`` 1,
+    2, …).
+    """
+    first = next_month(as_of).isoformat()
+    held_out = f"""transform(slice(window_values, 1, {HOLDOUT_MONTHS}), (v, i) -> named_struct(
+        'month', add_months(last_month, {HOLDOUT_MONTHS} - i), 'step', 0,
+        'n', v, 'lagged', CAST(NULL AS BIGINT)))"""
+    past = f"""transform(window_values, (v, i) -> named_struct(
+        'month', add_months(last_month, -i), 'step', 0,
+        'n', v, 'lagged', get(window_values, i + {SEASON_MONTHS})))"""
+    future = f"""transform(sequence(1, {horizon}), s -> named_struct(
+        'month', add_months(DATE '{first}', s - 1), 'step', s,
+        'n', CAST(NULL AS BIGINT), 'lagged', CAST(NULL AS BIGINT)))"""
+    return f"if(fit = '{BACKTEST}', {held_out}, concat({past}, {future}))"
 
 
-def prediction_targets(series: DataFrame, as_of: date | str, horizon: int) -> DataFrame:
-    """The months to predict per region: holdout, training window, and the future.
+def regression_prediction() -> Column:
+    offset = "(year(month) - year(origin)) * 12 + month(month) - month(origin)"
+    log_volume = dot(seasonal_features(offset, "month(month)"), "coefficients")
+    return F.expr(f"greatest(0D, expm1({log_volume}))")
 
-    ``step`` is 0 in the past and 1, 2, … in the future; ``lagged`` is the value a year
-    earlier, if that lies in the training window too.
-    """
-    first = F.lit(next_month(as_of))
-    back = age(F.col("position"), F.col("months"))
-    window = F.least(F.col("months"), F.lit(TRAINING_MONTHS))
-    in_order = Window.partitionBy("region").orderBy("month")
-    lagged = F.when(
-        back <= window - SEASON_MONTHS, F.lag("n", SEASON_MONTHS).over(in_order)
-    )
 
-    def target(fit: str, month: Column, step: Column, past: bool) -> Column:
-        return F.struct(
-            F.lit(fit).alias("fit"),
-            month.alias("month"),
-            step.cast("int").alias("step"),
-            (F.col("n") if past else F.lit(None)).cast("long").alias("n"),
-            (F.col("lagged") if past else F.lit(None)).cast("long").alias("lagged"),
-        )
+def seasonal_prediction() -> Column:
+    """Weighted mean of the latest same-month values, the newest weighing most, times level.
 
-    held_out = (window >= BACKTEST_MINIMUM_MONTHS) & (back <= HOLDOUT_MONTHS)
-    none = F.array()
-    targets = F.concat(
-        F.when(held_out, F.array(target(BACKTEST, F.col("month"), F.lit(0), True)))
-        .otherwise(none),
-        F.when(back <= TRAINING_MONTHS, F.array(target(FULL, F.col("month"), F.lit(0), True)))
-        .otherwise(none),
-        F.when(
-            back == 1,
-            F.transform(
-                F.sequence(F.lit(1), F.lit(horizon)),
-                lambda s: target(FULL, F.add_months(first, s - 1), s, False),
-            ),
-        ).otherwise(none),
-    )
-    latest = F.max("month").over(Window.partitionBy("region"))
-    return (
-        series.withColumn("lagged", lagged)
-        .withColumn("trained_through", latest)
-        .withColumn("window", window)
-        .select("region", "trained_through", "window", F.inline(targets))
+    Same months lie whole years apart in ``recent``: the first at the distance that makes
+    the target's distance a multiple of a year. With k values the weights are k, k-1, … 1.
+    """
+    ahead = "(year(month) - year(last_month)) * 12 + month(month) - month(last_month)"
+    same = f"""filter(transform(sequence(0, {SAME_MONTH_VALUES - 1}),
+        j -> get(recent, pmod(-({ahead}), {SEASON_MONTHS}) + {SEASON_MONTHS} * j)),
+        v -> v IS NOT NULL)"""
+    weighted = "aggregate(transform(same, (v, j) -> (size(same) - j) * v), 0L, (a, v) -> a + v)"
+    base = f"if(size(same) > 0, {weighted} / (size(same) * (size(same) + 1) / 2), recent_mean)"
+    return F.expr(f"if(step = 0 AND fit = '{FULL}', NULL, {same})").alias("same"), F.expr(
+        f"greatest(0D, {base} * level)"
     )
 
 
 def predictions(series: DataFrame, as_of: date | str, horizon: int) -> DataFrame:
-    """Both models' predictions for every target month."""
-    targets = prediction_targets(series, as_of, horizon)
-    return targets.join(fitted_models(series), KEYS).select(
-        "region",
-        "fit",
-        "month",
-        "step",
-        "n",
-        "lagged",
-        "window",
-        "trained_through",
+    """Both models' predictions for every target month; the seasonal one outside training."""
+    same_month, seasonal = seasonal_prediction()
+    targets = fitted_models(series).select(
+        *KEYS, "origin", "last_month", "trained_through", "window", "recent_mean", "level",
+        "coefficients", "recent", F.expr(f"inline({prediction_targets(as_of, horizon)})"),
+    )
+    return targets.select("*", same_month).select(
+        *KEYS, "month", "step", "n", "lagged", "window", "trained_through",
         regression_prediction().alias("regression"),
-        seasonal_prediction().alias("seasonal"),
+        seasonal.alias("seasonal"),
     )
 
 
 def select_model(predicted: DataFrame) -> DataFrame:
-    """Adds the holdout error of each model and the chosen model.
+    """Adds the holdout error of each model, the chosen model and its error.
 
     The seasonal model must be strictly better; without a holdout the regression is used
     and there is no error to report.
     """
-    region = Window.partitionBy("region")
-    held_out = F.col("fit") == BACKTEST
-
-    def error(column: str) -> Column:
-        return F.avg(F.when(held_out, F.abs(F.col("n") - F.col(column)))).over(region)
-
-    seasonal_wins = F.coalesce(F.col("seasonal_mae") < F.col("regression_mae"), F.lit(False))
-    return (
-        predicted.withColumn("regression_mae", error("regression"))
-        .withColumn("seasonal_mae", error("seasonal"))
-        .withColumn("model", F.when(seasonal_wins, SEASONAL_MODEL).otherwise(REGRESSION_MODEL))
-        .withColumn(
-            "validation_mae",
-            F.when(seasonal_wins, F.col("seasonal_mae")).otherwise(F.col("regression_mae")),
-        )
+    errors = [
+        f"avg(if(fit = '{BACKTEST}', abs(n - {model}), NULL)) OVER (PARTITION BY region) "
+        f"AS {model}_mae"
+        for model in ["regression", "seasonal"]
+    ]
+    return predicted.selectExpr("*", *errors).selectExpr(
+        "*",
+        f"if(seasonal_mae < regression_mae, '{SEASONAL_MODEL}', '{REGRESSION_MODEL}') AS model",
+        "if(seasonal_mae < regression_mae, seasonal_mae, regression_mae) AS validation_mae",
     )
 
 
 def residual_scale(selected: DataFrame) -> DataFrame:
-    """Adds the spread of the chosen model's errors in the training window."""
-    region = Window.partitionBy("region")
-    seasonal = (F.col("model") == SEASONAL_MODEL) & (F.col("window") > SEASON_MONTHS)
-    fitted = F.when(seasonal, F.col("lagged")).otherwise(F.col("regression"))
-    in_training = (F.col("fit") == FULL) & (F.col("step") == 0)
-    deviation = F.abs(F.col("residual") - F.col("centre"))
-    spread = F.greatest(
-        F.lit(1.0),
-        F.median(deviation).over(region) * MAD_FACTOR,
-        F.sqrt(F.avg(F.col("residual") * F.col("residual")).over(region)) * RMSE_FACTOR,
-    )
+    """Adds the spread of the chosen model's errors in the training window, at least 1."""
+    seasonal = f"model = '{SEASONAL_MODEL}' AND window > {SEASON_MONTHS}"
+    residual = f"if(fit = '{FULL}' AND step = 0, n - if({seasonal}, lagged, regression), NULL)"
+    by_region = "OVER (PARTITION BY region)"
     return (
-        selected.withColumn("residual", F.when(in_training, F.col("n") - fitted))
-        .withColumn("centre", F.median("residual").over(region))
-        .withColumn("scale", F.coalesce(spread, F.lit(1.0)))
+        selected.selectExpr("*", f"{residual} AS residual")
+        .selectExpr("*", f"median(residual) {by_region} AS centre")
+        .selectExpr(
+            "*",
+            f"""greatest(1D,
+                median(abs(residual - centre)) {by_region} * {MAD_FACTOR}D,
+                sqrt(avg(residual * residual) {by_region}) * {RMSE_FACTOR}D) AS scale""",
+        )
     )
 
 
 def backtest(series: DataFrame) -> DataFrame:
     """The chosen model per region with both holdout errors, for reading the selection."""
-    compared = select_model(predictions(series, date(1970, 1, 1), 1)).where(F.col("step") == 1)
+    compared = select_model(predictions(series, date(1970, 1, 1), 1)).where("step = 1")
     return compared.select("region", "model", "regression_mae", "seasonal_mae", "validation_mae")
 
 
 def volume_forecast(series: DataFrame, as_of: date | str, horizon: int) -> DataFrame:
     """Estimate and interval for every future month, with what the forecast was made from."""
     scaled = residual_scale(select_model(predictions(series, as_of, horizon)))
-    estimate = F.when(F.col("model") == SEASONAL_MODEL, F.col("seasonal")).otherwise(
-        F.col("regression")
+    estimated = scaled.where("step > 0").selectExpr(
+        "*",
+        f"if(model = '{SEASONAL_MODEL}', seasonal, regression) AS estimate",
+        f"{INTERVAL_WIDTH}D * scale * sqrt(1D + step / 12D) AS uncertainty",
     )
-    uncertainty = F.col("scale") * INTERVAL_WIDTH * F.sqrt(F.lit(1.0) + F.col("step") / 12.0)
-
-    def whole(value: Column) -> Column:
-        return half_even(F.greatest(F.lit(0.0), value)).cast("long")
-
-    return scaled.where(F.col("step") > 0).select(
+    # rint rounds half to even.
+    return estimated.selectExpr(
         "region",
         "month",
         "step",
-        whole(estimate).alias("declarationRecords"),
-        whole(estimate - uncertainty).alias("lowerEstimate"),
-        whole(estimate + uncertainty).alias("upperEstimate"),
+        "CAST(rint(greatest(0D, estimate)) AS BIGINT) AS declarationRecords",
+        "CAST(rint(greatest(0D, estimate - uncertainty)) AS BIGINT) AS lowerEstimate",
+        "CAST(rint(greatest(0D, estimate + uncertainty)) AS BIGINT) AS upperEstimate",
         "model",
         "validation_mae",
         "trained_through",

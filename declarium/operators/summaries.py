@@ -207,25 +207,20 @@ def metadata(records: DataFrame, columns: Columns = Columns()) -> DataFrame:
         *[expression.alias(name) for name, expression in fields.items()],
         F.col(columns.date).cast("date").alias("day"),
     )
-    counts = keyed.groupingSets([[F.col(f)] for f in fields], *fields).agg(
-        F.min("day").alias("first"), F.max("day").alias("last")
+    # One set per field, and the empty set for the range over the whole table.
+    sets = [[F.col(field)] for field in fields] + [[]]
+    counts = keyed.groupingSets(sets, *fields).agg(
+        F.grouping_id().alias("set"), F.min("day").alias("first"), F.max("day").alias("last")
     )
-    values = counts.unpivot(
-        ["first", "last"], list(fields), "field", "value"
-    ).where(F.col("value").isNotNull())
-    dated = counts.agg(F.min("first").alias("first"), F.max("last").alias("last")).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("minimum_date").alias("field"),
-                         F.col("first").cast("string").alias("value")),
-                F.struct(F.lit("maximum_date").alias("field"),
-                         F.col("last").cast("string").alias("value")),
-            )
-        )
-    ).where(F.col("value").isNotNull())
+    whole_table = F.col("set") == 2 ** len(fields) - 1
+    values = {field: F.col(field) for field in fields} | {
+        "minimum_date": F.when(whole_table, F.col("first").cast("string")),
+        "maximum_date": F.when(whole_table, F.col("last").cast("string")),
+    }
+    pairs = [F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()]
     return (
-        values.select("field", "value")
-        .unionByName(dated)
+        counts.select(F.inline(F.array(*pairs)))
+        .where(F.col("value").isNotNull())
         .orderBy("field", region_order(F.col("value")), "value")
     )
 

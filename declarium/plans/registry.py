@@ -302,8 +302,8 @@ def dim_category(spark, folder):
 
 def star_tables(spark, folder):
     rows = star_records(spark, folder)
-    locations = scale.fixed(star.keyed_dimension(rows, LOCATION, "locationKey"))
-    kinds = scale.fixed(star.keyed_dimension(rows, CATEGORY, "incidentTypeKey"))
+    locations = star.keyed_dimension(rows, LOCATION, "locationKey")
+    kinds = star.keyed_dimension(rows, CATEGORY, "incidentTypeKey")
     wanted = ["id", "entity", "type_label", "dateKey", "locationKey", "incidentTypeKey"]
     facts = star.fact(rows, locations, kinds, wanted, "recorded_at")
     return facts, star.dim_date(rows, "recorded_at"), locations, kinds
@@ -429,11 +429,12 @@ def category_history(spark, folder):
 
 def category_scores(spark, folder):
     cube = forecast_cube(records(spark, folder), AS_OF, COLUMNS)
-    return rounded(categories.category_scores(categories.category_history(cube, AS_OF)), 9)
+    scores = categories.category_scores(categories.category_history(cube, AS_OF))
+    return rounded(scores.drop("seen_nearby"), 9)
 
 
 def category_estimates(spark, folder):
-    cube = scale.fixed(forecast_cube(records(spark, folder), AS_OF, COLUMNS))
+    cube = forecast_cube(records(spark, folder), AS_OF, COLUMNS)
     return categories.category_estimates(cube, AS_OF)
 
 

@@ -22,22 +22,41 @@ COLUMNS = Columns(
 STATUS_LABELS = {"F": "Filled", "O": "Open"}
 
 
+# Declared, so that no job reads file footers just to find the columns.
+SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    "c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def with_places(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer, nation and region.
 
-    No join hints: file statistics decide whether customers are small enough to broadcast,
-    and adaptive execution splits a customer that holds a large share of the orders.
+    No join hints: each lookup table is joined as it is, so its file size tells whether it
+    is small enough to broadcast. Where customers are not, the shuffle join splits a
+    customer that holds a large share of the orders.
     """
     orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    places = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(
-        region, nation.n_regionkey == region.r_regionkey
+    return (
+        orders.join(customer, F.expr("o_custkey = c_custkey"))
+        .join(nation, F.expr("c_nationkey = n_nationkey"))
+        .join(region, F.expr("n_regionkey = r_regionkey"))
     )
-    return orders.join(places, orders.o_custkey == places.c_custkey)
 
 
 def records(spark: SparkSession, folder: str, places: bool = True) -> DataFrame:
