@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.functions.dates import as_date, month_text, next_month
-from declarium.functions.numbers import half_even
+from declarium.functions.dates import as_date, next_month
 from declarium.functions.text import region_order
 from declarium.operators.categories import category_estimates
 from declarium.operators.filters import require_range
@@ -63,49 +62,51 @@ def forecast_from_cube(
         "month_number", F.month("month")
     )
     estimates = category_estimates(cube, as_of)
-    future = volumes.join(estimates, ["region", "month_number"], "left").select(
+    future = volumes.join(estimates, ["region", "month_number"], "left").selectExpr(
         "region",
         "month",
-        F.lit("Forecast").alias("recordType"),
+        "'Forecast' AS recordType",
         "declarationRecords",
         "lowerEstimate",
         "upperEstimate",
-        F.coalesce("likelyIncidentType", F.lit(NO_HISTORY)).alias("likelyIncidentType"),
-        F.coalesce("incidentTypeSupport", F.lit(0.0)).alias("incidentTypeSupport"),
-        F.coalesce("incidentTypeConfidence", F.lit(LIMITED)).alias("incidentTypeConfidence"),
-        F.coalesce("likelyAreas", F.lit(REGION_WIDE)).alias("likelyAreas"),
+        f"coalesce(likelyIncidentType, '{NO_HISTORY}') AS likelyIncidentType",
+        "coalesce(incidentTypeSupport, 0D) AS incidentTypeSupport",
+        f"coalesce(incidentTypeConfidence, '{LIMITED}') AS incidentTypeConfidence",
+        f"coalesce(likelyAreas, '{REGION_WIDE}') AS likelyAreas",
         "model",
         "validation_mae",
         "trained_through",
     )
-    past = series.where(F.col("months") - F.col("position") <= history_months).select(
-        "region",
-        "month",
-        F.lit("Historical").alias("recordType"),
-        F.col("n").cast("long").alias("declarationRecords"),
+    past = series.where(f"months - position <= {history_months}").selectExpr(
+        "region", "month", "'Historical' AS recordType", "CAST(n AS BIGINT) AS declarationRecords"
     )
-    region = Window.partitionBy("region")
-    model, error = F.max("model").over(region), F.max("validation_mae").over(region)
-    return (
-        past.unionByName(future, allowMissingColumns=True)
-        .withColumn("method", method_text(model, error))
-        .withColumn("validationMae", error)
-        .withColumn("trainingThrough", month_text(F.max("trained_through").over(region)))
-        .withColumn("incidentTypeMethod", F.lit(CATEGORY_METHOD))
-        .withColumn("incidentTypeLimitation", F.lit(CATEGORY_LIMITATION))
-        .withColumn("generatedAt", F.lit(generated_at or f"{as_date(as_of)}T00:00:00+00:00"))
-        .withColumn("asOfDate", F.lit(as_date(as_of).isoformat()))
-        .withColumn("forecastStart", F.lit(next_month(as_of).isoformat()[:7]))
-        .select(FORECAST_COLUMNS)
+    by_region = "OVER (PARTITION BY region)"
+    constants = {
+        "incidentTypeMethod": CATEGORY_METHOD,
+        "incidentTypeLimitation": CATEGORY_LIMITATION,
+        "generatedAt": generated_at or f"{as_date(as_of)}T00:00:00+00:00",
+        "asOfDate": as_date(as_of).isoformat(),
+        "forecastStart": next_month(as_of).isoformat()[:7],
+    }
+    # The constants of a region stand on its forecast rows only; spread them to its history.
+    spread = past.unionByName(future, allowMissingColumns=True).selectExpr(
+        *past.columns,
+        "lowerEstimate", "upperEstimate", "likelyIncidentType", "incidentTypeSupport",
+        "incidentTypeConfidence", "likelyAreas",
+        f"max(model) {by_region} AS model",
+        f"max(validation_mae) {by_region} AS validationMae",
+        f"substring(CAST(max(trained_through) {by_region} AS STRING), 1, 7) AS trainingThrough",
     )
+    return spread.select(
+        "*",
+        F.expr(METHOD_TEXT).alias("method"),
+        *[F.lit(value).alias(name) for name, value in constants.items()],
+    ).select(FORECAST_COLUMNS)
 
 
-def method_text(model: Column, error: Column) -> Column:
-    checked = F.format_string("; 12-month holdout MAE %.1f records", half_even(error, 1))
-    unchecked = F.lit("; limited-history validation")
-    return F.concat(
-        F.lit("Backtested "), model, F.when(error.isNotNull(), checked).otherwise(unchecked)
-    )
+METHOD_TEXT = """concat('Backtested ', model, if(validationMae IS NULL,
+    '; limited-history validation',
+    format_string('; 12-month holdout MAE %.1f records', bround(validationMae, 1))))"""
 
 
 def in_region_order(forecast: DataFrame) -> DataFrame:
