@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declarium.schema import (
@@ -18,17 +18,32 @@ WHITESPACE = "".join(
     map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203),
               8232, 8233, 8239, 8287, 12288])
 )
+# A code point that Unicode keeps out of all texts, and the blank that starts a word.
+MARK = "\ufdd0 "
 CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
 
 
 def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
     return F.trim(text, F.lit(WHITESPACE))
 
 
+def known(text: Column) -> Column:
+    """NULL for the usual spellings of "missing"."""
+    return F.when(~text.isin(NULL_TOKENS), text)
+
+
 def clean_text(text: Column) -> Column:
-    """Strip, and turn the usual spellings of "missing" into NULL."""
-    stripped = strip(text)
-    return F.when(~stripped.isin(NULL_TOKENS), stripped)
+    return known(strip(text))
+
+
+def clean_texts(df: DataFrame, names: list[str]) -> DataFrame:
+    """``clean_text`` on several columns in two steps.
+
+    An expression used twice is worked out twice; a column of an earlier step is not.
+    """
+    stripped = df.withColumns({name: strip(F.col(name)) for name in names})
+    return stripped.withColumns({name: known(F.col(name)) for name in names})
 
 
 def csv_value(text: Column) -> Column:
@@ -39,11 +54,12 @@ def csv_value(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capital after anything that is not a letter: ``Mud/Landslide``, ``Straight-Line``.
 
-    ``initcap`` on the whole text only looks at blanks, so the text is cut into runs of
-    letters and runs of anything else first: one pass, linear in its length.
+    ``initcap`` only starts a word after a blank. A mark that ends in a blank is put between
+    any other sign and the letter after it, and taken out again: three passes over the text.
     """
-    runs = F.regexp_extract_all(text, F.lit(f"[{CASED}]+|[^{CASED}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    starts = F.lit(f"([^{CASED} ])(?=[{CASED}])")
+    marked = F.regexp_replace(text, starts, F.lit(f"$1{MARK}"))
+    return F.replace(F.initcap(marked), F.lit(MARK), F.lit(""))
 
 
 def or_not_reported(text: Column) -> Column:

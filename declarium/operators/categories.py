@@ -31,6 +31,9 @@ EXACT, NEIGHBOUR, OVERALL = "exact", "neighbour", "overall"
 # which they were summed; ties go to the smaller name.
 SCORE_DIGITS = 12
 TARGET = "(PARTITION BY region, other)"
+# The training window spans at most 16 years, so a year's last digits in a 64-bit set tell
+# the years apart; sets of years then add up at a fixed size.
+YEAR_BIT = "shiftleft(1L, year(m.month) % 64)"
 
 
 def category_history(cube: DataFrame, as_of: date | str) -> DataFrame:
@@ -93,7 +96,7 @@ def category_scores(history: DataFrame) -> DataFrame:
     weighed = by_month.selectExpr(
         "region",
         "category",
-        "transform(months, m -> m.month) AS seen",
+        f"aggregate(months, 0L, (years, m) -> years | {YEAR_BIT}) AS seen",
         "aggregate(months, 0D, (total, m) -> total + m.weight) AS weight",
         f"inline(concat({related_months('month_number')}, {every_month()}))",
     )
@@ -105,12 +108,12 @@ def category_scores(history: DataFrame) -> DataFrame:
             F.expr(f"sum(weight) FILTER (WHERE role = '{EXACT}') AS exact"),
             F.expr(f"sum(weight) FILTER (WHERE role = '{NEIGHBOUR}') AS near"),
             F.expr(f"sum(weight) FILTER (WHERE role = '{OVERALL}') AS overall"),
-            F.expr(f"flatten(collect_list(seen) FILTER (WHERE role = '{EXACT}')) AS seen"),
+            F.expr(f"coalesce(bit_or(seen) FILTER (WHERE role = '{EXACT}'), 0L) AS seen"),
         )
         .selectExpr(
             "*",
             *[f"sum({role}) OVER {TARGET} AS {role}_total" for role in ["exact", "near", "overall"]],
-            f"size(array_distinct(flatten(collect_list(seen) OVER {TARGET}))) AS exact_years",
+            f"bit_count(bit_or(seen) OVER {TARGET}) AS exact_years",
         )
         .selectExpr(
             "*",
@@ -130,7 +133,7 @@ def category_scores(history: DataFrame) -> DataFrame:
         "category",
         "round(score / sum(score) OVER (PARTITION BY region, month_number), "
         f"{SCORE_DIGITS}) AS score",
-        "CAST(size(seen) AS BIGINT) AS category_years",
+        "CAST(bit_count(seen) AS BIGINT) AS category_years",
         "exact IS NOT NULL OR near IS NOT NULL AS seen_nearby",
     )
 

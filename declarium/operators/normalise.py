@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from declarium.functions.dates import month_name, month_text, parse_utc
 from declarium.functions.numbers import whole_number
 from declarium.functions.text import (
-    clean_text,
+    clean_texts,
     code_label,
     or_not_reported,
     region_label,
@@ -42,9 +42,8 @@ def typed(raw: DataFrame) -> DataFrame:
             parsed[name] = F.col(name).cast("timestamp_ntz")
         elif name in INTEGER_COLUMNS and types[name] == "string":
             parsed[name] = whole_number(F.col(name))
-        elif name in TEXT_COLUMNS:
-            parsed[name] = clean_text(F.col(name))
-    return raw.withColumns(parsed)
+    texts = [name for name in TEXT_COLUMNS if name in raw.columns]
+    return clean_texts(raw.withColumns(parsed), texts)
 
 
 def standard_case(df: DataFrame) -> DataFrame:
