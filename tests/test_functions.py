@@ -29,10 +29,11 @@ def test_title_case_examples(spark):
     ]
 
 
-LETTERS = st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=0x24F), max_size=20)
+# Up to U+017F: beyond, the case tables of the Unicode versions in use differ (U+019B).
+LETTERS = st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=0x17F), max_size=20)
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=5, deadline=None, derandomize=True)
 @given(st.lists(LETTERS, min_size=150, max_size=150))
 def test_title_case_equals_python(spark, texts):
     # U+0130 and U+0149 are spelled with a combining mark or a prefix by one side only.
