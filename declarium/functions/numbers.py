@@ -21,10 +21,6 @@ def half_even(value: Column, digits: int = 0) -> Column:
     return F.rint(value) if digits == 0 else F.bround(value, digits)
 
 
-def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
-
-
 def decay(age: Column, half_life: float) -> Column:
     """Weight that halves every ``half_life`` months."""
     return F.pow(F.lit(0.5), F.greatest(age, F.lit(0)) / F.lit(half_life))

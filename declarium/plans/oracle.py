@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from declarium.plans.registry import CATEGORIES, END, HORIZON, REGION, START, STORED_AS_OF, YEAR
+from declarium.plans.registry import CATEGORIES, END, HORIZON, REGION, START, YEAR
 from declarium.plans.tables import RAW
 from declarium.schema import (
     CATEGORY_LIMITATION,

@@ -24,7 +24,7 @@ from declarium.operators import (
     summaries,
 )
 from declarium.operators.series import forecast_cube, monthly_series
-from declarium.plans.tables import COLUMNS, STATUS_LABELS, raw_records, records, table
+from declarium.plans.tables import COLUMNS, raw_records, records, table
 from declarium.schema import REGION_WIDE, SEASONAL_MODEL
 
 Query = Callable[[SparkSession, str], DataFrame]

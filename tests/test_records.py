@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from declarium.operators import filters, normalise, profile, sampling, star, summaries
-from declarium.schema import NORMALISED_COLUMNS, RAW_COLUMNS, RAW_SCHEMA, Columns
+from declarium.schema import NORMALISED_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
 
 
 def raw(spark, *changes):
