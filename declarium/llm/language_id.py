@@ -81,7 +81,8 @@ def learn_profiles(
     ).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
     totals = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_total"))
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) / 1e6
-    chosen = labelled.join(totals, "lang").where(share * F.col("_total") < sample)
+    # one row a language, as in the result
+    chosen = labelled.join(F.broadcast(totals), "lang").where(share * F.col("_total") < sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
