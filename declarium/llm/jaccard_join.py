@@ -42,7 +42,12 @@ LEAST_FREQUENT = 16
 REPORTED = 3
 # Postings that one task of the join holds.
 TASK_POSTINGS = 4_000_000
+# Groups whose postings are packed together: their numbers fit two bytes.
+PACKED = 10_000
 REMEMBERED = 500_000
+# Bits of the filter on documents whose shingles are needed again: a fixed size; what passes by
+# chance is dropped by the exact join after it.
+FILTER_BITS = 1 << 26
 # Rounds of step 4 with two new centres a shingle, before what is open is paired in full. Rounds
 # end early once there are only a few open pairs for every posting.
 TURNS = 1
@@ -189,7 +194,7 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value[0]
-        for batch in batches:
+        for batch in parts(batches):
             groups = {
                 g: (p, n)
                 for g, p, n in zip(*(batch.column(c).to_pylist() for c in ("gkey", "prefix", "n")))
@@ -199,7 +204,9 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
                 continue
             tokens = [np.frombuffer(p, np.uint64) for p, _ in groups.values()]
             owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), [len(t) for t in tokens])
-            place = np.concatenate([np.arange(len(t), dtype=np.uint32) for t in tokens])
+            # places are lower bounds, so those beyond 65,535 may count as that
+            place = [np.minimum(np.arange(len(t)), 65_535).astype(np.uint16) for t in tokens]
+            place = np.concatenate(place)
             tokens = np.concatenate(tokens)
             names = np.frombuffer(b"".join(groups), "S16")
             sizes = np.array([n for _, n in groups.values()], np.int64)
@@ -213,13 +220,13 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for at in np.split(order, cuts):
-                used, index = np.unique(owner[at], return_inverse=True)
+                used, index = np.unique(owner[at], return_inverse=True)  # at most PACKED
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(bucket[at[0]])], pa.int32()),
                         pa.array([tokens[at].tobytes()], pa.binary()),
                         pa.array([often[at].tobytes()], pa.binary()),
-                        pa.array([index.astype(np.uint32).tobytes()], pa.binary()),
+                        pa.array([index.astype(np.uint16).tobytes()], pa.binary()),
                         pa.array([place[at].tobytes()], pa.binary()),
                         pa.array([names[used].tobytes()], pa.binary()),
                         pa.array([sizes[used].tobytes()], pa.binary()),
@@ -227,17 +234,22 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
                     names=["bucket", "tokens", "often", "owner", "places", "names", "sizes"],
                 )
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, PACKED):
+                yield batch.slice(low, PACKED)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         held = 0
         for batch in batches:
-            kinds = (np.uint64, bool, np.uint32, np.uint32, "S16", np.int64)
+            kinds = (np.uint64, bool, np.uint16, np.uint16, "S16", np.int64)
             for row in range(batch.num_rows):
                 found = [
                     np.frombuffer(batch.column(c + 1)[row].as_py(), kind)
                     for c, kind in enumerate(kinds)
                 ]
-                found[2] = found[2] + np.uint32(held)
+                found[2] = found[2].astype(np.int64) + held
                 held += len(found[4])
                 for column, values in zip(columns, found):
                     column.append(values)
@@ -271,10 +283,9 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
         "bucket int, tokens binary, often binary, owner binary, places binary, names binary, "
         "sizes binary",
     )
-    return (
-        dealt.repartition(tasks, "bucket")
-        .mapInArrow(meet, "token long, gkey binary, n long, place int")
-        .distinct()  # frequent ones may still come twice
+    # copies of a group come to the same task for every token, and are one there
+    return dealt.repartition(tasks, "bucket").mapInArrow(
+        meet, "token long, gkey binary, n long, place int"
     )
 
 
@@ -294,23 +305,66 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str):
-    """(key, shingles) of wanted classes (key, doc), each from one of its documents."""
-    ids = wanted.select("doc").distinct().alias("w")
-    chosen = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")).alias("d")
-    chosen = chosen.join(ids, F.col("d.doc").eqNullSafe(F.col("w.doc")), "left_semi")
+    """(key, shingles) of wanted classes (key, doc), each from one of its documents.
 
-    def sets(batch: pa.RecordBatch) -> dict:
+    A bit set of hashed ids tells in the scan which texts to shingle, so texts are not shuffled.
+    """
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    words = (
+        wanted.select((place / 64).cast("long").alias("word"), (place % 64).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def sets(batch: pa.RecordBatch) -> dict | None:
+        at = batch.column(0).to_numpy().astype(np.uint64)
+        chosen = (shared.value[at // np.uint64(64)] >> (at % np.uint64(64))) & np.uint64(1) == 1
+        if not chosen.any():
+            return None
         known = Words()
-        found = [shingles(text, known) for text in batch.column(0).to_pylist()]
+        texts = batch.column(1).filter(pa.array(chosen)).to_pylist()
+        found = [v for v in (shingles(text, known) for text in texts) if len(v)]
         return {
             "key": pa.array([digest(v) for v in found], pa.binary()),
             "shingles": pa.array([v.tobytes() for v in found], pa.binary()),
         }
 
-    made = map_arrow(chosen.select("text"), sets, "key binary, shingles binary")
+    named = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
+    made = map_arrow(named.select(place, "text"), sets, "key binary, shingles binary")
     return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
+def enough_shared(pairs: DataFrame, grouped: DataFrame, similar: int) -> DataFrame:
+    """The group pairs (a, b) that share enough of their prefixes to be similar.
+
+    What is shared in both prefixes, and all that one of them has beyond its prefix, bounds what
+    is shared altogether. Shingles that only one group has are not in ``grouped``: (gkey, n,
+    tokens).
+    """
+    left = grouped.select(F.col("gkey").alias("a"), F.struct("n", "tokens").alias("x"))
+    right = grouped.select(F.col("gkey").alias("b"), F.struct("n", "tokens").alias("y"))
+    beyond = F.ceil(F.greatest("x.n", "y.n") * similar / F.lit(100.0) - 1e-9) - 1
+    return (
+        pairs.join(left, "a")
+        .join(right, "b")
+        .where(
+            F.size(F.array_intersect("x.tokens", "y.tokens")) + beyond
+            >= needed(F.col("x.n"), F.col("y.n"), similar)
+        )
+        .select("a", "b")
+    )
+
+
+def needed(m, n, similar: int):
+    """Shingles that sets of two sizes must share to be similar."""
+    return F.ceil(similar * (m + n) / F.lit(100.0 + similar) - 1e-9)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b), with whether their similarity reaches the limit."""
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
@@ -392,8 +446,12 @@ def classes_of(docs: DataFrame, similar: int, id_column: str, text_column: str)
         .select(F.col("a.gkey").alias("a"), F.col("b.centre").alias("b"))
     )
     reps = firsts.select("gkey", "rep")
+    grouped = shared_table(
+        posted.groupBy("gkey").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")),
+        "groups",
+    )
     stars = (
-        ordered_pairs(stars)
+        enough_shared(ordered_pairs(stars), grouped, similar)
         .join(reps.select(F.col("gkey").alias("a"), F.col("rep").alias("x")), "a")
         .join(reps.select(F.col("gkey").alias("b"), F.col("rep").alias("y")), "b")
         .select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -403,13 +461,9 @@ def classes_of(docs: DataFrame, similar: int, id_column: str, text_column: str)
     )
     pairs = shared_table(ordered_pairs(stars.union(members)), "stars")
 
-    # classes that any pair may need: of shared shingles, and of groups with several classes
-    shared = posted.select("gkey").union(firsts.where("size > 1").select("gkey")).distinct()
-    wanted = classes.join(shared, "gkey", "left_semi")
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    needs = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     sets = shared_table(
-        shingle_sets(docs, wanted.join(needed, "key", "left_semi"), id_column, text_column),
-        "sets",
+        shingle_sets(docs, classes.join(needs, "key", "left_semi"), id_column, text_column), "sets"
     )
     first_links = shared_table(verify(pairs, sets, similar).where("linked").select("a", "b"), "links")
     labels = components(first_links)
@@ -417,40 +471,51 @@ def classes_of(docs: DataFrame, similar: int, id_column: str, text_column: str)
     # 4: what is still open between components
     edges, done = first_links, pairs
     for turn in range(TURNS + 1):
-        listed = open_lists(posted, wanted, firsts, labels)
-        size = listed.agg(F.count(F.lit(1)), F.sum("others")).first()
+        listed, size = open_lists(posted, classes, firsts, labels)
         if not size[0]:
             break
-        if turn == TURNS or size[1] <= PAIRS_PER_POSTING * size[0]:
-            more, turn = all_pairs(listed, similar), TURNS
-        else:
-            more = star_pairs(listed, similar, turn)
+        last = turn == TURNS or size[1] <= PAIRS_PER_POSTING * size[0]
+        more = all_pairs(listed, similar) if last else star_pairs(listed, similar, turn)
+        more = enough_between(more, classes, grouped, similar)
         more = shared_table(more.join(done, ["a", "b"], "left_anti"), "open")
         if not more.isEmpty():
             keys = more.select(F.col("a").alias("key")).union(more.select("b")).distinct()
-            missing = wanted.join(keys, "key", "left_semi").join(sets, "key", "left_anti")
+            missing = classes.join(keys, "key", "left_semi").join(sets, "key", "left_anti")
+            missing = shared_table(missing.select("key", "doc"), "missing")
             if not missing.isEmpty():
-                sets = sets.union(
-                    shared_table(shingle_sets(docs, missing, id_column, text_column), "sets")
-                )
+                found = shingle_sets(docs, missing, id_column, text_column)
+                sets = sets.union(shared_table(found, "sets"))
             found = verify(more, sets, similar).where("linked").select("a", "b")
             found = shared_table(found, "links")
             done = done.union(more)
             if not found.isEmpty():
                 edges = edges.union(found)
                 labels = components(edges)
-        if turn == TURNS:
+        if last:
             break
     return described, classes, labels
 
 
-def open_lists(posted, wanted, firsts, labels) -> DataFrame:
-    """(token, place, key, n, component, others) under shingles that several components have.
+def enough_between(pairs: DataFrame, classes: DataFrame, grouped: DataFrame, similar: int):
+    """Class pairs (a, b) of one group, or of groups that share enough."""
+    own = classes.select("key", "gkey")
+    named = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    named = shared_table(named, "candidates")
+    groups = named.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    enough = enough_shared(ordered_pairs(groups), grouped, similar).toDF("x", "y")
+    flat = named.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return (
+        flat.where("x = y").select("a", "b").union(flat.join(enough, ["x", "y"]).select("a", "b"))
+    )
+
+
+def open_lists(posted, classes, firsts, labels) -> tuple:
+    """(token, place, key, n, component) under shingles that several components have.
 
-    ``others``: how many classes of other components the shingle has. A group of several classes
-    is a list of its own; its classes share their whole prefix, so its place is 0.
+    A group of several classes is a list of its own; its classes share their whole prefix, so
+    its place is 0. With it, how many postings there are and how many pairs they could make.
     """
-    labelled = wanted.join(labels, "key", "left").select(
+    labelled = classes.join(labels, "key", "left").select(
         "gkey", "key", "n", F.coalesce("component", "key").alias("component")
     )
     groups = labelled.join(firsts.where("size > 1").select("gkey"), "gkey", "left_semi")
@@ -460,12 +525,12 @@ def open_lists(posted, wanted, firsts, labels) -> DataFrame:
         .select("token", "place", "key", "n", "component")
         .union(groups.select(F.xxhash64("gkey", F.lit(1)), F.lit(0), "key", "n", "component"))
     )
-    counted = listed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("own"))
-    sums = counted.groupBy("token").agg(F.sum("own").alias("all"), F.count("own").alias("kinds"))
-    mixed = counted.join(sums.where("kinds > 1"), "token").select(
-        "token", "component", (F.col("all") - F.col("own")).alias("others")
+    sums = listed.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("key").alias("m")
     )
-    return shared_table(listed.join(mixed, ["token", "component"]), "lists")
+    mixed = shared_table(sums.where("x <> y").select("token", "m"), "mixed")
+    size = mixed.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1))).first()
+    return listed.join(mixed.select("token"), "token", "left_semi"), size
 
 
 def star_pairs(listed: DataFrame, similar: int, turn: int) -> DataFrame:
@@ -485,10 +550,10 @@ def all_pairs(listed: DataFrame, similar: int) -> DataFrame:
 def joined_lists(left: DataFrame, right: DataFrame, similar: int, apart: str) -> DataFrame:
     """Pairs under one shingle whose sizes, and places of the shingle, allow the similarity.
 
-    A similar pair shares at least s / (100 + s) of both sizes together, so its first shared
-    shingle stands early in both: after it, each must hold enough.
+    The first shared shingle of a similar pair stands early in both: from there on, each must
+    hold all that they share.
     """
-    shared = F.ceil(similar * (F.col("a.n") + F.col("b.n")) / F.lit(100.0 + similar) - 1e-9)
+    shared = needed(F.col("a.n"), F.col("b.n"), similar)
     early = (F.col("a.n") - F.col("a.place") >= shared) & (
         F.col("b.n") - F.col("b.place") >= shared
     )
