@@ -34,12 +34,13 @@ SHINGLE = 5
 SIMILAR = 75
 # Bytes of text shingled at once.
 SLICE_BYTES = 8 << 20
-# Shingles known to be frequent: all documents count, and a shingle is frequent with more than
-# its share of this many, so that there are never more of them (8 bytes each are broadcast).
+# Shingles taken as frequent: those that reach a number of occurrences, which doubles from the
+# least until there are no more of them than this (16 bytes each are broadcast).
 FREQUENT = 1 << 20
 LEAST_FREQUENT = 16
-# Occurrences within one slice from which a slice reports a shingle.
-REPORTED = 3
+# A task counts this many shingles together, and reports those that occur this often.
+COUNTED_AT_ONCE = 4_000_000
+REPORTED = 2
 # Postings that one task of the join holds.
 TASK_POSTINGS = 4_000_000
 # Groups whose postings are packed together: their numbers fit two bytes.
@@ -123,24 +124,34 @@ def frequent_shingles(docs: DataFrame, id_column: str, text_column: str) -> tupl
     They decide the order of shingles only; any order gives the same result.
     """
 
+    def report(found: list[np.ndarray]) -> pa.RecordBatch:
+        """Shingles seen more than once; the last row carries the number of all shingles."""
+        values = np.concatenate(found)
+        values.sort()
+        edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        times = np.diff(edges, append=len(values))
+        often = times >= REPORTED
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(values[edges][often].view(np.int64), 0)),
+                pa.array(np.append(times[often], 0)),
+                pa.array(np.append(np.zeros(often.sum(), np.int64), len(values))),
+            ],
+            names=["token", "n", "total"],
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known, found, held = Words(), [], 0
         for batch in batches:
             for part in slices(batch, 0, SLICE_BYTES):
-                found = np.concatenate([shingles(t, known) for t in part.column(0).to_pylist()])
-                found.sort()
-                edges = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-                times = np.diff(edges, append=len(found))
-                often = times >= REPORTED
-                # the first row carries the number of shingles of the slice
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.append(found[edges][often].view(np.int64), 0)),
-                        pa.array(np.append(times[often], 0)),
-                        pa.array(np.append(np.zeros(often.sum(), np.int64), len(found))),
-                    ],
-                    names=["token", "n", "total"],
-                )
+                for text in part.column(0).to_pylist():
+                    found.append(shingles(text, known))
+                    held += len(found[-1])
+                if held >= COUNTED_AT_ONCE:
+                    yield report(found)
+                    found, held = [], 0
+        if held:
+            yield report(found)
 
     counted = docs.select(text_column).mapInArrow(count, "token long, n long, total long")
     sums = shared_table(
@@ -148,7 +159,13 @@ def frequent_shingles(docs: DataFrame, id_column: str, text_column: str) -> tupl
         "shingles",
     )
     total = sums.agg(F.sum("total")).first()[0] or 0
-    least = max(LEAST_FREQUENT, total // FREQUENT + 1)
+    # the smallest power of two that leaves no more than FREQUENT of them
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = sums.where("n > 0").groupBy(power.alias("power")).count().collect()
+    sizes = {row.power: row["count"] for row in sizes}
+    least = LEAST_FREQUENT
+    while sum(n for p, n in sizes.items() if 2**p >= least) > FREQUENT:
+        least *= 2
     often = sums.where(F.col("n") >= least).select("token", "n").toArrow()
     tokens = often.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
@@ -476,7 +493,7 @@ def classes_of(docs: DataFrame, similar: int, id_column: str, text_column: str)
             break
         last = turn == TURNS or size[1] <= PAIRS_PER_POSTING * size[0]
         more = all_pairs(listed, similar) if last else star_pairs(listed, similar, turn)
-        more = enough_between(more, classes, grouped, similar)
+        more = enough_between(more, grouped, similar)
         more = shared_table(more.join(done, ["a", "b"], "left_anti"), "open")
         if not more.isEmpty():
             keys = more.select(F.col("a").alias("key")).union(more.select("b")).distinct()
@@ -496,21 +513,19 @@ def classes_of(docs: DataFrame, similar: int, id_column: str, text_column: str)
     return described, classes, labels
 
 
-def enough_between(pairs: DataFrame, classes: DataFrame, grouped: DataFrame, similar: int):
-    """Class pairs (a, b) of one group, or of groups that share enough."""
-    own = classes.select("key", "gkey")
-    named = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    named = shared_table(named, "candidates")
-    groups = named.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    enough = enough_shared(ordered_pairs(groups), grouped, similar).toDF("x", "y")
-    flat = named.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+def enough_between(pairs: DataFrame, grouped: DataFrame, similar: int) -> DataFrame:
+    """Class pairs (a, b) out of (a, x, b, y) whose groups x and y are one or share enough."""
+    pairs = shared_table(pairs, "candidates")
+    flat = pairs.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    groups = ordered_pairs(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    enough = enough_shared(groups, grouped, similar).toDF("x", "y")
     return (
         flat.where("x = y").select("a", "b").union(flat.join(enough, ["x", "y"]).select("a", "b"))
     )
 
 
 def open_lists(posted, classes, firsts, labels) -> tuple:
-    """(token, place, key, n, component) under shingles that several components have.
+    """(token, place, gkey, key, n, component) under shingles that several components have.
 
     A group of several classes is a list of its own; its classes share their whole prefix, so
     its place is 0. With it, how many postings there are and how many pairs they could make.
@@ -522,8 +537,10 @@ def open_lists(posted, classes, firsts, labels) -> tuple:
     listed = (
         posted.select("token", "gkey", "place")
         .join(labelled, "gkey")
-        .select("token", "place", "key", "n", "component")
-        .union(groups.select(F.xxhash64("gkey", F.lit(1)), F.lit(0), "key", "n", "component"))
+        .select("token", "place", "gkey", "key", "n", "component")
+        .union(
+            groups.select(F.xxhash64("gkey", F.lit(1)), F.lit(0), "gkey", "key", "n", "component")
+        )
     )
     sums = listed.groupBy("token").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("key").alias("m")
@@ -536,7 +553,7 @@ def open_lists(posted, classes, firsts, labels) -> tuple:
 def star_pairs(listed: DataFrame, similar: int, turn: int) -> DataFrame:
     """Every class with two of its shingle's classes, others in every turn and shingle."""
     one = F.struct(
-        F.xxhash64("key", "token", F.lit(turn)).alias("h"), "key", "n", "component", "place"
+        F.xxhash64("key", "token", F.lit(turn)).alias("h"), "gkey", "key", "n", "component", "place"
     )
     ends = listed.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high"))
     ends = ends.select("token", F.explode(F.array("low", "high")).alias("c")).select("token", "c.*")
@@ -558,9 +575,17 @@ def joined_lists(left: DataFrame, right: DataFrame, similar: int, apart: str) ->
         F.col("b.n") - F.col("b.place") >= shared
     )
     pairs = left.alias("a").join(right.alias("b"), "token").where(apart).where(near(similar))
-    return ordered_pairs(
-        pairs.where(early).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-    )
+    swap = F.col("a.key") > F.col("b.key")
+    one, two = F.struct("a.key", "a.gkey"), F.struct("b.key", "b.gkey")
+    return (
+        pairs.where(early)
+        .select(F.when(swap, two).otherwise(one).alias("p"), F.when(swap, one).otherwise(two).alias("q"))
+        .select(
+            F.col("p.key").alias("a"), F.col("p.gkey").alias("x"),
+            F.col("q.key").alias("b"), F.col("q.gkey").alias("y"),
+        )
+        .distinct()
+    )
 
 
 def near_duplicates(
