@@ -645,7 +645,7 @@ def first_of_groups(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 def _first_of_unclear(docs: DataFrame, unclear: DataFrame, kept: DataFrame) -> DataFrame:
     u, k = unclear.select(F.col("doc_id").alias("u")), kept.alias("k")
     rows = docs.join(u, F.col("doc_id").eqNullSafe(F.col("u")), "left_semi")
-    place = rows.columns.index("text")
+    place, names = rows.columns.index("text"), [*rows.columns, "_key", "_empty"]
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -654,7 +654,7 @@ def _first_of_unclear(docs: DataFrame, unclear: DataFrame, kept: DataFrame) -> D
             keys = pa.array([digest(v) for v in found], pa.binary())
             empty = pa.array([not len(v) for v in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, keys, empty], names=[*rows.columns, "_key", "_empty"]
+                [*batch.columns, keys, empty], names=names
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -91,9 +91,9 @@ def mixture(
     text_column: str = "text",
     source_column: str = "source",
     shard_docs: int = SHARD_DOCS,
-    keep: list[str] | None = None,
+    whole_rows: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row; ``keep`` names further columns.
+    """doc_id, size, source_size, target, taken for every row, and on request ``row``, all of it.
 
     Sizes are counts of words; null and empty texts have none and take none. Sources are in the
     order of their code points, null last, a source of its own. A source without words has a
@@ -101,15 +101,16 @@ def mixture(
     id and text only, so reruns agree; rows equal in both have equal places in any order.
     """
     spark = docs.sparkSession
-    keep = keep or []
+    own = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    row = ["row"] if whole_rows else []
     sized = docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).alias("_source"),
         word_count(F.col(text_column)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("_order"),
-        *keep,
+        *own,
     )
-    if not keep:  # a few numbers a document: read the texts once
+    if not whole_rows:  # a few numbers a document: read the texts once
         sized = shared_table(sized, "sizes")
     totals = sized.groupBy("_source").agg(
         F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")
@@ -142,7 +143,7 @@ def mixture(
         .join(plan.alias("p"), F.col("d._source").eqNullSafe(F.col("p._source")))
         .select(
             "d.doc_id", "d.size", "d._order", "p.source_size", "p.target", "p._quota",
-            *[f"d.{c}" for c in keep],
+            *[f"d.{c}" for c in row],
             F.struct(F.col("d._source").alias("source")).alias("_source"),
             F.pmod(F.xxhash64(F.col("d._order"), F.lit(seed)), F.col("p._shards")).alias("_shard"),
         )
@@ -178,7 +179,7 @@ def mixture(
         )
     )
     return placed.select(
-        "doc_id", "size", "source_size", "target", taken(seed).alias("taken"), *keep
+        "doc_id", "size", "source_size", "target", taken(seed).alias("taken"), *row
     )
 
 
@@ -214,12 +215,11 @@ def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     Times are rounded: a document at the end of a shard's choice, taken in part, stays whole
     if at least half of it is taken. Documents without words are in no block, and go.
     """
-    columns = docs.columns
-    mixed = mixture(docs, keep=[c for c in columns if c != "doc_id"], **settings)
+    mixed = mixture(docs, whole_rows=True, **settings)
     times = F.round(F.col("taken") / F.col("size")).cast("int")
     return (
-        mixed.select(*columns, times.alias("_times"))
-        .where(F.col("_times") > 0)
-        .withColumn("_times", F.explode(F.sequence(F.lit(1), "_times")))
-        .select(*columns)
+        mixed.select("row", times.alias("times"))
+        .where("times > 0")
+        .select("row", F.explode(F.sequence(F.lit(1), "times")))
+        .select("row.*")
     )
