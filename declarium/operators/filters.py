@@ -37,7 +37,8 @@ def apply_filters(
 
     An omitted bound is open, which selects the same rows as the table's own first or last
     date; undated records never pass. An empty selection does not filter. Every condition
-    is on a plain column, so a columnar source can skip row groups and partitions.
+    is on a plain column, so a columnar source can skip row groups; tables written in folders
+    by year also get bounds on the year, so that whole folders are skipped.
     """
     start = as_date(start) if start is not None else None
     end = as_date(end) if end is not None else None
@@ -45,10 +46,13 @@ def apply_filters(
         raise ValueError("The start date must not be after the end date.")
     when = F.col(columns.date)
     result = records.where(when.isNotNull())
+    by_year = {"year", "declarationYear"} <= set(records.columns)  # a table in folders by year
     if start:
         result = result.where(when >= F.lit(start))
+        result = result.where(F.col("year") >= start.year) if by_year else result
     if end:
         result = result.where(when < F.lit(end + timedelta(days=1)))
+        result = result.where(F.col("year") <= end.year) if by_year else result
     selections = [
         (columns.geo, geos),
         (columns.group, groups),
@@ -68,13 +72,24 @@ def date_range(
     start: date | str | None = None,
     end: date | str | None = None,
 ) -> DataFrame:
-    """The bounds a request resolves to, and the number of dated records in the table."""
+    """The bounds a request resolves to, and the number of dated records in the table.
+
+    A first bound after the last one, given or of the table, is an error.
+    """
+    if start and end and as_date(start) > as_date(end):
+        raise ValueError("The start date must not be after the end date.")
+    message = F.lit("The start date must not be after the end date.")
     first, last = F.min(columns.date).cast("date"), F.max(columns.date).cast("date")
     return records.agg(
         (F.lit(as_date(start)) if start else first).alias("start_date"),
         (F.lit(as_date(end)) if end else last).alias("end_date"),
         F.count(columns.date).alias("dated_records"),
-    ).where(F.col("start_date").isNotNull() & F.col("end_date").isNotNull())
+    ).where(F.col("start_date").isNotNull() & F.col("end_date").isNotNull()).withColumn(
+        "end_date",
+        F.when(F.col("start_date") <= F.col("end_date"), F.col("end_date")).otherwise(
+            F.raise_error(message).cast("date")
+        ),
+    )
 
 
 def listing(records: DataFrame, wanted: list[str] = LISTING_COLUMNS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from declarium.operators.filters import require_range
-from declarium.operators.scale import dense_positions
+from declarium.operators.scale import BROADCAST_ROWS, dense_positions
 
 
 def head(df: DataFrame, order: list[Column], n: int = 1000) -> DataFrame:
@@ -35,4 +35,5 @@ def systematic(df: DataFrame, key: str, date: str, n: int = 1000) -> DataFrame:
     # The first step i that reaches the position, and the position that step takes.
     reached = placed.withColumn("_step", F.expr(f"(_position * {n} + {rows} - 1) div {rows}"))
     chosen = reached.where((F.col("_step") < n) & F.expr(f"_step * {rows} div {n} = _position"))
-    return df.join(F.broadcast(chosen.select(key)), key, "left_semi")
+    keys = chosen.select(key)
+    return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, key, "left_semi")

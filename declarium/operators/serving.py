@@ -55,10 +55,13 @@ def serve(
     horizon: int = 12,
     history_months: int = 60,
 ) -> DataFrame:
-    """Stored rows where usable, freshly computed ones for every other region."""
+    """Stored rows where usable, freshly computed ones for every other region.
+
+    All columns of the computed rows; those that the stored table lacks are null in its rows.
+    """
     kept = serving_slice(stored, as_of, horizon, history_months)
     rest = recomputed.join(kept.select("region").distinct(), "region", "left_anti")
-    return kept.unionByName(rest.select(kept.columns))
+    return rest.unionByName(kept, allowMissingColumns=True).select(recomputed.columns)
 
 
 # Names in the served rows.

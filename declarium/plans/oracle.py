@@ -181,11 +181,10 @@ def trend_sql(used: str, digits) -> str:
         FROM changed)
     SELECT direction, {digits('p')} AS prior_average, {digits('r')} AS recent_average,
         {digits('c')} AS percent_change, recent_years,
-        CASE WHEN c > 5 THEN printf('The average annual declaration-record total is %.1f%% higher '
-            || 'in the most recent %d complete years than in the preceding comparison period. '
-            || 'This indicates an increasing long-term administrative record pattern.',
+        CASE WHEN c > 5 THEN printf('Yearly records grew by %.1f%% from the earlier years to the '
+            || 'last %d complete ones: the long-term tendency is upwards.',
             round_even(abs(c), 1), recent_years)
-        ELSE 'This indicates a ' || direction || ' long-term administrative record pattern.'
+        ELSE 'Over the long term, yearly records are ' || direction || '.'
         END AS interpretation
     FROM named"""
 
@@ -703,18 +702,16 @@ ORACLE: dict[str, str] = {
             QUALIFY row_number() OVER (PARTITION BY year ORDER BY k DESC, category) = 1)
         SELECT year, n AS declaration_records, category AS top_incident_type,
             k AS top_incident_records, round_even(k * 100 / n, 1) AS share,
-            format('{{}} contains {{:,}} declaration records. {{}} is the leading category with '
-                || '{{:,}} records ({{}}% of that year), showing which incident classification '
-                || 'contributes most to the spike.', year, n, category, k,
+            format('Of the records of {{}}, {{:,}} in all, {{}} accounts for the largest part: '
+                || '{{:,}}, or {{}}%.', year, n, category, k,
                 printf('%.1f', round_even(k * 100 / n, 1))) AS explanation
         FROM used JOIN kinds USING (year) ORDER BY n DESC, year LIMIT 3""",
     "insight_records_vs_entities": f"""WITH {SELECTED}, counted AS (
             SELECT count(*) AS n, count(DISTINCT entity) AS e FROM selected)
         SELECT n AS declaration_records, e AS unique_disaster_numbers,
             CASE WHEN e > 0 THEN round_even(n / e, 2) ELSE 0.0 END AS records_per_disaster,
-            format('The selected data contains {{:,}} administrative records for {{:,}} distinct '
-                || 'disaster numbers, or about {{}} records per disaster number. The larger '
-                || 'record count reflects separate designated areas and declaration details.',
+            format('{{:,}} records belong to {{:,}} disasters: {{}} for each, as every area has '
+                || 'its own record.',
                 n, e, printf('%.2f', round_even(n / e, 2))) AS interpretation
         FROM counted""",
     "monthly_series_region": f"WITH {series_sql('grp')} SELECT * FROM series",

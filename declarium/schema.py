@@ -96,7 +96,7 @@ FORECAST_EXPORT_COLUMNS = [
     "incidentTypeConfidence", "likelyAreas", "declarationRecords", "lowerEstimate",
     "upperEstimate",
 ]
-# A stored forecast without these columns is not served.
+# A stored forecast without these columns is not served.
 FORECAST_TYPE_COLUMNS = [
     "likelyIncidentType", "incidentTypeSupport", "incidentTypeConfidence",
     "likelyAreas", "incidentTypeMethod", "incidentTypeLimitation",

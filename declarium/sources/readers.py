@@ -14,6 +14,10 @@ from declarium.operators.normalise import normalise
 from declarium.schema import NORMALISED_COLUMNS, RAW_COLUMNS
 
 
+# The column that a table written by year is divided by.
+YEAR_FOLDER = "year"
+
+
 @dataclass(frozen=True)
 class Candidate:
     """A place the data may be found in; any path Spark reads, ``s3a://`` included."""
@@ -35,13 +39,22 @@ class Loaded:
         )
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def has_open_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field holds a line break: some line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A CSV file with a header, every field as text, missing-value spellings as NULL.
 
     The header names the columns, so files with fewer or other columns read too; types are
-    never inferred. ``multi_line`` is needed only where a quoted field holds a line break:
-    such a file cannot be split and is read by one task per file.
+    never inferred. Quoted fields may hold line breaks: unless ``multi_line`` says so, the lines
+    are looked through for it first, in parallel. Files with such fields cannot be split and
+    are read by one task each; all others are.
     """
+    if multi_line is None:
+        multi_line = has_open_lines(spark, path)
     lines = spark.read.option("header", True).option("escape", '"').option(
         "multiLine", multi_line
     )
@@ -49,7 +62,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return header.select([csv_value(F.col(f"`{name}`")).alias(name) for name in header.columns])
 
 
-def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """The published file; its known columns first, in their published order."""
     df = read_csv(spark, path, multi_line)
     known = [name for name in RAW_COLUMNS if name in df.columns]
@@ -71,16 +84,24 @@ def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns(typed).where(F.col("month").isNotNull())
 
 
+CSV_ENDINGS = (".csv", ".csv.gz")
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw(spark, path) if path.endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+    """A CSV file, a folder of CSV files, or a Parquet table."""
+    names = [path, *listing(spark, path)]
+    return read_raw(spark, path) if any(map(is_csv, names)) else spark.read.parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(
-        hadoop_path
-    )
+def is_csv(name: str) -> bool:
+    return name.endswith(CSV_ENDINGS)
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, or that of the file; an error if there is no such path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [found.getPath().getName() for found in files.listStatus(place)]
 
 
 def load_best(
@@ -88,26 +109,34 @@ def load_best(
     candidates: Iterable[Candidate],
     order: list[Column] | None = None,
 ) -> Loaded:
-    """The first candidate that exists and holds records after normalising.
+    """The first candidate that can be read and holds rows.
 
-    List object storage before local files, full data before samples. Tables with exactly
-    the normalised columns' types are taken as they are.
+    List object storage before local files, full data before samples. Whatever is wrong with a
+    candidate - missing, denied, corrupt, another format - the next one is tried; the error at
+    the end names every reason. Normalising keeps a row of every table that has one, so rows are
+    looked for before it. Tables with exactly the normalised columns' types are taken as they
+    are.
     """
     tried = []
     for candidate in candidates:
-        tried.append(candidate.path)
-        if not exists(spark, candidate.path):
+        try:
+            df = read_any(spark, candidate.path)
+            if df.isEmpty():
+                tried.append(f"{candidate.path} (empty)")
+                continue
+            records = df if is_normalised(df) else normalise(df, order)
+        except Exception as error:  # any failure of a source: the next one may do
+            reason = (str(error).strip().splitlines() or [""])[0][:200]
+            tried.append(f"{candidate.path} ({type(error).__name__}: {reason})")
             continue
-        df = read_any(spark, candidate.path)
-        records = df if is_normalised(df) else normalise(df, order)
-        if not records.isEmpty():
-            return Loaded(records, candidate.label, candidate.is_sample)
-    raise FileNotFoundError(f"No data set could be loaded from: {', '.join(tried)}")
+        return Loaded(records, candidate.label, candidate.is_sample)
+    raise FileNotFoundError(f"No data set could be loaded from: {'; '.join(tried)}")
 
 
 def is_normalised(df: DataFrame) -> bool:
-    """Written by this library: the normalised columns, dates typed."""
-    return df.columns == [name for name in NORMALISED_COLUMNS if name in df.columns] and (
+    """Written by this library: the normalised columns, dates typed; by year or not."""
+    columns = [name for name in df.columns if name != YEAR_FOLDER]
+    return columns == [name for name in NORMALISED_COLUMNS if name in columns] and (
         isinstance(df.schema["declarationDate"].dataType, (T.TimestampNTZType, T.TimestampType))
         if "declarationDate" in df.columns
         else False
@@ -115,12 +144,13 @@ def is_normalised(df: DataFrame) -> bool:
 
 
 def default_candidates(folder: str, object_store: str | None = None) -> list[Candidate]:
-    """The usual places, best first: object store, dashboard, cleaned, raw, samples."""
+    """The usual places, best first: object store, dashboard, cleaned, raw, landed, samples."""
     found = [Candidate(object_store, f"Object store: {object_store}")] if object_store else []
     return found + [
         Candidate(f"{folder}/curated/dashboard_dataset", "Local dashboard dataset"),
         Candidate(f"{folder}/cleaned/declarations_cleaned", "Local cleaned dataset"),
         Candidate(f"{folder}/raw/declarations_raw.csv", "Local raw dataset"),
+        Candidate(f"{folder}/landed/declarations.csv", "Landed copy of the published file"),
         Candidate(f"{folder}/sample/dashboard_dataset_sample", "Dashboard sample", True),
         Candidate(f"{folder}/sample/declarations_cleaned_sample", "Cleaned sample", True),
         Candidate(f"{folder}/sample/declarations_sample.csv", "Raw sample", True),

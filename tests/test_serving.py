@@ -87,3 +87,29 @@ def test_comparison_starts_with_the_preferred_regions(spark):
     df = spark.createDataFrame([(f"Region {i}",) for i in (10, 9, 2, 1, 4)], "region string")
     assert [r.region for r in serving.comparison_regions(df).collect()] == [
         "Region 4", "Region 9", "Region 1"]
+
+
+def test_served_rows_keep_columns_that_the_stored_table_lacks(spark):
+    from declarium.operators.serving import serve
+
+    stored = spark.createDataFrame(
+        [("Region 1", None, "Forecast")], "region string, month date, recordType string"
+    ).limit(0)
+    columns = "region string, month date, recordType string, likelyIncidentType string"
+    computed = spark.createDataFrame([("Region 2", None, "Forecast", "Fire")], columns)
+    served = serve(stored, computed, "2024-05-01")
+    assert served.columns == computed.columns
+    assert [r.likelyIncidentType for r in served.collect()] == ["Fire"]
+
+
+def test_arguments_are_checked_before_any_job(spark):
+    import pytest
+
+    from declarium.operators.filters import date_range
+    from declarium.operators.forecast import region_forecast
+
+    records = spark.range(1)
+    with pytest.raises(ValueError):
+        region_forecast(records, as_of="2024-05-01", horizon=99)
+    with pytest.raises(ValueError):
+        date_range(records, start="2024-05-02", end="2024-05-01")

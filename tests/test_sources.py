@@ -129,3 +129,58 @@ def test_unreadable_months_are_dropped(spark, tmp_path):
     path.write_text("region,month,declarationRecords\nRegion 1,2020-01-01,3\nRegion 1,bad,4\n")
     rows = readers.read_forecast(spark, str(path)).collect()
     assert [tuple(r) for r in rows] == [("Region 1", date(2020, 1, 1), 3)]
+
+
+RAW_LINES = (
+    "id,declarationDate,state,declarationTitle,declarationType\n"
+    '1,2020-01-02T00:00:00.000Z,TX,"TWO\nLINES",DR\n'
+    "2,2020-01-03T00:00:00.000Z,TX,PLAIN,DR\n"
+)
+
+
+def test_line_breaks_in_fields_by_default(spark, tmp_path):
+    path = tmp_path / "raw" / "declarations_raw.csv"
+    path.parent.mkdir()
+    path.write_text(RAW_LINES)
+    assert [r.id for r in readers.read_raw(spark, str(path)).collect()] == ["1", "2"]
+    loaded = readers.load_best(spark, readers.default_candidates(str(tmp_path)))
+    assert sorted(r.id for r in loaded.records.collect()) == ["1", "2"]
+    assert readers.has_open_lines(spark, str(path))
+
+
+def test_failing_sources_are_passed_over(spark, tmp_path):
+    broken = tmp_path / "curated" / "dashboard_dataset"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("this is no table")
+    landed = tmp_path / "landed" / "declarations.csv"
+    landed.parent.mkdir()
+    landed.write_text(RAW_LINES)
+    candidates = readers.default_candidates(str(tmp_path), "nosuchstore://bucket/x")
+    loaded = readers.load_best(spark, candidates)
+    assert loaded.source_label == "Landed copy of the published file"
+    assert loaded.records.count() == 2
+    with pytest.raises(FileNotFoundError, match="nosuchstore.*dashboard_dataset"):
+        readers.load_best(spark, candidates[:2])
+
+
+def test_samples_of_the_pipeline_are_read_as_csv(spark, tmp_path):
+    folder = tmp_path / "sample" / "declarations_cleaned_sample"
+    folder.mkdir(parents=True)
+    (folder / "part-00000.csv").write_text(RAW_LINES)
+    loaded = readers.load_best(spark, readers.default_candidates(str(tmp_path)))
+    assert loaded.source_label == "Cleaned sample" and loaded.records.count() == 2
+
+
+def test_date_filters_skip_folders(spark, tmp_path):
+    from declarium.operators.filters import apply_filters
+
+    raw = tmp_path / "raw.csv"
+    raw.write_text(RAW_LINES.replace("2,2020", "2,2021"))
+    records = normalise.normalise(readers.read_raw(spark, str(raw)))
+    path = writers.write_records(records, str(tmp_path / "by_year"))
+    stored = spark.read.parquet(path)
+    assert readers.is_normalised(stored)
+    chosen = apply_filters(stored, start="2021-01-01")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert [r.id for r in chosen.collect()] == ["2"]
