@@ -41,8 +41,8 @@ PERCENTILE = 95
 # Ids after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 18
 # Bytes of text encoded at once, and words whose ids a worker remembers.
-SLICE_BYTES = 16 << 20
-REMEMBERED = 500_000
+SLICE_BYTES = 8 << 20
+REMEMBERED = 400_000
 JOINED_BYTES = 1 << 16
 # Printable ASCII, line breaks and Latin letters.
 PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ɏ]*")
