@@ -157,9 +157,9 @@ def summary(
 ) -> DataFrame:
     """Key figures in one row: records, distinct entities, leading place and category, peak year.
 
-    One scan and one shuffle: the grouping sets count every single key, entities included,
-    and the last step picks the largest of each kind from those counts. No row, if there
-    are no records.
+    One scan: the records are counted by all keys, the grouping sets count every single key
+    from that, entities included, and the last step picks the largest of each kind. No row,
+    if there are no records.
     """
     kinds = ["geo", "category", "year", "entity"]
     keyed = records.select(
@@ -169,9 +169,10 @@ def summary(
         F.col(columns.entity).alias("entity"),
         *([F.col(weight)] if weight else []),
     )
+    combined = keyed.groupBy(*kinds).agg(tally(weight).alias("n"))
     kind = F.grouping_id()
-    counts = keyed.groupingSets([[F.col(k)] for k in kinds], *kinds).agg(
-        tally(weight).alias("n"), kind.cast("int").alias("kind")
+    counts = combined.groupingSets([[F.col(k)] for k in kinds], *kinds).agg(
+        F.sum("n").alias("n"), kind.cast("int").alias("kind")
     )
     # grouping_id sets the bit of each key that is rolled up: 0111, 1011, 1101, 1110.
     is_kind = {k: F.col("kind") == 15 - (8 >> i) for i, k in enumerate(kinds)}
@@ -203,14 +204,17 @@ def metadata(records: DataFrame, columns: Columns = Columns()) -> DataFrame:
         "declaration_types": F.col(columns.type_label),
         "years": F.year(columns.date).cast("string"),
     }
-    keyed = records.select(
-        *[expression.alias(name) for name, expression in fields.items()],
-        F.col(columns.date).cast("date").alias("day"),
+    day = F.col(columns.date).cast("date")
+    # Grouping sets copy their input once per set, so the records are combined before them.
+    keyed = (
+        records.select(*[e.alias(name) for name, e in fields.items()], day.alias("day"))
+        .groupBy(*fields)
+        .agg(F.min("day").alias("first"), F.max("day").alias("last"))
     )
     # One set per field, and the empty set for the range over the whole table.
     sets = [[F.col(field)] for field in fields] + [[]]
     counts = keyed.groupingSets(sets, *fields).agg(
-        F.grouping_id().alias("set"), F.min("day").alias("first"), F.max("day").alias("last")
+        F.grouping_id().alias("set"), F.min("first").alias("first"), F.max("last").alias("last")
     )
     whole_table = F.col("set") == 2 ** len(fields) - 1
     values = {field: F.col(field) for field in fields} | {

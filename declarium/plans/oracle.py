@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from declarium.operators.insights import LIMITATIONS
 from declarium.plans.registry import CATEGORIES, END, HORIZON, REGION, START, YEAR
 from declarium.plans.tables import RAW
 from declarium.schema import (
@@ -533,6 +534,21 @@ SEASON_MONTHS = "CASE name " + " ".join(
     for s, months in SEASONS.items()
 ) + " END"
 
+REPEATED = """repeated AS (
+    SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)"""
+
+
+def per_entity(with_: str, source: str) -> str:
+    return f"""WITH {with_}, counted AS (
+            SELECT count(*) AS n, count(DISTINCT entity) AS e FROM {source})
+        SELECT n AS declaration_records, e AS unique_disaster_numbers,
+            CASE WHEN e > 0 THEN round_even(n / e, 2) ELSE 0.0 END AS records_per_disaster,
+            format('{{:,}} records belong to {{:,}} disasters: {{}} for each, as every area has '
+                || 'its own record.',
+                n, e, printf('%.2f', round_even(n / e, 2))) AS interpretation
+        FROM counted"""
+
+
 ORACLE: dict[str, str] = {
     "filter_records": f"""WITH {RECORDS}
         SELECT id, entity, recorded_at, geo, grp, category, type_label, area FROM records
@@ -630,20 +646,19 @@ ORACLE: dict[str, str] = {
             l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC,
             l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC,
             l_linestatus DESC) = 1""",
-    "distinct_rows": """SELECT DISTINCT l_quantity, l_discount, l_returnflag, l_linestatus
-        FROM lineitem""",
+    "distinct_rows": f"WITH {REPEATED} SELECT DISTINCT * FROM repeated",
     "profile_nulls": f"WITH {TYPED} " + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing FROM typed"
         for c in RAW
     ),
-    "profile_sizes": """SELECT count(*) AS total_rows, CAST(5 AS INTEGER) AS total_columns,
-            count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_quantity, l_returnflag,
-                l_linestatus, l_shipdate FROM lineitem)) AS duplicate_rows
-        FROM lineitem""",
-    "profile_removed": """SELECT count(*) AS rows_before,
-            count(DISTINCT l_orderkey) AS rows_after,
-            count(*) - count(DISTINCT l_orderkey) AS duplicates_removed
-        FROM lineitem""",
+    "profile_sizes": f"""WITH {REPEATED}
+        SELECT count(*) AS total_rows, CAST(11 AS INTEGER) AS total_columns,
+            count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM repeated)) AS duplicate_rows
+        FROM repeated""",
+    "profile_removed": f"""WITH {REPEATED}, kept AS (SELECT DISTINCT * FROM repeated)
+        SELECT count(*) AS rows_before, (SELECT count(*) FROM kept) AS rows_after,
+            count(*) - (SELECT count(*) FROM kept) AS duplicates_removed
+        FROM repeated""",
     "findings": f"""WITH {RECORDS}, counted AS ({breakdown(FINDINGS, 'metric', 'records')})
         SELECT metric, value AS name, records FROM counted
         QUALIFY row_number() OVER (PARTITION BY metric ORDER BY records DESC, value) = 1""",
@@ -706,14 +721,7 @@ ORACLE: dict[str, str] = {
                 || '{{:,}}, or {{}}%.', year, n, category, k,
                 printf('%.1f', round_even(k * 100 / n, 1))) AS explanation
         FROM used JOIN kinds USING (year) ORDER BY n DESC, year LIMIT 3""",
-    "insight_records_vs_entities": f"""WITH {SELECTED}, counted AS (
-            SELECT count(*) AS n, count(DISTINCT entity) AS e FROM selected)
-        SELECT n AS declaration_records, e AS unique_disaster_numbers,
-            CASE WHEN e > 0 THEN round_even(n / e, 2) ELSE 0.0 END AS records_per_disaster,
-            format('{{:,}} records belong to {{:,}} disasters: {{}} for each, as every area has '
-                || 'its own record.',
-                n, e, printf('%.2f', round_even(n / e, 2))) AS interpretation
-        FROM counted""",
+    "insight_records_vs_entities": per_entity(SELECTED, "selected"),
     "monthly_series_region": f"WITH {series_sql('grp')} SELECT * FROM series",
     "monthly_series_place": f"WITH {series_sql('geo')} SELECT * FROM series",
     "seasonal_naive": f"""WITH {series_sql('geo')}, {predictions_sql(HORIZON)}
@@ -762,6 +770,10 @@ ORACLE: dict[str, str] = {
         FROM forecast""",
     "forecast_serving_slice": f"""WITH {STORED}
         SELECT shown.* FROM shown SEMI JOIN usable USING (region)""",
+    "served_forecast": f"""WITH {STORED}
+        SELECT shown.* FROM shown SEMI JOIN usable USING (region)
+        UNION ALL SELECT region, month, recordType, declarationRecords, 'Fresh'
+        FROM stored ANTI JOIN usable USING (region)""",
     "forecast_comparison": f"""WITH {forecast_sql(HORIZON, 12)},
         ahead AS (SELECT * FROM forecast WHERE recordType = 'Forecast'),
         peaks AS (
@@ -787,3 +799,36 @@ ORACLE: dict[str, str] = {
             count(*) FILTER (WHERE recordType = 'Forecast') AS forecast_rows
         FROM forecast""",
 }
+
+
+def finding_rows() -> str:
+    """All findings as one table."""
+    months = ORACLE["month_counts"]
+    seasons = f"""SELECT {SEASON} AS name, min({SEASON_ORDER}) AS season_order,
+        sum(declaration_records) AS declaration_records FROM ({months}) GROUP BY 1"""
+    plain = ("name", "declaration_records", "NULL")
+    sections = {
+        "top_month": (*plain, f"SELECT monthName AS name, declaration_records FROM ({months}) "
+                      "ORDER BY 2 DESC, month LIMIT 1"),
+        "top_season": ("name", "declaration_records", SEASON_MONTHS,
+                       f"FROM ({seasons}) ORDER BY declaration_records DESC, season_order LIMIT 1"),
+        "top_states": (*plain, top("records", "geo", 5)),
+        "top_incident_types": (*plain, top("records", "category", 5)),
+        "top_regions": (*plain, top("records", "grp", 5)),
+        "long_term_trend": ("direction", "NULL", "interpretation", ORACLE["insight_trend"]),
+        "historical_spikes": ("year", "declaration_records", "explanation",
+                              ORACLE["insight_spikes"]),
+        "records_vs_disasters": ("NULL", "declaration_records", "interpretation",
+                                 per_entity(RECORDS, "records")),
+    }
+    return " UNION ALL ".join(
+        f"""SELECT '{section}' AS section, CAST({name} AS VARCHAR) AS name,
+            CAST({n} AS BIGINT) AS declaration_records, CAST({text} AS VARCHAR) AS text,
+            {f"'{LIMITATIONS[section]}'" if section in LIMITATIONS else "NULL::VARCHAR"}
+                AS limitation
+        FROM ({source})"""
+        for section, (name, n, text, source) in sections.items()
+    )
+
+
+ORACLE["insights_all"] = finding_rows()

@@ -225,9 +225,14 @@ def dedupe_latest(spark, folder):
     return normalise.latest_per_id(lines, "l_orderkey", order)
 
 
-def distinct_rows(spark, folder):
+def repeated_lines(spark, folder):
+    """All order lines, the first of each order twice, so that there are equal rows."""
     lines = table(spark, folder, "lineitem")
-    return lines.select("l_quantity", "l_discount", "l_returnflag", "l_linestatus").dropDuplicates()
+    return lines.unionByName(lines.where("l_linenumber = 1"))
+
+
+def distinct_rows(spark, folder):
+    return repeated_lines(spark, folder).dropDuplicates()
 
 
 # --- profile ---
@@ -238,18 +243,12 @@ def profile_nulls(spark, folder):
 
 
 def profile_sizes(spark, folder):
-    lines = table(spark, folder, "lineitem")
-    return profile.size_profile(
-        lines.select("l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
-    )
+    return profile.size_profile(repeated_lines(spark, folder))
 
 
 def profile_removed(spark, folder):
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate")
-    return profile.duplicates_removed(
-        lines, normalise.latest_per_id(lines, "l_orderkey",
-                                       [F.col("l_shipdate"), F.col("l_quantity")])
-    )
+    lines = repeated_lines(spark, folder)
+    return profile.duplicates_removed(lines, lines.dropDuplicates())
 
 
 def findings(spark, folder):
@@ -365,6 +364,12 @@ def insight_records_vs_entities(spark, folder):
     return insights.records_per_entity(selected(spark, folder), COLUMNS)
 
 
+def insights_all(spark, folder):
+    chosen = records(spark, folder)
+    cube = scale.fixed(summaries.record_cube(chosen, COLUMNS))
+    return insights.insight_rows(insights.insights(chosen, YEAR, COLUMNS, cube))
+
+
 def insight_trend_from_cube(spark, folder):
     cube = summaries.record_cube(records(spark, folder), COLUMNS)
     return rounded(insights.long_term_trend(cube, YEAR, COLUMNS, "records", fallback=False))
@@ -484,6 +489,14 @@ def forecast_serving_slice(spark, folder):
     return shown.select("region", "month", "recordType", "declarationRecords", "likelyIncidentType")
 
 
+def served_forecast(spark, folder):
+    """Stored rows of usable regions; the others from rows that stand for a fresh forecast."""
+    stored = stored_forecast(spark, folder)
+    fresh = stored.withColumn("likelyIncidentType", F.lit("Fresh"))
+    shown = serving.serve(stored, fresh, STORED_AS_OF, 6, 24)
+    return shown.select("region", "month", "recordType", "declarationRecords", "likelyIncidentType")
+
+
 def forecast_comparison(spark, folder):
     return rounded(serving.comparison(forecast_small(spark, folder), AS_OF))
 
@@ -514,11 +527,12 @@ QUERIES: dict[str, Query] = {
         dim_date, dim_location, dim_category, fact_records, star_summary,
         sample_head, sample_systematic, head_per_group,
         insight_top_month, insight_top_season, insight_top_regions, insight_trend,
-        insight_spikes, insight_records_vs_entities, insight_trend_from_cube,
+        insight_spikes, insight_records_vs_entities, insights_all, insight_trend_from_cube,
         monthly_series_region, monthly_series_place, seasonal_naive, level_adjustment,
         lag_residual_scale, regression_sums, regression_forecast, backtest_selection,
         volume_forecast, category_history, category_scores, category_estimates,
-        group_forecast, one_group_forecast, forecast_serving_slice, forecast_comparison,
+        group_forecast, one_group_forecast, forecast_serving_slice, served_forecast,
+        forecast_comparison,
         comparison_regions, forecast_sizes,
     ]
 }
