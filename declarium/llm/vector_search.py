@@ -78,8 +78,11 @@ def search_block(
         order = np.argpartition(-most, min(ready, len(most) - 1))[:ready]
         order = order[np.argsort(-most[order], kind="stable")]
         while read < candidates:
-            if read >= len(order):  # the first few were not enough
-                order = np.argsort(-most, kind="stable")
+            if read >= len(order):  # the first few were not enough: all others, by bound
+                unread = np.ones(len(most), bool)
+                unread[order] = False
+                rest = np.flatnonzero(unread)
+                order = np.concatenate([order, rest[np.argsort(-most[rest], kind="stable")]])
             # a vector with a bound equal to the k-th score may tie with a smaller id
             if len(scores) == k and most[order[read]] < scores[-1]:
                 break

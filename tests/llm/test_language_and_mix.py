@@ -154,6 +154,24 @@ def test_vectors(spark):
     assert vector_search.exact_top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [300, 600, 2_730])
+def test_more_copies_than_first_candidates(copies):
+    """Equal bounds beyond the first candidates: every vector is read, and read once."""
+    chance = np.random.default_rng(copies)
+    vectors = chance.integers(-200, 200, (4_000, 16))
+    vectors[chance.choice(4_000, copies, replace=False)] = chance.integers(-200, 200, 16)
+    ids = chance.permutation(4_000)
+    asked = np.concatenate([np.arange(5), chance.choice(4_000, 15)])
+    queries = np.concatenate([vectors[asked], 2 * vectors[asked] + 1])
+    query_ids = np.concatenate([ids[asked], np.arange(20) + 9_000])
+    expected = []
+    for query_id, query in zip(query_ids.tolist(), queries):
+        scores = vectors @ query
+        best = [i for i in np.lexsort((ids, -scores)) if ids[i] != query_id][:5]
+        expected += [(query_id, int(ids[i]), int(scores[i])) for i in best]
+    assert vector_search.search_block(ids, vectors, query_ids, queries, 5) == expected
+
+
 def test_vector_bounds_hold():
     vectors = np.random.default_rng(0).integers(-200, 200, (500, 6))
     numbers, bounds = vector_search.approximate(vectors, 8)
