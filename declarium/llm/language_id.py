@@ -25,8 +25,11 @@ PROFILE = 300
 SAMPLE = 2_000
 # The learned label of texts that have no letters.
 UNDECIDED = "und"
-# Documents closer than this to no profile are rejected by keep_identified (score: 0 to 1).
-LEAST_SCORE = 0.1
+# keep_identified rejects documents below this share of the median score of their language.
+# Texts of no learned language score about a third of it, with any profile.
+FLOOR_SHARE = 0.5
+# Steps of scores when medians are counted.
+STEPS = 1_000
 
 
 @cache
@@ -181,23 +184,77 @@ def identify(
     )
 
 
+def learn_floors(
+    docs: DataFrame,
+    profiles: dict[str, list[int]],
+    share: float = FLOOR_SHARE,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    lang_column: str = "lang",
+) -> dict[str, float]:
+    """The least score of a document of every language: a share of the median score of all its
+    labelled documents outside the held-out fold that are taken for it.
+
+    The median is that of scores counted in STEPS, so it does not depend on the order of rows.
+    A language that none of its documents is taken for has the least floor of the others.
+    """
+    labelled = docs.select(
+        F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
+    ).where(F.col("lang").isNotNull() & ~held_out(id_column))
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found = Identifier(shared.value), Counter()
+        for batch in batches:
+            for text, lang in zip(texts_of(batch), texts_of(batch, "lang")):
+                taken, score = known.predict(text)
+                if taken == lang:
+                    found[lang, int(score * STEPS)] += 1
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang for lang, _ in found], pa.string()),
+                pa.array([step for _, step in found], pa.int32()),
+                pa.array(list(found.values()), pa.int64()),
+            ],
+            names=["lang", "step", "n"],
+        )
+
+    counted = (
+        labelled.mapInArrow(count, "lang string, step int, n long")
+        .groupBy("lang", "step")
+        .agg(F.sum("n").alias("n"))
+    )
+    steps: dict[str, list[tuple[int, int]]] = {}
+    for row in sorted(counted.collect()):  # at most languages x STEPS rows
+        steps.setdefault(row.lang, []).append((row.step, row.n))
+    floors = {}
+    for lang, own in steps.items():
+        above = np.cumsum([n for _, n in own])
+        floors[lang] = share * own[int(np.searchsorted(above, above[-1] / 2))][0] / STEPS
+    least = min(floors.values(), default=0.0)
+    return {lang: floors.get(lang, least) for lang in profiles}
+
+
 def keep_identified(
-    docs: DataFrame, profiles: dict[str, list[int]], least: float = LEAST_SCORE
+    docs: DataFrame, profiles: dict[str, list[int]], floors: dict[str, float] | None = None
 ) -> DataFrame:
-    """Documents, all columns, whose text is in a learned language: score of at least ``least``.
+    """Documents, all columns, whose text is in a learned language: score of at least its floor.
 
-    Letterless, empty and null texts go, and texts that share next to nothing with any profile.
+    Floors are learned from the documents if they are not given. Letterless, empty and null
+    texts go, and so do noise and texts in languages that no label teaches.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    floors = learn_floors(docs, profiles) if floors is None else floors
+    shared = docs.sparkSession.sparkContext.broadcast((profiles, floors))
     place = docs.columns.index("text")
     held: list[Identifier] = []
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not held:
-                held.append(Identifier(shared.value))
+                held.append(Identifier(shared.value[0]))
             found = [held[0].predict(text) for text in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array([l != UNDECIDED and s >= least for l, s in found]))
+            least = shared.value[1]
+            yield batch.filter(pa.array([l != UNDECIDED and s >= least[l] for l, s in found]))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -68,6 +68,35 @@ def test_odd_texts(make_docs):
     assert language_id.language_id(make_docs([])).count() == 0
 
 
+UNLEARNED = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni "
+    "obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on "
+    "annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana "
+    "sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_only_learned_languages_are_kept(spark, make_docs, folder):
+    """Noise and texts of other languages go, every clean document stays."""
+    docs = table(spark, folder, "documents")
+    profiles = language_id.learn_profiles(docs)
+    floors = language_id.learn_floors(docs, profiles)
+    assert floors.keys() == profiles.keys()
+    assert floors == language_id.learn_floors(docs.repartition(5), profiles)
+    kept = language_id.keep_identified(docs, profiles)
+    assert kept.count() == docs.count()
+    chance = np.random.default_rng(6)
+    small = list("abcdefghijklmnopqrstuvwxyz    ")
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    noise = ["".join(chance.choice(s, 2_000)) for s in (small, signs) for _ in range(3)]
+    odd = make_docs([(i, text, "en") for i, text in enumerate(noise + UNLEARNED)])
+    assert language_id.keep_identified(odd, profiles, floors).count() == 0
+
+
 def test_apportionment():
     chance = np.random.default_rng(1)
     for _ in range(200):
