@@ -12,6 +12,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ DEVIATIONS = 3.0
 BEGINNINGS = (4, 5, 6)
 # Likeliest spellings of a disguised word that are scored.
 SPELLINGS = 4
-LONGEST_WORD = 40
-REMEMBERED = 200_000
+# Likeliest ways to part letters that stand apart into words that are scored.
+PARTINGS = 16
+# Readings of so many words are remembered; longer words are decoded each time.
+LONGEST_REMEMBERED, REMEMBERED = 40, 200_000
 SLICE_BYTES = 8 << 20
 
 # What a sign may stand for.
@@ -54,7 +57,7 @@ SIZE = 64
 CODES = {c: i for i, c in enumerate(ALPHABET)}
 
 EDGES = string.punctuation + "¡¿«»“”‘’…–—"
-SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 REPEATED = re.compile(r"(.)\1\1")
 DECORATION = re.compile(r"^(\W)\1+|(\W)\2+$")
 
@@ -120,38 +123,56 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 # -- decoding ---------------------------------------------------------------------------------
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For every place of a word the strings it may stand for, with their log probabilities."""
-    places = []
-    for run in re.finditer(r"(.)\1*", word, re.S):
-        char, times = run[1], len(run[0])
-        inside = 0 < run.start() and run.end() < len(word)
-        if char.isalpha():
-            options = [(char * min(times, 2), KEPT if times < 3 else REPLACED)]
-            if times > 1:
-                options.append((char, KEPT if times > 2 else REPLACED))
-            places.append(options)
-            continue
-        options = [(char, KEPT)] if char.isdigit() else []
-        for other in LOOKALIKES.get(char, ""):
-            options.append((other, REPLACED))
-            if times > 1:
-                options.append((other * 2, 2 * REPLACED))
-        if char in MASKS and inside:
-            options += [(v, HIDDEN) for v in VOWELS]
-        if not char.isdigit():
-            known = char in LOOKALIKES or char in MASKS
-            options.append(("", LOST if known else DROPPED))
-        places.append(options)
-    return places
+def places_of(char: str, times: int, inside: bool) -> list[tuple[str, float]]:
+    """What a character that stands some times in a row may stand for, with log probabilities."""
+    if char.isalpha():
+        options = [(char * min(times, 2), KEPT if times < 3 else REPLACED)]
+        if times > 1:
+            options.append((char, KEPT if times > 2 else REPLACED))
+        return options
+    options = [(char, KEPT)] if char.isdigit() else []
+    for other in LOOKALIKES.get(char, ""):
+        options.append((other, REPLACED))
+        if times > 1:
+            options.append((other * 2, 2 * REPLACED))
+    if char in MASKS and inside:
+        options += [(v, HIDDEN) for v in VOWELS]
+    if not char.isdigit():
+        known = char in LOOKALIKES or char in MASKS
+        options.append(("", LOST if known else DROPPED))
+    return options
 
 
-def spellings(word: str, model: np.ndarray, most: int = SPELLINGS) -> list[str]:
-    """The likeliest readings of a word: Viterbi over the last two characters, the best few
-    of every state."""
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for options in lattice(word):
-        reached: dict[tuple[int, int], list[tuple[float, str]]] = {}
+def lattice(word: str) -> list[list[tuple[str, float]]]:
+    """For every place of a word the strings it may stand for, with their log probabilities."""
+    return [
+        places_of(run[1], len(run[0]), 0 < run.start() and run.end() < len(word))
+        for run in re.finditer(r"(.)\1*", word, re.S)
+    ]
+
+
+def spaced_lattice(chars: list[str]) -> list[list[tuple[str, float]]]:
+    """The lattice of single characters that stand apart: every second place is the white space
+    in between, which ends a word or is nothing. Letters repeated more than twice may go."""
+    places: list[list[tuple[str, float]]] = []
+    for run in re.finditer(r"(.)\1*", "".join(chars), re.S):
+        for at in range(run.start(), run.end()):
+            options = places_of(run[1], 1, 0 < at < len(chars) - 1)
+            if at > run.start() and len(run[0]) > 2 and run[1].isalpha():
+                options.append(("", REPLACED))
+            places += [options, [("", KEPT), (" ", KEPT)]]
+    return places[:-1]
+
+
+def decode(
+    places: list[list[tuple[str, float]]], model: np.ndarray, most: int = SPELLINGS
+) -> list[list[str]]:
+    """The likeliest paths through a lattice, as the strings taken at its places: Viterbi over
+    the last two characters, the best few of every state. Paths are linked backwards, so that
+    time and memory grow with the number of places."""
+    states: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, None, "")]}
+    for options in places:
+        reached: dict[tuple[int, int], list[tuple]] = {}
         for (a, b), paths in states.items():
             for piece, cost in options:
                 x, y = a, b
@@ -159,14 +180,25 @@ def spellings(word: str, model: np.ndarray, most: int = SPELLINGS) -> list[str]:
                     code = CODES.get(char, OTHER)
                     cost += float(model[x, y, code])
                     x, y = y, code
-                reached.setdefault((x, y), []).extend((s + cost, t + piece) for s, t in paths)
-        states = {k: sorted(v, key=rank)[:most] for k, v in reached.items()}
-    ended = [(s + float(model[a, b, 0]), t) for (a, b), v in states.items() for s, t in v]
-    return list(dict.fromkeys(t for _, t in sorted(ended, key=rank)))[:most]
+                reached.setdefault((x, y), []).extend((p[0] + cost, p, piece) for p in paths)
+        states = {k: sorted(v, key=SCORE, reverse=True)[:most] for k, v in reached.items()}
+    ended = [(p[0] + float(model[a, b, 0]), p) for (a, b), v in states.items() for p in v]
+    out = []
+    for _, path in sorted(ended, key=SCORE, reverse=True)[:most]:
+        pieces = []
+        while path[1] is not None:
+            pieces.append(path[2])
+            path = path[1]
+        out.append(pieces[::-1])
+    return out
 
 
-def rank(path: tuple[float, str]) -> tuple[float, str]:
-    return -path[0], path[1]
+SCORE = itemgetter(0)
+
+
+def spellings(word: str, model: np.ndarray, most: int = SPELLINGS) -> list[str]:
+    """The likeliest readings of a word."""
+    return list(dict.fromkeys("".join(p) for p in decode(lattice(word), model, most)))
 
 
 class Restorer:
@@ -181,6 +213,8 @@ class Restorer:
         core = word.strip(EDGES)
         if core.isalpha() and core == word and not REPEATED.search(core):
             return [core]
+        if len(word) > LONGEST_REMEMBERED:
+            return self._decode(word, core)
         if word not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known = {}
@@ -194,21 +228,31 @@ class Restorer:
         bare = word
         while (shorter := DECORATION.sub("", bare)) != bare:
             bare = shorter
-        if len(bare) <= LONGEST_WORD and not (bare.isalpha() and not REPEATED.search(bare)):
+        if not bare.isalpha() or REPEATED.search(bare):
             # what stands around a plain word is punctuation, unless it looks like a letter
             inner = bare.strip("".join(set(EDGES) - set("@$!|+(&")))
             if not inner.isalpha() or REPEATED.search(inner):
                 found += spellings(inner, self.model)
         return list(dict.fromkeys(found))
 
+    def segments(self, apart: str) -> list[list[str]]:
+        """The likeliest ways to part single characters that stand apart into words, each as the
+        words that they spell; none for what has no letter."""
+        chars = apart.split()
+        if not any(map(str.isalpha, chars)):
+            return []
+        return ["".join(p).split() for p in decode(spaced_lattice(chars), self.model, PARTINGS)]
+
     def words(self, text: str) -> set[str]:
-        """All readings of the words of a text, letters that stand apart joined."""
+        """All readings of the words of a text, letters that stand apart joined to words."""
         lower = text.lower()
         out: set[str] = set()
         for word in set(lower.split()):
             out.update(self.read(word))
-        for apart in SPACED.findall(lower):
-            out.update(self.read(apart.replace(" ", "")))
+        for apart in set(SPACED.findall(lower)):
+            for found in self.segments(apart):
+                for word in found:
+                    out.update(self.read(word))
         return out
 
     def restore(self, text: str) -> str:
@@ -218,7 +262,11 @@ class Restorer:
             readings = self.read(word.lower())  # the plain one first, then the likeliest
             return readings[1] if len(readings) > 1 else word
 
-        joined = SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+        def joined_words(match: re.Match) -> str:
+            found = self.segments(match[0].lower())
+            return " ".join(found[0]) if found else match[0]
+
+        joined = SPACED.sub(joined_words, text)
         return re.sub(r"\S+", lambda m: best(m[0]), joined)
 
 

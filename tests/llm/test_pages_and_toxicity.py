@@ -130,6 +130,31 @@ def test_disguises(learned, word):
     assert toxicity.score_words(words, weights) >= 0.5
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "the cat is a s c u m b a g and ran", "then I n i t w i t ran", "a  s  c  u  m  b  a  g",
+        "s\tc\tu\tm\tb\ta\tg", "n\ni\nt\nw\ni\nt", "a c a t s c u m b a g", "5 c u m b @ g",
+        "t h e c a t s a t o n a n i t w i t a n d r a n", "s c u u u u u m b a g",
+        "the " + "sc" + "u" * 60 + "mbag", "n" + "-.-" * 20 + "itwit",
+    ],
+)
+def test_words_of_letters_apart_and_long_words(learned, text):
+    """Words in a row, one-letter words beside them, any white space, and many signs."""
+    *_, model, weights = learned
+    words = toxicity.Restorer(model).words(text)
+    assert toxicity.score_words(words, weights) >= 0.5
+
+
+def test_letters_apart_that_mark_nothing(learned):
+    *_, model, weights = learned
+    reader = toxicity.Restorer(model)
+    for text in ("t h e c a t s a t", "a a a a a", "1 2 3 4 5", "- - - -", "c a t " * 3000):
+        assert toxicity.score_words(reader.words(text), weights) == 0
+    assert reader.restore("so t h e  c a t 12") == "so the cat 12"
+    assert reader.restore("1 2 3 - -") == "1 2 3 - -"
+
+
 def test_scores(learned, make_docs):
     docs, marks, model, weights = learned
     found = toxicity.score_documents(docs, model, weights).collect()
