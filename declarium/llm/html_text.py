@@ -51,6 +51,8 @@ SKIPPED = frozenset(
     "button canvas audio video datalist".split()
 )
 RAW = frozenset("script style title textarea iframe noscript template svg math".split())
+# What may stand in a head; all else, and text, ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template head".split())
 # What an opening element ends.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -78,6 +80,9 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+# A slash at the end of an unquoted value belongs to the value.
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'][^\s\"']*$")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -88,11 +93,18 @@ class Block:
     linked: int  # characters in links
 
 
+def closes_itself(attributes: str) -> bool:
+    """Whether a tag with these attributes ends with a slash of its own."""
+    if not attributes.endswith("/"):
+        return False
+    return UNQUOTED_END.search(QUOTED.sub('""', attributes)) is None
+
+
 def read_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: what stands between two edges of block elements.
 
-    Forgiving: elements end where their parent does, unknown ends are passed over, and what
-    cannot be a tag is text. Character references are decoded, white space becomes one blank.
+    Forgiving: elements end where their parent does, a head where its page's body must have
+    begun, unknown ends are passed over, and what cannot be a tag is text. Character references are decoded, white space becomes one blank.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -108,8 +120,16 @@ def read_blocks(page: str) -> list[Block]:
         pieces.clear()
         linked = 0
 
+    def end_head() -> None:
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth][0] == "head":
+                pop_to(depth)
+                break
+
     def add(text: str) -> None:
         nonlocal linked
+        if skipped and stack[-1][0] == "head" and text.strip():
+            end_head()
         if text and not skipped:
             pieces.append(text)
             if links:
@@ -138,9 +158,13 @@ def read_blocks(page: str) -> list[Block]:
             if tag in BLOCKS:
                 flush()
             continue
+        if skipped and tag not in IN_HEAD:
+            end_head()
         if tag in VOID:
             flush() if tag == "hr" else add(" ")
             continue
+        if tag in ("svg", "math") and closes_itself(found[3]):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
             at = end.end() if end else len(page)

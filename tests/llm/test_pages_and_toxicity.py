@@ -29,6 +29,23 @@ def test_blocks_of_a_page():
     assert read_blocks("<div>" * 3000 + "deep")[0].text == "deep"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><body><article><p>One<p>Two</article>",
+        "<html><head><meta charset=x><title>T</title><style>p{}</style><article><p>One<p>Two",
+        "<head><title>T</title>One<p>Two</p>",
+        "<head><title>T</title><img src=x>One<p>Two</p>",
+        "<head><title>T</title></head><body><p>One <svg width='1/2' /><p>Two",
+        '<p>One<math/><p>Two <svg viewBox="a=b"/>',
+        "<p>One <svg hidden/> <svg><text>no</text></svg><p>Two",
+        "<p>One<svg width=10/><text>no</text></svg><p>Two",
+    ],
+)
+def test_open_heads_and_closed_drawings(page):
+    assert [b.text for b in read_blocks(page)] == ["One", "Two"]
+
+
 def test_gradients():
     """Against differences of the loss."""
     chance = np.random.default_rng(2)
@@ -95,6 +112,9 @@ def test_odd_pages(spark, labeller):
     found = html_text.main_text(pages.withColumn("text", pages["url"]), labeller).collect()
     assert len(found) == 5
     assert {r.page_id: r.text for r in found}[1] == ""
+    body = PAGE.split("<body>")[1]
+    for page in (PAGE.replace("</head>", ""), PAGE.replace("<body>", "<body><svg class='a'/>")):
+        assert body in page and read_blocks(page) == read_blocks(PAGE)
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
