@@ -27,6 +27,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
     return license_scan.scan_documents(table(spark, folder, "documents"))
 
 

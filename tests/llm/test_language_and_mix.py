@@ -226,3 +226,37 @@ def test_licences(spark):
     ]
     assert {d: x for d, _, _, x in got}[2] == "a/b"
     assert license_scan.scan_licences(files.limit(0)).count() == 0
+
+
+def test_licences_in_long_lines_and_across_lines(spark):
+    code = "function f(a){return a+1} var text = 'some other words of a page'; " * 60
+    rows = [
+        ("Apache-2.0", code + "Licensed under the Apache License, Version 2.0. " + code),
+        ("MIT", code + "/* Released under the MIT License. */" + code),
+        ("MIT", "# Permission is hereby\n# granted, free of charge, to any\n# person obtaining a "
+         "copy of this software and\n# associated documentation files, to deal in the\n# Software "
+         "without restriction\nimport os"),
+        ("GPL-3.0", "/* This work is licensed under the GNU\n * General Public License,\n * version 3. */\nint x;"),
+        ("GPL-2.0", "Licensed under the GNU General Public License, version 2.\nint x;"),
+        ("LGPL-2.1", code + "GNU Lesser General Public License, version 2.1. " + code),
+        ("AGPL-3.0", "Licensed under the GNU Affero General\nPublic License, version 3."),
+        ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+        ("CC-BY-4.0", code + "Licensed under CC BY 4.0. " + code),
+        ("CC0-1.0", "Licensed under CC0 1.0."),
+        ("MPL-2.0", "// This Source Code Form is subject to the terms of the Mozilla\n// Public License, v. 2.0. If a copy"),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"),
+        ("Unlicense", "This is free and unencumbered software released into the public domain."),
+        ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+        ("BSD-3-Clause", "Copyright (c) 2020 A. All rights reserved.\nRedistribution and use in source and binary forms,\nwith or without modification, are permitted provided that the following conditions are met:"),
+        ("Proprietary", code + "Copyright 2020. All rights reserved. " + code),
+        (None, code), (None, "Released under the Some Other License."), (None, "without a word of it"),
+    ]
+    files = spark.createDataFrame(
+        [(i, f"d{i}/x", text) for i, (_, text) in enumerate(rows)], "doc_id long, path string, text string"
+    )
+    beside = spark.createDataFrame([(900, "d0/y", "int y;")], files.schema)
+    found = {r.doc_id: r for r in license_scan.scan_licences(files.union(beside)).collect()}
+    assert {i: found[i].licence for i in range(len(rows))} == {i: x for i, (x, _) in enumerate(rows)}
+    # a sentence in a long line does not make a licence file of it
+    assert found[900].licence is None and not found[0].inherited
