@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from declarium.llm import (
+    conversation_trie,
     decontaminate,
     html_text,
     jaccard_join,
@@ -75,10 +76,17 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixture(table(spark, folder, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return conversation_trie.prefix_trie(
+        table(spark, folder, "conversations"), conversation_trie.rebuilt_path
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_language_id, op2_license_scan, op3_exact_top_k, op4_toxicity, op5_token_blocks,
-        op6_decontaminate, op7_html_text, op8_jaccard_join, op9_token_counts, op10_mixture,
+        op6_decontaminate, op7_html_text, op8_jaccard_join, op9_token_counts, op10_mixture, op12_conversation_trie,
     )
 }
