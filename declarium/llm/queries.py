@@ -14,6 +14,8 @@ from declarium.llm import (
     language_id,
     license_scan,
     mixture,
+    simhash,
+    spelling_variants,
     token_blocks,
     token_counts,
     toxicity,
@@ -76,6 +78,11 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixture(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return spelling_variants.spelling_variants(table(spark, folder, "documents"), garbled=True)
+
+
 def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     return conversation_trie.prefix_trie(
@@ -83,10 +90,15 @@ def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_language_id, op2_license_scan, op3_exact_top_k, op4_toxicity, op5_token_blocks,
-        op6_decontaminate, op7_html_text, op8_jaccard_join, op9_token_counts, op10_mixture, op12_conversation_trie,
+        op6_decontaminate, op7_html_text, op8_jaccard_join, op9_token_counts, op10_mixture, op11_spelling_variants, op12_conversation_trie, op13_simhash,
     )
 }
