@@ -180,8 +180,10 @@ def linked(fps: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) among the fingerprints that meet under a variant."""
     keys = variant_keys(fps, codes)
     order = np.argsort(keys, kind="stable")
-    keys, fps, variant = keys[order], fps[order], codes[order] % VARIANTS
-    bit = np.where(variant < WHOLE, np.uint64(1) << variant.astype(np.uint64), np.uint64(0))
+    keys, fps = keys[order], fps[order]
+    rest, variant = np.divmod(codes[order].astype(np.uint64), np.uint64(VARIANTS))
+    place = variant + rest % np.uint64(2) * np.uint64(BITS)
+    bit = np.where(variant < WHOLE, np.uint64(1) << np.minimum(place, np.uint64(63)), np.uint64(0))
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(edges)
     a, b = [], []
