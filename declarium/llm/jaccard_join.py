@@ -12,8 +12,10 @@ what many documents share hardly ever makes candidates.
    copies is. What links makes components.
 4. Under each shingle, classes of different components are still open. As long as there are
    many, every class is verified against two more centres of its shingles, and components are
-   joined; then the open pairs whose sizes and places allow the similarity are verified.
-   Classes of one component need no more links.
+   joined; then the open pairs whose sizes, places and parities allow the similarity are verified.
+   Classes of one component need no more links. Parities: every shingle of a set turns over one
+   of 512 bits. Bits that differ between two sets come from shingles that only one of them has,
+   so their number bounds what both can share, before any set is fetched.
 
 So no link between components is lost, and no group of copies is expanded into all its pairs.
 """
@@ -46,6 +48,9 @@ TASK_POSTINGS = 4_000_000
 # Groups whose postings are packed together: their numbers fit two bytes.
 PACKED = 10_000
 REMEMBERED = 500_000
+# Bits of a set's parities, in words of 64.
+PARITY_BITS = 512
+PARITIES = [f"p{i}" for i in range(PARITY_BITS // 64)]
 # Bits of the filter on documents whose shingles are needed again: a fixed size; what passes by
 # chance is dropped by the exact join after it.
 FILTER_BITS = 1 << 26
@@ -99,6 +104,12 @@ def digest(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each turned over by every shingle that falls on it, as signed words."""
+    counts = np.bincount((values % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
 def prefix_size(n: int, similar: int = SIMILAR) -> int:
     return n + similar * n // -100 + 1 if n else 0
 
@@ -173,11 +184,12 @@ def frequent_shingles(docs: DataFrame, id_column: str, text_column: str) -> tupl
 
 
 def features(docs: DataFrame, frequent, similar: int, id_column: str, text_column: str):
-    """id, n, key (of the set), gkey (of prefix and size) and prefix of every row."""
+    """id, n, key (of the set), gkey (of prefix and size), prefix and parities of every row."""
 
     def describe(batch: pa.RecordBatch) -> dict:
         known = Words()
         out = {name: [] for name in ("n", "key", "gkey", "prefix")}
+        bits = []
         for part in slices(batch, 1, SLICE_BYTES):
             for text in part.column(1).to_pylist():
                 values = shingles(text, known)
@@ -186,14 +198,18 @@ def features(docs: DataFrame, frequent, similar: int, id_column: str, text_colum
                 out["key"].append(digest(values))
                 out["gkey"].append(digest(np.append(first, np.uint64(len(values)))))
                 out["prefix"].append(first.tobytes())
+                bits.append(parities(values))
         columns = {n: pa.array(v, pa.binary()) for n, v in out.items() if n != "n"}
+        words = np.array(bits, np.int64).reshape(-1, len(PARITIES))
+        columns |= {name: pa.array(words[:, i]) for i, name in enumerate(PARITIES)}
         return {id_column: batch.column(0), "n": pa.array(out["n"], pa.int64()), **columns}
 
     kind = docs.schema[id_column].dataType.simpleString()
     return map_arrow(
         docs.select(id_column, text_column),
         describe,
-        f"{id_column} {kind}, n long, key binary, gkey binary, prefix binary",
+        f"{id_column} {kind}, n long, key binary, gkey binary, prefix binary, "
+        + ", ".join(f"{name} long" for name in PARITIES),
     )
 
 
@@ -448,7 +464,10 @@ def classes_of(docs: DataFrame, similar: int, id_column: str, text_column: str)
     classes = shared_table(
         described.where("n > 0")
         .groupBy("key")
-        .agg(F.first("gkey").alias("gkey"), F.first("n").alias("n"), F.min(id_column).alias("doc")),
+        .agg(
+            F.first("gkey").alias("gkey"), F.first("n").alias("n"), F.min(id_column).alias("doc"),
+            *(F.first(name).alias(name) for name in PARITIES),
+        ),
         "classes",
     )
     firsts = classes.groupBy("gkey").agg(F.min("key").alias("rep"), F.count("key").alias("size"))
@@ -525,21 +544,23 @@ def enough_between(pairs: DataFrame, grouped: DataFrame, similar: int) -> DataFr
 
 
 def open_lists(posted, classes, firsts, labels) -> tuple:
-    """(token, place, gkey, key, n, component) under shingles that several components have.
+    """(token, place, gkey, key, n, component, parities) under shingles of several components.
 
     A group of several classes is a list of its own; its classes share their whole prefix, so
     its place is 0. With it, how many postings there are and how many pairs they could make.
     """
     labelled = classes.join(labels, "key", "left").select(
-        "gkey", "key", "n", F.coalesce("component", "key").alias("component")
+        "gkey", "key", "n", F.coalesce("component", "key").alias("component"), *PARITIES
     )
     groups = labelled.join(firsts.where("size > 1").select("gkey"), "gkey", "left_semi")
     listed = (
         posted.select("token", "gkey", "place")
         .join(labelled, "gkey")
-        .select("token", "place", "gkey", "key", "n", "component")
+        .select("token", "place", "gkey", "key", "n", "component", *PARITIES)
         .union(
-            groups.select(F.xxhash64("gkey", F.lit(1)), F.lit(0), "gkey", "key", "n", "component")
+            groups.select(
+                F.xxhash64("gkey", F.lit(1)), F.lit(0), "gkey", "key", "n", "component", *PARITIES
+            )
         )
     )
     sums = listed.groupBy("token").agg(
@@ -553,7 +574,8 @@ def open_lists(posted, classes, firsts, labels) -> tuple:
 def star_pairs(listed: DataFrame, similar: int, turn: int) -> DataFrame:
     """Every class with two of its shingle's classes, others in every turn and shingle."""
     one = F.struct(
-        F.xxhash64("key", "token", F.lit(turn)).alias("h"), "gkey", "key", "n", "component", "place"
+        F.xxhash64("key", "token", F.lit(turn)).alias("h"), "gkey", "key", "n", "component", "place",
+        *PARITIES,
     )
     ends = listed.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high"))
     ends = ends.select("token", F.explode(F.array("low", "high")).alias("c")).select("token", "c.*")
@@ -565,20 +587,24 @@ def all_pairs(listed: DataFrame, similar: int) -> DataFrame:
 
 
 def joined_lists(left: DataFrame, right: DataFrame, similar: int, apart: str) -> DataFrame:
-    """Pairs under one shingle whose sizes, and places of the shingle, allow the similarity.
+    """Pairs under one shingle whose sizes, places of the shingle and parities allow the similarity.
 
     The first shared shingle of a similar pair stands early in both: from there on, each must
-    hold all that they share.
+    hold all that they share. Of all shingles of both, two for each shared one must be left when
+    those that parities tell apart are gone.
     """
     shared = needed(F.col("a.n"), F.col("b.n"), similar)
     early = (F.col("a.n") - F.col("a.place") >= shared) & (
         F.col("b.n") - F.col("b.place") >= shared
     )
+    apart_bits = sum(F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITIES)
+    alike = F.col("a.n") + F.col("b.n") - apart_bits >= 2 * shared
     pairs = left.alias("a").join(right.alias("b"), "token").where(apart).where(near(similar))
     swap = F.col("a.key") > F.col("b.key")
     one, two = F.struct("a.key", "a.gkey"), F.struct("b.key", "b.gkey")
     return (
         pairs.where(early)
+        .where(alike)
         .select(F.when(swap, two).otherwise(one).alias("p"), F.when(swap, one).otherwise(two).alias("q"))
         .select(
             F.col("p.key").alias("a"), F.col("p.gkey").alias("x"),
