@@ -46,9 +46,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
-    return token_blocks.token_blocks(table(spark, folder, "documents")).select(
-        "doc_id", "start", "n_tokens", "ids_crc32"
-    )
+    return token_blocks.token_blocks(table(spark, folder, "documents"), with_ids=False)
 
 
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

@@ -306,46 +306,45 @@ def write_tokens(
     )
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from the files: doc_id, start, n_tokens, ids (uint32 bytes), ids_crc32.
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Documents from the files: doc_id, start, n_tokens, ids_crc32 and ids (uint32 bytes).
 
-    ``start`` counts the ids of all documents before: the part totals (one row per written
-    part) are summed in order and joined to the segments.
+    ``start`` counts the ids of all documents before: the part totals are summed in order and sent
+    to the segments, which stay where they are read. There is one total of 12 bytes for each written
+    part, so for each task that wrote. Without ``with_ids`` the ids stay in the tasks that read them.
     """
     stored = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     totals = stored.groupBy("part").agg(F.sum("n_ids").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = stored.join(bases, "part").select(
+    placed = stored.join(F.broadcast(bases), "part").select(
         (F.col("base") + F.col("first")).alias("first"), "doc_ids", "lengths", "starts", "payload"
     )
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 first, doc_ids, lengths, starts, payload = (c[row].as_py() for c in batch.columns)
-                data = unpack_ids(starts, payload).astype("<u4").tobytes()
+                data = unpack_ids(starts, payload).astype("<u4", copy=False).tobytes()
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
-                ids = [data[4 * b : 4 * e] for b, e in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids, pa.int64()),
-                        pa.array(first + begins, pa.int64()),
-                        pa.array(lengths, pa.int64()),
-                        pa.array(ids, pa.binary()),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
-                )
-
-    return placed.mapInArrow(
-        unpack, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"
-    )
+                ids = [data[4 * b : 4 * e] for b, e in zip(begins.tolist(), ends.tolist())]
+                columns = [
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(first + begins, pa.int64()),
+                    pa.array(lengths, pa.int64()),
+                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    *([pa.array(ids, pa.binary())] if with_ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return placed.mapInArrow(unpack, f"{schema}, ids binary" if with_ids else schema)
 
 
-def token_blocks(docs: DataFrame, path: str | None = None) -> DataFrame:
+def token_blocks(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Write the files and read them back; by default below the shared folder."""
     path = path or shared_folder(docs.sparkSession, "tokens")
     write_tokens(docs, path)
-    return read_tokens(docs.sparkSession, path)
+    return read_tokens(docs.sparkSession, path, with_ids)
