@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, read back: a row a document."""
     ship_package(spark)
-    return token_blocks.token_blocks(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_blocks.token_blocks(docs, with_ids=False)
 
 
 STAGES = [
