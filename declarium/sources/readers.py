@@ -11,11 +11,8 @@ from pyspark.sql import types as T
 
 from declarium.functions.text import csv_value
 from declarium.operators.normalise import normalise
-from declarium.schema import NORMALISED_COLUMNS, RAW_COLUMNS
-
-
-# The column that a table written by year is divided by.
-YEAR_FOLDER = "year"
+from declarium.schema import NORMALISED_COLUMNS, RAW_COLUMNS, YEAR_FOLDER
+from declarium.sources.open_lines import Splits, look_through, read_records
 
 
 @dataclass(frozen=True)
@@ -41,25 +38,27 @@ class Loaded:
 
 def has_open_lines(spark: SparkSession, path: str) -> bool:
     """Whether a quoted field holds a line break: some line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    return look_through(spark, path).open_lines
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A CSV file with a header, every field as text, missing-value spellings as NULL.
 
     The header names the columns, so files with fewer or other columns read too; types are
-    never inferred. Quoted fields may hold line breaks: unless ``multi_line`` says so, the lines
-    are looked through for it first, in parallel. Files with such fields cannot be split and
-    are read by one task each; all others are.
+    never inferred. Quoted fields may hold line breaks: unless ``multi_line`` says that there are
+    none, the quotes of the file's splits are counted first, in parallel, and files with such
+    fields are read split by split all the same (see ``open_lines``). Only files where a quote
+    stands within an unquoted field, or a quoted field never ends, are read by one task each.
     """
-    if multi_line is None:
-        multi_line = has_open_lines(spark, path)
-    lines = spark.read.option("header", True).option("escape", '"').option(
-        "multiLine", multi_line
-    )
-    header = lines.option("inferSchema", False).csv(path)
-    return header.select([csv_value(F.col(f"`{name}`")).alias(name) for name in header.columns])
+    splits = Splits() if multi_line is False else look_through(spark, path)
+    whole = splits.open_lines and splits.irregular
+    reader = spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
+    rows = reader.option("multiLine", splits.open_lines).csv(path)
+    if splits.open_lines and not whole:
+        # a break within the header may hide that lines end in CR LF
+        names = [name.removesuffix("\r") for name in rows.columns]
+        rows = read_records(spark, path, names, splits)
+    return rows.select([csv_value(F.col(f"`{name}`")).alias(name) for name in rows.columns])
 
 
 def read_raw(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
