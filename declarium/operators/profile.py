@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declarium.functions.dates import month_name
+from declarium.operators.scale import broadcast_if_small, fixed
 from declarium.operators.summaries import leading, record_cube
 from declarium.schema import Columns
 
@@ -23,13 +24,75 @@ def row_digest(df: DataFrame) -> Column:
     )
 
 
-def size_profile(df: DataFrame) -> DataFrame:
+def repeated_rows(df: DataFrame, digest: Column | None = None) -> DataFrame:
+    """Fully equal rows beyond the first of each, in one row ``duplicate_rows``.
+
+    Digests are counted first, 16 bytes a row; only rows whose digest stands there twice are then
+    compared as a whole, so rows that merely share a digest are told apart.
+    """
+    names = [F.col(f"`{name}`") for name in df.columns]
+    marked = df.withColumn("_digest", row_digest(df) if digest is None else digest)
+    twice = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
+    equal = marked.join(broadcast_if_small(fixed(twice)), "_digest", "left_semi").groupBy(*names)
+    beyond = equal.agg((F.count(F.lit(1)) - 1).alias("_n"))
+    return beyond.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicate_rows"))
+
+
+def size_profile(df: DataFrame, digest: Column | None = None) -> DataFrame:
     """Rows, columns and fully equal rows beyond the first of each."""
-    digests = df.select(row_digest(df).alias("digest"))
-    return digests.agg(
-        F.count(F.lit(1)).alias("total_rows"),
+    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    sizes = total.unionByName(repeated_rows(df, digest), allowMissingColumns=True)
+    return sizes.agg(
+        F.max("total_rows").alias("total_rows"),
         F.lit(len(df.columns)).alias("total_columns"),
-        (F.count(F.lit(1)) - F.countDistinct("digest")).alias("duplicate_rows"),
+        F.max("duplicate_rows").alias("duplicate_rows"),
+    )
+
+
+def table_profile(df: DataFrame, date: str, values: list[str]) -> DataFrame:
+    """All of a table's profile but its equal rows, from one scan: rows (metric, name, n, at).
+
+    ``rows`` holds the number of rows, ``missing`` the missing values of every column, ``earliest``
+    and ``latest`` the date range, and ``year`` and each column of ``values`` its counts. Rows are
+    counted by year and values together before the grouping sets copy that count. A table without
+    rows has no profile.
+    """
+    year = F.year(date).cast("string")
+    keys = {"_year": year} | {f"_{name}": F.col(f"`{name}`").cast("string") for name in values}
+    missing = {name: f"_{i}_missing" for i, name in enumerate(df.columns)}
+    sums = [F.count_if(F.col(f"`{name}`").isNull()).alias(alias) for name, alias in missing.items()]
+    counted = df.groupBy(*[e.alias(name) for name, e in keys.items()]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(date).alias("_first"), F.max(date).alias("_last"), *sums
+    )
+    sets = [[F.col(f"`{name}`")] for name in keys] + [[]]
+    rolled = counted.groupingSets(sets, *[F.col(f"`{name}`") for name in keys]).agg(
+        F.grouping_id().alias("_set"),
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+        *[F.sum(alias).alias(alias) for alias in missing.values()],
+    )
+    whole = F.col("_set") == (1 << len(keys)) - 1
+
+    def point(metric: str, name: Column, n: Column, at: Column | None = None) -> Column:
+        at = (F.lit(None) if at is None else at).cast("timestamp_ntz")
+        return F.struct(
+            F.lit(metric).alias("metric"), name.cast("string").alias("name"),
+            n.cast("long").alias("n"), at.alias("at"),
+        )
+
+    none = F.lit(None)
+    of_table = [
+        point("rows", none, F.col("_n")),
+        point("earliest", none, none, F.col("_first")),
+        point("latest", none, none, F.col("_last")),
+        *[point("missing", F.lit(name), F.col(alias)) for name, alias in missing.items()],
+    ]
+    metrics = ["year", *values]
+    of_keys = none
+    for i, (metric, key) in enumerate(zip(metrics, keys)):
+        own = F.col("_set") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
+        of_keys = F.when(own, F.array(point(metric, F.col(f"`{key}`"), F.col("_n")))).otherwise(of_keys)
+    return rolled.select(F.inline(F.when(whole, F.array(*of_table)).otherwise(of_keys))).where(
+        F.col("name").isNotNull() | F.col("metric").isin("rows", "earliest", "latest")
     )
 
 

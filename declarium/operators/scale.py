@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Above this many rows a lookup table is joined by shuffle, not sent to every executor.
+# Above this many rows, or bytes, a lookup table is joined by shuffle, not sent to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -35,13 +36,29 @@ def fixed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: texts and arrays as long as they are, everything else a word."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        name = F.col(f"`{field.name}`")
+        plain = field.dataType.typeName() not in ("string", "binary", "array", "map", "struct", "variant")
+        text = F.octet_length(name if field.dataType.typeName() == "binary" else name.cast("string"))
+        size = size + F.lit(8) + (F.lit(0) if plain else F.coalesce(text, F.lit(0)))
+    return size
+
+
+def is_small(rows: int, size: int | None, limit: int | None = None) -> bool:
+    return rows <= (BROADCAST_ROWS if limit is None else limit) and (size or 0) <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the table is counted to be small; as it is otherwise.
+    """Broadcast hint if the table is found to be small; as it is otherwise.
 
     Without the hint the join is a shuffle join that adaptive execution splits on hot keys.
-    The count stops after ``limit + 1`` rows.
+    Counting stops after ``limit + 1`` rows; what they take together counts as well.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    rows, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if is_small(rows, size, limit) else df
 
 
 def dense_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from declarium.functions.dates import month_text, next_month
 from declarium.operators.filters import require_range
+from declarium.operators.forecast import region_forecast
+from declarium.operators.scale import broadcast_if_small, fixed
 from declarium.operators.summaries import leading
-from declarium.schema import FORECAST_TYPE_COLUMNS, PREFERRED_REGIONS
+from declarium.schema import FORECAST_TYPE_COLUMNS, PREFERRED_REGIONS, Columns
 
 
 def serving_slice(
@@ -64,6 +66,29 @@ def serve(
     return rest.unionByName(kept, allowMissingColumns=True).select(recomputed.columns)
 
 
+def serve_or_forecast(
+    stored: DataFrame,
+    records: DataFrame,
+    as_of: date | str,
+    horizon: int = 12,
+    history_months: int = 60,
+    columns: Columns = Columns(),
+) -> DataFrame:
+    """Stored rows of the regions whose stored forecast is usable; the others are forecast anew.
+
+    The usable regions leave the records before anything is counted, so that a region costs
+    nothing while its stored forecast holds. All columns of the forecast table, with its types;
+    what the stored table lacks, or holds in a form that does not fit them, is null in its rows.
+    """
+    kept = fixed(serving_slice(stored, as_of, horizon, history_months))
+    usable = broadcast_if_small(kept.select(F.col("region").alias("_usable")).distinct())
+    rest = records.join(usable, F.col(columns.group) == F.col("_usable"), "left_anti")
+    fresh = region_forecast(rest, as_of, horizon, history_months, columns=columns)
+    types = dict(fresh.dtypes)
+    shown = kept.select([F.col(c).try_cast(types[c]).alias(c) for c in kept.columns if c in types])
+    return fresh.unionByName(shown, allowMissingColumns=True)
+
+
 # Names in the served rows.
 SERVED_NAMES = {
     "recordType": "record_type",

@@ -157,11 +157,12 @@ def summary(
 ) -> DataFrame:
     """Key figures in one row: records, distinct entities, leading place and category, peak year.
 
-    One scan: the records are counted by all keys, the grouping sets count every single key
-    from that, entities included, and the last step picks the largest of each kind. No row,
-    if there are no records.
+    One scan: every task counts its records by place, category and year, and notes its distinct
+    entities beside that, so that a shuffled row stands for one combination or one entity, never
+    for both. What is copied for each single key is the count of the combinations alone. No row, if
+    there are no records.
     """
-    kinds = ["geo", "category", "year", "entity"]
+    kinds = ["geo", "category", "year"]
     keyed = records.select(
         F.col(columns.geo).alias("geo"),
         F.col(columns.category).alias("category"),
@@ -169,20 +170,26 @@ def summary(
         F.col(columns.entity).alias("entity"),
         *([F.col(weight)] if weight else []),
     )
-    combined = keyed.groupBy(*kinds).agg(tally(weight).alias("n"))
-    kind = F.grouping_id()
-    counts = combined.groupingSets([[F.col(k)] for k in kinds], *kinds).agg(
-        F.sum("n").alias("n"), kind.cast("int").alias("kind")
+    sets = [[F.col(k) for k in kinds], [F.col("entity")]]
+    apart = keyed.groupingSets(sets, *kinds, "entity").agg(
+        tally(weight).alias("n"), (F.grouping("entity") == 0).alias("of_entity")
     )
-    # grouping_id sets the bit of each key that is rolled up: 0111, 1011, 1101, 1110.
-    is_kind = {k: F.col("kind") == 15 - (8 >> i) for i, k in enumerate(kinds)}
+    combined = apart.groupBy(*kinds, "of_entity").agg(
+        F.sum("n").alias("n"), F.count("entity").alias("entities")
+    )
+    rolled = combined.groupingSets([[F.col(k), F.col("of_entity")] for k in kinds], *kinds, "of_entity").agg(
+        F.sum("n").alias("n"), F.max("entities").alias("entities"),
+        F.grouping_id().cast("int").alias("kind"),
+    )
+    # grouping_id sets the bit of each key that is rolled up: 0110, 1010, 1100.
+    is_kind = {k: (F.col("kind") == 14 - (8 >> i)) & ~F.col("of_entity") for i, k in enumerate(kinds)}
 
     def leader(key: str) -> Column:
         return leading(F.col("n"), F.col(key), is_kind[key])["key"]
 
-    return counts.agg(
+    return rolled.agg(
         F.sum(F.when(is_kind["geo"], F.col("n"))).alias(RECORDS),
-        F.count_if(is_kind["entity"] & F.col("entity").isNotNull()).alias(
+        F.coalesce(F.max(F.when(F.col("of_entity"), F.col("entities"))), F.lit(0)).alias(
             "unique_disaster_numbers"
         ),
         leader("geo").alias("top_state"),

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from declarium.operators.insights import LIMITATIONS
-from declarium.plans.registry import CATEGORIES, END, HORIZON, REGION, START, YEAR
-from declarium.plans.tables import RAW
+from declarium.plans.registry import CATEGORIES, END, HORIZON, LAST_ROW, REGION, START, YEAR
+from declarium.plans.tables import BROKEN_TITLE, COPIES, RAW
 from declarium.schema import (
     CATEGORY_LIMITATION,
     CATEGORY_METHOD,
@@ -117,6 +117,32 @@ DATE_PARTS = f"""CAST(year(declarationDate) AS INTEGER) AS declarationYear,
     CAST(quarter(declarationDate) AS INTEGER) AS declarationQuarter,
     strftime(declarationDate, '%Y-%m') AS declarationMonthYear"""
 
+
+
+def normalised(source: str) -> str:
+    """Columns of the normalised table, over typed columns."""
+    return f"""SELECT id, disasterNumber, coalesce(state, 'Not Reported') AS state, declarationType,
+            CASE declarationType WHEN 'DR' THEN 'Major Disaster' WHEN 'EM' THEN 'Emergency'
+                WHEN 'FM' THEN 'Fire Management Assistance'
+                ELSE coalesce(declarationType, 'Not Reported') END AS declarationTypeLabel,
+            declarationDate, {DATE_PARTS},
+            coalesce(incidentType, 'Not Reported') AS incidentType,
+            coalesce(declarationTitle, 'Not Reported') AS declarationTitle,
+            coalesce(designatedArea, 'Not Reported') AS designatedArea,
+            region, {REGION_LABEL} AS femaRegion, designatedIncidentTypes, lastRefresh
+        FROM {source}"""
+
+
+DIRTY = "dirty AS (" + " UNION ALL ".join(
+    "SELECT " + ", ".join(f"{changed.get(c, c)} AS {c}" for c in RAW) + f" FROM raw WHERE {kept}"
+    for changed, kept in COPIES
+) + ")"
+TYPED_DIRTY = TYPED.replace(RAW_TABLE, f"{RAW_TABLE}, {DIRTY}").replace("FROM raw)", "FROM dirty)")
+TIDY = f"""{TYPED_DIRTY}, tidy AS (
+    SELECT * FROM ({normalised('typed')})
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY {", ".join(
+        f"{name} DESC NULLS LAST" for name in LAST_ROW)}) = 1)"""
+
 # --- star schema ---
 
 STAR_RECORDS = f"""{RECORDS}, star AS (
@@ -487,6 +513,15 @@ usable AS (
         AND count(*) = count(likelyIncidentType))"""
 
 
+def as_of_stored(sql: str) -> str:
+    """SQL of the forecast by place, and as of the day of the stored one."""
+    return (
+        sql.replace(FLOOR, "DATE '1999-05-01'")
+        .replace(FIRST_FORECAST, STORED_FLOOR)
+        .replace("grp AS region", "geo AS region")
+    )
+
+
 def breakdown(fields: dict[str, str], name: str, count: str, source: str = "records") -> str:
     return " UNION ALL ".join(
         f"SELECT '{field}' AS {name}, {e} AS value, count(*) AS {count} FROM {source} "
@@ -554,6 +589,9 @@ ORACLE: dict[str, str] = {
         SELECT id, entity, recorded_at, geo, grp, category, type_label, area FROM records
         WHERE {IN_RANGE} AND grp = '{REGION}' AND category IN ({quoted(CATEGORIES)})
             AND type_label IN ('Filled', 'P')""",
+    "filter_years_swapped": """SELECT o_orderkey AS id, o_orderdate AS recorded_at,
+            o_orderpriority AS category
+        FROM orders WHERE year(o_orderdate) = 1999""",
     "filter_years": """SELECT o_orderkey AS id, o_orderdate AS recorded_at,
             o_orderpriority AS category
         FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1999""",
@@ -628,17 +666,33 @@ ORACLE: dict[str, str] = {
             {DESCRIBED} AS description, {SHORT} AS short_description,
             count(*) AS declaration_records
         FROM records GROUP BY 1""",
-    "normalise_records": f"""WITH {TYPED}
-        SELECT id, disasterNumber, coalesce(state, 'Not Reported') AS state, declarationType,
-            CASE declarationType WHEN 'DR' THEN 'Major Disaster' WHEN 'EM' THEN 'Emergency'
-                WHEN 'FM' THEN 'Fire Management Assistance'
-                ELSE coalesce(declarationType, 'Not Reported') END AS declarationTypeLabel,
-            declarationDate, {DATE_PARTS},
-            coalesce(incidentType, 'Not Reported') AS incidentType,
-            coalesce(declarationTitle, 'Not Reported') AS declarationTitle,
-            coalesce(designatedArea, 'Not Reported') AS designatedArea,
-            region, {REGION_LABEL} AS femaRegion, designatedIncidentTypes, lastRefresh
-        FROM typed""",
+    "normalise_records": f"WITH {TYPED} {normalised('typed')}",
+    "normalise_dirty": f"WITH {TIDY} SELECT * FROM tidy",
+    "clean_dirty": f"""WITH {TYPED_DIRTY}
+        SELECT DISTINCT *, {DATE_PARTS}, {REGION_LABEL} AS femaRegion FROM typed""",
+    "missing_columns": f"""WITH {TYPED}, bare AS (
+            SELECT * REPLACE (NULL::VARCHAR AS declarationType, NULL::VARCHAR AS designatedArea,
+                NULL::INTEGER AS region)
+            FROM typed)
+        {normalised('bare')}""",
+    "last_refresh": f"WITH {TIDY} SELECT max(lastRefresh) AS latest_refresh FROM tidy",
+    "group_counts_dirty": f"""WITH {TIDY}
+        SELECT femaRegion AS name, count(*) AS declaration_records FROM tidy
+        WHERE femaRegion <> 'Not Reported' GROUP BY 1""",
+    "top_regions_dirty": f"""WITH {TIDY}, best AS (
+            SELECT femaRegion AS name, count(*) AS declaration_records FROM tidy
+            GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
+        SELECT * FROM best WHERE name <> 'Not Reported'""",
+    "category_history_dirty": f"""WITH {TIDY}
+        SELECT DISTINCT femaRegion AS region, {month('declarationDate')} AS month,
+            {title('trim(incidentType)')} AS category,
+            CASE WHEN upper(trim(state)) IN ('', 'NOT REPORTED') THEN '{REGION_WIDE}'
+                ELSE upper(trim(state)) END AS geo,
+            {rounded(f"power(0.5::DOUBLE, datediff('month', {month('declarationDate')}, {FLOOR})"
+                     " / 60.0::DOUBLE)")} AS weight
+        FROM tidy
+        WHERE femaRegion <> 'Not Reported' AND incidentType <> 'Not Reported'
+            AND declarationDate < {FLOOR} AND declarationDate >= {FLOOR} - INTERVAL 180 MONTH""",
     "clean_records": f"""WITH {TYPED}
         SELECT DISTINCT *, {DATE_PARTS}, {REGION_LABEL} AS femaRegion FROM typed""",
     "dedupe_latest": """SELECT * FROM lineitem
@@ -659,6 +713,21 @@ ORACLE: dict[str, str] = {
         SELECT count(*) AS rows_before, (SELECT count(*) FROM kept) AS rows_after,
             count(*) - (SELECT count(*) FROM kept) AS duplicates_removed
         FROM repeated""",
+    "profile_columns": f"""WITH {TYPED_DIRTY}, points AS (
+            SELECT 'rows' AS metric, NULL::VARCHAR AS name, count(*) AS n, NULL::TIMESTAMP AS at
+            FROM typed
+            UNION ALL SELECT 'earliest', NULL, NULL, min(declarationDate) FROM typed
+            UNION ALL SELECT 'latest', NULL, NULL, max(declarationDate) FROM typed
+            UNION ALL SELECT 'year', CAST(year(declarationDate) AS VARCHAR), count(*), NULL
+            FROM typed WHERE declarationDate IS NOT NULL GROUP BY 2
+            UNION ALL SELECT 'incidentType', incidentType, count(*), NULL
+            FROM typed WHERE incidentType IS NOT NULL GROUP BY 2
+            UNION ALL SELECT 'state', state, count(*), NULL
+            FROM typed WHERE state IS NOT NULL GROUP BY 2"""
+    + "".join(
+        f" UNION ALL SELECT 'missing', '{c}', count(*) - count({c}), NULL FROM typed" for c in RAW
+    )
+    + ") SELECT * FROM points",
     "findings": f"""WITH {RECORDS}, counted AS ({breakdown(FINDINGS, 'metric', 'records')})
         SELECT metric, value AS name, records FROM counted
         QUALIFY row_number() OVER (PARTITION BY metric ORDER BY records DESC, value) = 1""",
@@ -680,6 +749,15 @@ ORACLE: dict[str, str] = {
         FROM fact LEFT JOIN days USING (dateKey) LEFT JOIN location USING (locationKey)
             LEFT JOIN kind USING (incidentTypeKey)
         GROUP BY 1, 2, 3""",
+    "star_dimensions": f"""WITH {STAR_RECORDS}
+        SELECT 'date' AS dimension, CAST(dateKey AS BIGINT) AS key, concat_ws('|', fullDate, year,
+            month, monthName, quarter, monthYear) AS natural_key FROM days
+        UNION ALL SELECT 'location', locationKey, concat_ws('|', coalesce(geo, '-'),
+            coalesce(grp, '-'), coalesce(CAST(region_number AS VARCHAR), '-'), coalesce(area, '-'))
+        FROM location
+        UNION ALL SELECT 'kind', incidentTypeKey, concat_ws('|', coalesce(category, '-'),
+            coalesce(codes, '-'))
+        FROM kind""",
     "sample_head": """SELECT o_orderkey AS id, o_orderdate AS recorded_at FROM orders
         ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000""",
     "sample_systematic": """WITH placed AS (
@@ -694,6 +772,33 @@ ORACLE: dict[str, str] = {
         WHERE total <= 1000 OR place IN (SELECT place FROM positions)""",
     "head_per_group": f"""WITH {RECORDS} SELECT grp, id, recorded_at FROM records
         QUALIFY row_number() OVER (PARTITION BY grp ORDER BY recorded_at, id) <= 12""",
+    "first_of_regions": f"""WITH {RECORDS} SELECT grp, id, recorded_at FROM records
+        QUALIFY row_number() OVER (PARTITION BY grp ORDER BY recorded_at, id) <= 1500""",
+    "newest_first_files": """SELECT o_orderkey AS id, o_orderdate AS recorded_at,
+            o_orderpriority AS category,
+            row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) - 1 AS position
+        FROM orders""",
+    "broken_lines": f"""WITH {RAW_TABLE}, broken AS (
+            SELECT CAST(o_orderkey AS VARCHAR) AS key, {BROKEN_TITLE} AS title FROM {PLACES})
+        SELECT id, title AS declarationTitle, state, lastRefresh
+        FROM raw JOIN broken ON id = key""",
+    "exported_listing": f"""WITH {TYPED}, tidy AS ({normalised('typed')})
+        SELECT CAST(disasterNumber AS VARCHAR) AS disasterNumber, declarationDate, state, femaRegion,
+            incidentType, declarationTypeLabel, declarationTitle, designatedArea
+        FROM tidy
+        WHERE declarationDate >= DATE '{START}' AND declarationDate < DATE '{END}' + 1
+            AND femaRegion IN ('Region 3', 'Region 4')""",
+    "exported_forecast": f"""WITH {forecast_sql(HORIZON, 12)}
+        SELECT region, month, recordType, likelyIncidentType, {rounded('incidentTypeSupport')}
+                AS incidentTypeSupport, incidentTypeConfidence, likelyAreas, declarationRecords,
+            lowerEstimate, upperEstimate
+        FROM forecast""",
+    "reread_forecast": f"""WITH {STORED}
+        SELECT * FROM stored WHERE month(month) NOT IN (5, 6, 10)""",
+    "best_source": f"""WITH {TYPED}, tidy AS ({normalised('typed')})
+        SELECT 'Local raw dataset' AS data_source, FALSE AS sample_mode, femaRegion,
+            count(*) AS declaration_records
+        FROM tidy GROUP BY 3""",
     "insight_top_month": f"""WITH {SEASONALITY} SELECT name, declaration_records FROM months
         ORDER BY 2 DESC, month LIMIT 1""",
     "insight_top_season": f"""WITH {SEASONALITY}, seasons AS (
@@ -770,10 +875,15 @@ ORACLE: dict[str, str] = {
         FROM forecast""",
     "forecast_serving_slice": f"""WITH {STORED}
         SELECT shown.* FROM shown SEMI JOIN usable USING (region)""",
-    "served_forecast": f"""WITH {STORED}
-        SELECT shown.* FROM shown SEMI JOIN usable USING (region)
-        UNION ALL SELECT region, month, recordType, declarationRecords, 'Fresh'
-        FROM stored ANTI JOIN usable USING (region)""",
+    "served_forecast": f"""WITH {STORED},
+        fresh AS (WITH {as_of_stored(forecast_sql(6, 24))} SELECT * FROM forecast)
+        SELECT region, month, recordType, declarationRecords, NULL::BIGINT AS lowerEstimate,
+            NULL::BIGINT AS upperEstimate, likelyIncidentType, 1.0::DOUBLE AS incidentTypeSupport,
+            '{REGION_WIDE}' AS likelyAreas, NULL::VARCHAR AS method, NULL::DOUBLE AS validationMae
+        FROM shown SEMI JOIN usable USING (region)
+        UNION ALL SELECT region, month, recordType, declarationRecords, lowerEstimate, upperEstimate,
+            likelyIncidentType, {rounded('incidentTypeSupport')}, likelyAreas, method, validationMae
+        FROM fresh ANTI JOIN usable USING (region)""",
     "forecast_comparison": f"""WITH {forecast_sql(HORIZON, 12)},
         ahead AS (SELECT * FROM forecast WHERE recordType = 'Forecast'),
         peaks AS (
@@ -831,4 +941,40 @@ def finding_rows() -> str:
     )
 
 
+def totals_rows() -> str:
+    """The findings from published totals as one table."""
+    sql = finding_rows()
+    replaced = {
+        f"({ORACLE['insight_trend']})": f"({ORACLE['insight_trend_from_cube']})",
+        f"({ORACLE['insight_spikes']})": f"""(WITH {YEARLY}
+            SELECT year, n AS declaration_records,
+                printf('%d is among the years with most records.', year) AS explanation
+            FROM yearly WHERE year < {YEAR} ORDER BY n DESC, year LIMIT 3)""",
+        f"({top('records', 'grp', 5)})": f"""(WITH {RECORDS}
+            SELECT grp AS name, count(*) AS declaration_records, min(region_number) AS place
+            FROM records GROUP BY 1 ORDER BY place LIMIT 5)""",
+        f"({per_entity(RECORDS, 'records')})": """(SELECT count(*) AS declaration_records,
+                printf('A disaster has about %.2f records.',
+                    round_even(count(*) / count(DISTINCT o_custkey), 2)) AS interpretation
+            FROM orders)""",
+    }
+    for old, new in replaced.items():
+        if old not in sql:
+            raise ValueError(f"Not part of the findings: {old[:80]}")
+        sql = sql.replace(old, new)
+    return sql
+
+
 ORACLE["insights_all"] = finding_rows()
+ORACLE["totals_findings"] = totals_rows()
+# What an empty selection gives: twelve months without records, and a ratio of nothing.
+ORACLE["empty_results"] = " UNION ALL ".join(
+    f"SELECT '{result}' AS result, CAST({rows} AS BIGINT) AS value FROM (SELECT count(*) FROM orders)"
+    for result, rows in {
+        "summary": 0, "trend": 0, "top_values": 0, "region_counts": 0, "metadata": 0,
+        "seasonality": 12, "findings": 0, "date_range": 0, "forecast": 0, "insights.top_month": 0,
+        "insights.top_season": 0, "insights.top_states": 0, "insights.top_incident_types": 0,
+        "insights.top_regions": 0, "insights.long_term_trend": 0, "insights.historical_spikes": 0,
+        "insights.records_vs_disasters": 1,
+    }.items()
+)

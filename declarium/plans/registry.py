@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -24,8 +25,18 @@ from declarium.operators import (
     summaries,
 )
 from declarium.operators.series import forecast_cube, monthly_series
-from declarium.plans.tables import COLUMNS, raw_records, records, table
+from declarium.plans.tables import (
+    BROKEN_TITLE,
+    COLUMNS,
+    RAW,
+    dirty_records,
+    raw_records,
+    records,
+    table,
+    with_places,
+)
 from declarium.schema import REGION_WIDE, SEASONAL_MODEL
+from declarium.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +80,13 @@ def filter_records(spark, folder):
     )
 
 
+def filter_years_swapped(spark, folder):
+    """A last year before the first one stands for the first one alone."""
+    first, last = filters.year_bounds(1999, 1997)
+    chosen = filters.apply_filters(records(spark, folder, False), COLUMNS, first, last)
+    return chosen.select("id", "recorded_at", "category")
+
+
 def filter_years(spark, folder):
     first, last = filters.year_bounds(1997, 1999)
     chosen = filters.apply_filters(records(spark, folder, False), COLUMNS, first, last)
@@ -217,6 +235,49 @@ def clean_records(spark, folder):
     return normalise.clean(raw_records(spark, folder))
 
 
+LAST_ROW = [
+    "lastRefresh", "disasterNumber", "declarationTitle", "declarationDate", "incidentType", "state",
+    "designatedArea", "declarationType", "femaRegion", "designatedIncidentTypes",
+]
+
+
+def tidy_records(spark, folder):
+    """Dirty raw records normalised; the order says which row of an id is the last."""
+    return normalise.normalise(dirty_records(spark, folder), [F.col(c) for c in LAST_ROW])
+
+
+def normalise_dirty(spark, folder):
+    return tidy_records(spark, folder)
+
+
+def clean_dirty(spark, folder):
+    return normalise.clean(dirty_records(spark, folder))
+
+
+def missing_columns(spark, folder):
+    """A file that lacks required columns: they are there, without values."""
+    raw = raw_records(spark, folder).drop("declarationType", "designatedArea", "region")
+    return normalise.normalise(raw)
+
+
+def last_refresh(spark, folder):
+    return summaries.latest_refresh(tidy_records(spark, folder))
+
+
+def group_counts_dirty(spark, folder):
+    return summaries.region_counts(tidy_records(spark, folder))
+
+
+def top_regions_dirty(spark, folder):
+    """Regions less the records without one; fewer than asked for, as those are taken out last."""
+    return summaries.top_reported(tidy_records(spark, folder), "femaRegion", 5)
+
+
+def category_history_dirty(spark, folder):
+    cube = forecast_cube(tidy_records(spark, folder), AS_OF)
+    return rounded(categories.category_history(cube, AS_OF))
+
+
 def dedupe_latest(spark, folder):
     lines = table(spark, folder, "lineitem")
     order = [F.col(c) for c in ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
@@ -251,6 +312,12 @@ def profile_removed(spark, folder):
     return profile.duplicates_removed(lines, lines.dropDuplicates())
 
 
+def profile_columns(spark, folder):
+    """The raw table's profile from one scan: years, types and places, missing values, dates."""
+    typed = normalise.standard_case(normalise.typed(dirty_records(spark, folder)))
+    return profile.table_profile(typed, "declarationDate", ["incidentType", "state"])
+
+
 def findings(spark, folder):
     return profile.findings(records(spark, folder), COLUMNS)
 
@@ -299,23 +366,41 @@ def dim_category(spark, folder):
     return star.keyed_dimension(star_records(spark, folder), CATEGORY, "incidentTypeKey")
 
 
-def star_tables(spark, folder):
-    rows = star_records(spark, folder)
-    locations = star.keyed_dimension(rows, LOCATION, "locationKey")
-    kinds = star.keyed_dimension(rows, CATEGORY, "incidentTypeKey")
-    wanted = ["id", "entity", "type_label", "dateKey", "locationKey", "incidentTypeKey"]
-    facts = star.fact(rows, locations, kinds, wanted, "recorded_at")
-    return facts, star.dim_date(rows, "recorded_at"), locations, kinds
+def star_built(spark, folder):
+    return star.build(star_records(spark, folder), LOCATION, CATEGORY, "recorded_at")
 
 
 def fact_records(spark, folder):
-    return star_tables(spark, folder)[0]
+    built = star_built(spark, folder)
+    wanted = ["id", "entity", "type_label", "dateKey", "locationKey", "incidentTypeKey"]
+    rows = star_records(spark, folder)
+    return star.fact(rows, built.locations, built.incident_types, wanted, "recorded_at", checked=True)
 
 
 def star_summary(spark, folder):
-    joined = star.denormalise(*star_tables(spark, folder))
+    built = star_built(spark, folder)
+    facts = star.counted_facts(built)
+    joined = star.denormalise(
+        facts, built.dates, built.locations, built.incident_types, checked=True
+    )
     keys = {name: F.col(name) for name in ["year", "grp", "category"]}
-    return summaries.count_by(joined, keys, name="declarationCount")
+    return summaries.count_by(joined, keys, "n", "declarationCount")
+
+
+def star_dimensions(spark, folder):
+    """All dimensions of one star, as rows (dimension, key, natural keys)."""
+    built = star_built(spark, folder)
+    tables = {"date": built.dates, "location": built.locations, "kind": built.incident_types}
+    rows = [
+        df.select(
+            F.lit(name).alias("dimension"),
+            F.col(df.columns[0]).cast("long").alias("key"),
+            F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns[1:]])
+            .alias("natural_key"),
+        )
+        for name, df in tables.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 # --- samples ---
@@ -336,6 +421,78 @@ def head_per_group(spark, folder):
     return sampling.head_per_group(rows, "grp", [F.col("recorded_at"), F.col("id")], 12)
 
 
+def first_of_regions(spark, folder):
+    """More first rows of a group than Spark cuts before the shuffle of its own accord."""
+    rows = records(spark, folder).select("grp", "id", "recorded_at")
+    return sampling.head_per_group(rows, "grp", [F.col("recorded_at"), F.col("id")], 1500)
+
+
+# --- files ---
+
+
+def scratch(spark, name):
+    return f"{scale.checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def newest_first_files(spark, folder):
+    """The table written newest first, and the place of every row in its files."""
+    rows = records(spark, folder, False).select("id", "recorded_at", "category")
+    path = writers.write_newest_first(rows, scratch(spark, "newest"), COLUMNS)
+    return writers.in_file_order(spark, path)
+
+
+def broken_lines(spark, folder):
+    """Raw records whose titles hold line breaks, written as CSV and read again."""
+    raw = with_places(spark, folder).selectExpr(
+        *[f"{BROKEN_TITLE if name == 'declarationTitle' else e} AS {name}" for name, e in RAW.items()]
+    )
+    path = writers.write_csv(raw, scratch(spark, "raw"))
+    return readers.read_raw(spark, path).select("id", "declarationTitle", "state", "lastRefresh")
+
+
+def exported_listing(spark, folder):
+    """The listing of a filter, exported and read again; its dates typed."""
+    chosen = filters.apply_filters(
+        normalise.normalise(raw_records(spark, folder)), start=START, end=END, groups=["Region 3", "Region 4"]
+    )
+    back = readers.read_csv(spark, writers.export_listing(chosen, scratch(spark, "listing")))
+    return back.withColumn("declarationDate", F.col("declarationDate").cast("timestamp_ntz"))
+
+
+def exported_forecast(spark, folder):
+    built = forecast.region_forecast(records(spark, folder), AS_OF, HORIZON, 12, columns=COLUMNS)
+    path = writers.export_forecast(built, scratch(spark, "forecast"))
+    return rounded(readers.read_forecast(spark, path))
+
+
+def reread_forecast(spark, folder):
+    """A stored forecast as CSV in which some months cannot be read."""
+    stored = stored_forecast(spark, folder).withColumn(
+        "month",
+        F.when(F.month("month") % 5 == 0, "n/a").when(F.month("month") == 6, "2000-13-01")
+        .otherwise(F.date_format("month", "yyyy-MM-dd")),
+    )
+    back = readers.read_forecast(spark, writers.write_csv(stored, scratch(spark, "stored")))
+    return back.select("region", "month", "recordType", "declarationRecords", "likelyIncidentType")
+
+
+def best_source(spark, folder):
+    """Records by the source they come from: the store is missing, the first table empty, the
+    second one no table, so the raw file is read, before any sample."""
+    place = scratch(spark, "sources")
+    raw = raw_records(spark, folder)
+    tidy = normalise.normalise(raw)
+    writers.write_full(tidy, f"{place}/curated/dashboard_dataset", is_sample=True)
+    writers.write_csv(raw, f"{place}/cleaned/declarations_cleaned/_hidden")
+    writers.write_csv(raw, f"{place}/raw/declarations_raw.csv")
+    writers.write_table(tidy.limit(10), f"{place}/sample/dashboard_dataset_sample")
+    candidates = readers.default_candidates(place, f"{place}/no_such_store")
+    loaded = readers.load_best(spark, candidates).with_provenance()
+    return loaded.groupBy("data_source", "sample_mode", "femaRegion").agg(
+        F.count(F.lit(1)).alias("declaration_records")
+    )
+
+
 # --- insights ---
 
 
@@ -375,6 +532,38 @@ def insight_trend_from_cube(spark, folder):
     return rounded(insights.long_term_trend(cube, YEAR, COLUMNS, "records", fallback=False))
 
 
+def totals_findings(spark, folder):
+    """All findings from published totals."""
+    chosen = records(spark, folder)
+    totals = {
+        "summary": summaries.summary(chosen, COLUMNS),
+        "years": summaries.trend(chosen, "year", COLUMNS),
+        "months": summaries.seasonality(chosen, COLUMNS),
+        "states": summaries.top_values(chosen, "geo", 10),
+        "incident_types": summaries.top_values(chosen, "category", 10),
+        "regions": summaries.region_counts(chosen, COLUMNS),
+    }
+    return insights.insight_rows(insights.insights_from_totals(totals, YEAR))
+
+
+def empty_results(spark, folder):
+    """Rows that every operator gives for a selection without records."""
+    none = filters.apply_filters(records(spark, folder), COLUMNS, geos=["NOWHERE"])
+    results = {
+        "summary": summaries.summary(none, COLUMNS),
+        "trend": summaries.trend(none, "month", COLUMNS),
+        "top_values": summaries.top_values(none, "category", 5),
+        "region_counts": summaries.region_counts(none, COLUMNS),
+        "metadata": summaries.metadata(none, COLUMNS),
+        "seasonality": summaries.seasonality(none, COLUMNS),
+        "findings": profile.findings(none, COLUMNS),
+        "date_range": filters.date_range(none, COLUMNS),
+        "forecast": forecast.region_forecast(none, AS_OF, HORIZON, 12, columns=COLUMNS),
+    } | {f"insights.{k}": v for k, v in insights.insights(none, YEAR, COLUMNS).items()}
+    sizes = profile.table_sizes(results)
+    return sizes.select(F.replace("metric", F.lit("rows:"), F.lit("")).alias("result"), "value")
+
+
 # --- series and models ---
 
 
@@ -490,11 +679,17 @@ def forecast_serving_slice(spark, folder):
 
 
 def served_forecast(spark, folder):
-    """Stored rows of usable regions; the others from rows that stand for a fresh forecast."""
+    """Stored rows of usable regions; the others forecast from the records, as of the same day."""
     stored = stored_forecast(spark, folder)
-    fresh = stored.withColumn("likelyIncidentType", F.lit("Fresh"))
-    shown = serving.serve(stored, fresh, STORED_AS_OF, 6, 24)
-    return shown.select("region", "month", "recordType", "declarationRecords", "likelyIncidentType")
+    shown = serving.serve_or_forecast(
+        stored, records(spark, folder), STORED_AS_OF, 6, 24, columns=BY_PLACE
+    )
+    return rounded(
+        shown.select(
+            "region", "month", "recordType", "declarationRecords", "lowerEstimate", "upperEstimate",
+            "likelyIncidentType", "incidentTypeSupport", "likelyAreas", "method", "validationMae",
+        )
+    )
 
 
 def forecast_comparison(spark, folder):
@@ -517,17 +712,21 @@ def forecast_sizes(spark, folder):
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in [
-        filter_records, filter_years, date_range_default,
+        filter_records, filter_years, filter_years_swapped, date_range_default,
         summary_kpis, trend_year, trend_month, trend_events_month, group_counts,
         top_categories, top_geos, top_geo_category, type_label_counts, month_counts,
         seasonality, season_rollup, metadata_values, record_cube, shared_breakdowns,
         clean_text, title_case, parse_cast, date_parts, region_labels,
-        normalise_records, clean_records, dedupe_latest, distinct_rows,
-        profile_nulls, profile_sizes, profile_removed, findings, health, table_sizes,
-        dim_date, dim_location, dim_category, fact_records, star_summary,
-        sample_head, sample_systematic, head_per_group,
+        normalise_records, clean_records, normalise_dirty, clean_dirty, missing_columns, last_refresh,
+        group_counts_dirty, top_regions_dirty, category_history_dirty, dedupe_latest, distinct_rows,
+        profile_nulls, profile_sizes, profile_removed, profile_columns, findings, health, table_sizes,
+        dim_date, dim_location, dim_category, fact_records, star_summary, star_dimensions,
+        sample_head, sample_systematic, head_per_group, first_of_regions,
+        newest_first_files, broken_lines, exported_listing, exported_forecast, reread_forecast,
+        best_source,
         insight_top_month, insight_top_season, insight_top_regions, insight_trend,
         insight_spikes, insight_records_vs_entities, insights_all, insight_trend_from_cube,
+        totals_findings, empty_results,
         monthly_series_region, monthly_series_place, seasonal_naive, level_adjustment,
         lag_residual_scale, regression_sums, regression_forecast, backtest_selection,
         volume_forecast, category_history, category_scores, category_estimates,

@@ -105,3 +105,35 @@ RAW = {
 
 def raw_records(spark: SparkSession, folder: str) -> DataFrame:
     return with_places(spark, folder).selectExpr(*[f"{e} AS {name}" for name, e in RAW.items()])
+
+
+# The raw file with the dirt of real ones: missing, repeated and equal ids, blank places. Of some
+# rows a copy comes again as it is, of others one with a later refresh or another title.
+NUMBER = "CAST(id AS BIGINT)"
+DIRT = {
+    "id": f"CASE WHEN {NUMBER} % 11 = 0 THEN NULL ELSE id END",
+    "state": f"CASE WHEN {NUMBER} % 13 = 0 THEN '   ' ELSE state END",
+    "incidentType": f"CASE WHEN {NUMBER} % 17 = 0 THEN '' ELSE incidentType END",
+}
+CHANGED = DIRT | {
+    "lastRefresh": f"CASE WHEN {NUMBER} % 2 = 0 THEN replace(lastRefresh, '12:30', '18:45') "
+    "ELSE lastRefresh END",
+    "declarationTitle": f"CASE WHEN {NUMBER} % 3 = 0 THEN 'other title' ELSE declarationTitle END",
+}
+COPIES = [(DIRT, "TRUE"), (DIRT, f"{NUMBER} % 5 = 0"), (CHANGED, f"{NUMBER} % 7 = 0")]
+
+
+def dirty_records(spark: SparkSession, folder: str) -> DataFrame:
+    raw = raw_records(spark, folder)
+    parts = [
+        raw.where(kept).selectExpr(*[f"{changed.get(c, c)} AS {c}" for c in raw.columns])
+        for changed, kept in COPIES
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Titles with line breaks, quotes and commas, as a file may hold them within quotes.
+BROKEN_TITLE = (
+    "CASE o_orderstatus WHEN 'F' THEN 'first ' || chr(10) || 'second, \"' || c_name || '\"' "
+    "WHEN 'O' THEN 'plain' ELSE chr(10) || c_mktsegment || chr(10) || chr(10) || 'end' END"
+)

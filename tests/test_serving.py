@@ -113,3 +113,50 @@ def test_arguments_are_checked_before_any_job(spark):
         region_forecast(records, as_of="2024-05-01", horizon=99)
     with pytest.raises(ValueError):
         date_range(records, start="2024-05-02", end="2024-05-01")
+
+
+def test_only_regions_without_a_usable_forecast_are_forecast(spark, monkeypatch):
+    """Usable regions leave the records before anything is counted."""
+    from datetime import datetime
+
+    from declarium.operators import forecast
+
+    rows = [
+        (f"Region {region}", datetime(2010 + i // 12, i % 12 + 1, 3), "Fire" if i % 2 else "Flood", "TX")
+        for region in range(1, 7) for i in range(120) for _ in range(1 + i % 3)
+    ]
+    records = spark.createDataFrame(
+        rows, "femaRegion string, declarationDate timestamp_ntz, incidentType string, state string"
+    )
+    seen = []
+    cube = forecast.forecast_cube
+
+    def counted(df, *rest):
+        seen.append({r[0] for r in df.select("femaRegion").distinct().collect()})
+        return cube(df, *rest)
+
+    monkeypatch.setattr(forecast, "forecast_cube", counted)
+    served = serving.serve_or_forecast(stored(spark), records, AS_OF, 6, 24).collect()
+    # regions 1 and 5 are usable; the sixth has no stored forecast at all
+    assert seen == [{f"Region {i}" for i in (2, 3, 4, 6)}]
+    assert {r.region for r in served} == {f"Region {i}" for i in range(1, 7)}
+    fresh = {
+        tuple(r) for r in forecast.region_forecast(records, AS_OF, 6, 24).collect()
+        if r.region not in ("Region 1", "Region 5")
+    }
+    assert {tuple(r) for r in served if r.region not in ("Region 1", "Region 5")} == fresh
+    kept = serving.serving_slice(stored(spark), AS_OF, 6, 24).collect()
+    mine = [r for r in served if r.region in ("Region 1", "Region 5")]
+    assert {(r.region, r.month, r.declarationRecords) for r in mine} == {
+        (r.region, r.month, r.declarationRecords) for r in kept}
+    assert {r.method for r in mine} == {None}
+
+
+def test_all_regions_usable_or_none(spark):
+    usable = stored(spark).where("region IN ('Region 1', 'Region 5')")
+    empty = spark.createDataFrame(
+        [], "femaRegion string, declarationDate timestamp_ntz, incidentType string, state string"
+    )
+    served = serving.serve_or_forecast(usable, empty, AS_OF, 6, 24)
+    assert {r.region for r in served.collect()} == {"Region 1", "Region 5"}
+    assert serving.serve_or_forecast(usable.limit(0), empty, AS_OF, 6, 24).isEmpty()
