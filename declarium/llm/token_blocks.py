@@ -23,6 +23,7 @@ import string
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,13 @@ from declarium.llm.common import shared_folder, slices
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 PUNCTUATION = string.punctuation
-END = END_ID.to_bytes(4, "little")
 BLOCK = 1024
 PERCENTILE = 95
 # Ids after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 18
 # Bytes of text encoded at once, and words whose ids a worker remembers.
 SLICE_BYTES = 8 << 20
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 JOINED_BYTES = 1 << 16
 # Printable ASCII, line breaks and Latin letters.
 PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ɏ]*")
@@ -117,6 +117,15 @@ def read_block(starts: bytes, payload: bytes, block: int) -> np.ndarray:
 # -- encoding -------------------------------------------------------------------------------
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pieces of ``data``, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    places = np.repeat(starts - (ends - sizes), sizes)
+    places += np.arange(total)
+    return data[places]
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -138,48 +147,79 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)  # one character a byte
-        self.known: dict[str, bytes] = {"\n": self.whole("\n")}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        # known words by number, and where the ids of each stand in ``data``; tails behind a NUL
+        self.known: dict[str, int] = {}
+        self.data, self.starts, self.sizes = (np.empty(0, k) for k in ("<u4", np.int64, np.int64))
+        self.used = np.empty(0, bool)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Ids of words as they are after a space, or with their line break before them."""
         parts = [w if w[:1] == "\n" else " " + w for w in words]
-        sizes = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
+        sizes = pc.binary_length(pa.array(parts, pa.string())).to_numpy().astype(np.int64)
         chunk = np.cumsum(sizes) // JOINED_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(words)]
+        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(parts)]
+        found, lengths = [], []
         for low, high in zip(edges, edges[1:]):
-            text = "".join(parts[low:high])
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+            ids = self.whole("".join(parts[low:high]))
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[low:high])) + 1
-            data, cuts = ids.tobytes(), (4 * ends).tolist()
-            self.known.update(
-                zip(words[low:high], map(data.__getitem__, map(slice, [0, *cuts], cuts)))
-            )
-
-    def words(self, wanted: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:  # keep what the last batches used
-            self.known, self.older = {"\n": self.whole("\n")}, self.known
-        known, tails, older = self.known, self.tails, self.older
-        known.update((w, older[w]) for w in wanted if w in older)
-        missing = [w for w in wanted if w not in known]
-        stems = [w.rstrip(PUNCTUATION) for w in missing]
-        stems = [s if s[-1:].isalpha() else w for w, s in zip(missing, stems)]
-        new = sorted(set(stems) - known.keys())
+            found.append(ids)
+            lengths.append(np.diff(ends, prepend=0))
+        self.add(words, found, np.concatenate(lengths))
+
+    def add(self, words: list[str], found: list[np.ndarray], lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.data) + np.cumsum(lengths) - lengths])
+        self.sizes = np.concatenate([self.sizes, lengths])
+        self.data = np.concatenate([self.data, *found])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.used = np.concatenate([self.used, np.ones(len(words), bool)])
+
+    def forget(self) -> None:
+        """Keep the words that the last batches used."""
+        kept = np.flatnonzero(self.used)
+        self.data = gathered(self.data, self.starts[kept], self.sizes[kept])
+        self.sizes = self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        words = np.array(list(self.known), object)[kept]
+        self.known = dict(zip(words.tolist(), range(len(kept))))
+        self.used = np.zeros(len(kept), bool)
+
+    def words(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        # punctuation behind a letter is encoded alone
+        bare = pc.utf8_rtrim(wanted, characters=PUNCTUATION)
+        plain = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, -1))
+        stems = pc.if_else(plain, bare, wanted)
+        listed = stems.to_pylist()
+        at = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [listed[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            at[missing] = [self.known[word] for word in new]
+        self.used[at] = True
+        starts, sizes = self.starts[at], self.sizes[at]
+        tailed = np.flatnonzero(
+            pc.binary_length(stems).to_numpy() < pc.binary_length(wanted).to_numpy()
+        )
+        if not len(tailed):
+            return gathered(self.data, starts, sizes), sizes
+        words = wanted.take(pa.array(tailed)).to_pylist()
+        ends = ["\0" + word[len(listed[i]) :] for word, i in zip(words, tailed.tolist())]
+        new = sorted(set(ends) - self.known.keys())
         if new:
-            self.learn(new)
-        for word, stem in zip(missing, stems):
-            if len(stem) < len(word):
-                tail = word[len(stem) :]
-                if tail not in tails:
-                    tails[tail] = self.whole(tail)
-                known[word] = known[stem] + tails[tail]
-        if len(tails) > REMEMBERED:
-            self.tails = {}
-        return [known[w] for w in wanted]
+            found = [self.whole(end[1:]) for end in new]
+            self.add(new, found, np.array([len(ids) for ids in found]))
+        tails = np.fromiter(map(self.known.__getitem__, ends), np.int64, len(ends))
+        self.used[tails] = True
+        behind, lengths = np.zeros((2, len(sizes)), np.int64)
+        behind[tailed], lengths[tailed] = self.starts[tails], self.sizes[tails]
+        both = np.stack([starts, behind], axis=1).ravel(), np.stack([sizes, lengths], axis=1).ravel()
+        return gathered(self.data, *both), sizes + lengths
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; ids of each."""
@@ -194,23 +234,25 @@ class Encoder:
         coded = split.values.dictionary_encode()
         firsts = split.offsets.to_numpy()[:-1]
         codes = coded.indices.to_numpy().astype(np.int64)
-        names = coded.dictionary.to_pylist()
-        parts = self.words([n or "\n" for n in names])
+        names = coded.dictionary
+        data, sizes = self.words(pc.if_else(pc.equal(names, ""), "\n", names))
+        from_ = np.cumsum(sizes) - sizes
+        begins, lengths = from_[codes], sizes[codes]
         # the line break put before the first word goes; other texts are one such part
-        starts = [parts[c][4:] for c in codes[firsts].tolist()]
+        begins[firsts] += 1
+        lengths[firsts] -= 1
+        pieces = [data]
+        held = len(data)
         for i, text in others.items():
-            starts[i] = self.whole(text)
-        codes[firsts] = len(parts) + np.arange(len(firsts))
-        parts += [*starts, END]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        data = np.frombuffer(b"".join(parts), "<u4")
-        codes = np.insert(codes, np.append(firsts[1:], len(codes)), len(parts) - 1)
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        from_ = (np.cumsum(sizes) - sizes)[codes]
-        ids = data[np.repeat(from_ - (ends - lengths), lengths) + np.arange(ends[-1])]
-        last = np.flatnonzero(codes == len(parts) - 1)
-        return ids, np.diff(ends[last], prepend=0)
+            pieces.append(self.whole(text))
+            begins[firsts[i]], lengths[firsts[i]] = held, len(pieces[-1])
+            held += len(pieces[-1])
+        pieces.append(np.array([END_ID], "<u4"))
+        places = np.append(firsts[1:], len(codes))
+        begins, lengths = np.insert(begins, places, held), np.insert(lengths, places, 1)
+        ids = gathered(np.concatenate(pieces), begins, lengths)
+        ends = np.cumsum(lengths)[places + np.arange(len(places))]
+        return ids, np.diff(ends, prepend=0)
 
     def safe(self, text: str) -> bool:
         """Every space stands alone between characters that are no white space."""
