@@ -23,18 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.llm.common import map_arrow
+from declarium.llm.common import map_arrow, slices
 
-# Pages to learn from, at most: those with the smallest hashes of their ids. Fitted with a
-# fixed seed, so reruns give the same labeller.
+# Pages to learn from, at most: those with the smallest hashes of their ids, among pages of no more
+# than so many bytes. Fitted with a fixed seed, so reruns give the same labeller.
 SAMPLE = 240
+SAMPLE_BYTES = 100_000
 LAYOUTS = 5
 HIDDEN = 16
 PATH_SIZE, WORD_SIZE, SHAPE_SIZE = 256, 64, 5
 EPOCHS, BATCH, RATE = 8, 48, 0.02
 SEED = 7
-# Pages labelled together, and blocks of one run: bounds what a worker holds.
-PAGES_AT_ONCE = 256
+# What a worker holds: bytes of pages read together (or one longer page), blocks whose features are
+# made at once, and places of one run of the labeller, padding included (or one longer page).
+PAGE_BYTES = 1 << 20
+BLOCKS_AT_ONCE = 2_048
+PLACES = 16_384
 
 # Elements and names that tell what they hold.
 BLOCKS = frozenset(
@@ -51,6 +55,16 @@ SKIPPED = frozenset(
     "button canvas audio video datalist".split()
 )
 RAW = frozenset("script style title textarea iframe noscript template svg math".split())
+# Code up to the page's end, if it is not ended before; other elements begin only if they end.
+CODE = frozenset("script style".split())
+# Elements that none of the skipped ones holds, and such as only some of them may hold.
+OUTSIDE = "article main section nav header footer aside body h1 h2 h3 h4 h5 h6"
+LINES = "p ul ol dl table blockquote pre form"
+HOLDS_NO = {
+    "button": f"{OUTSIDE} {LINES}", "datalist": f"{OUTSIDE} {LINES} div",
+    "select": f"{OUTSIDE} {LINES} div", "svg": f"{OUTSIDE} {LINES} div", "math": f"{OUTSIDE} {LINES} div",
+    **{tag: OUTSIDE for tag in ("object", "canvas", "audio", "video")},
+}
 # What may stand in a head; all else, and text, ends it.
 IN_HEAD = frozenset("base link meta title style script noscript template head".split())
 # What an opening element ends.
@@ -100,16 +114,56 @@ def closes_itself(attributes: str) -> bool:
     return UNQUOTED_END.search(QUOTED.sub('""', attributes)) is None
 
 
+class Ends:
+    """Where the skipped elements of a page end. An end that was not found is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+
+    def find(self, tag: str, at: int) -> tuple[int, int] | None:
+        """Begin and end of what ends an element: its end tag, or, with both the same, a block that
+        the element cannot hold. Drawings hold blocks within foreignObject."""
+        if tag in self.missing:
+            return None
+        found = END_OF[tag].search(self.page, at)
+        if found is None:
+            self.missing.add(tag)
+            return None
+        if found[1]:
+            return found.start(), found.end()
+        if tag == "svg" and FOREIGN.search(self.page, at, found.start()):
+            end = CLOSE_SVG.search(self.page, found.start())
+            if end:
+                return end.start(), end.end()
+        return found.start(), found.start()
+
+
+END_OF = {
+    tag: re.compile(
+        rf"(</{tag}\s*/?>)" + (rf"|<(?:{'|'.join(HOLDS_NO[tag].split())})(?=[\s/>])" if tag in HOLDS_NO else ""),
+        re.I,
+    )
+    for tag in SKIPPED - {"head", "option"}
+}
+FOREIGN = re.compile(r"<foreignobject[\s>]", re.I)
+CLOSE_SVG = re.compile(r"</svg\s*/?>", re.I)
+
+
 def read_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: what stands between two edges of block elements.
 
     Forgiving: elements end where their parent does, a head where its page's body must have
-    begun, unknown ends are passed over, and what cannot be a tag is text. Character references are decoded, white space becomes one blank.
+    begun, unknown ends are passed over, and what cannot be a tag is text. Elements whose content is
+    skipped do not begin without an end of their own before a block that they cannot hold; drawings
+    end at such a block, and only code goes on to the page's end. Character references are decoded,
+    white space becomes one blank.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     linked = skipped = links = at = 0
+    ends = Ends(page)
 
     def flush() -> None:
         nonlocal linked
@@ -165,10 +219,20 @@ def read_blocks(page: str) -> list[Block]:
             continue
         if tag in ("svg", "math") and closes_itself(found[3]):
             continue
+        if stack and stack[-1][0] == "option" and tag not in ("option", "optgroup"):
+            pop_to(len(stack) - 1)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = ends.find(tag, at)
+            if end or tag in CODE:
+                at = end[1] if end else len(page)
+            else:
+                add(" ")
             continue
+        if tag in HOLDS_NO:
+            end = ends.find(tag, at)
+            if end is None or end[0] == end[1]:  # never ended
+                add(" ")
+                continue
         if tag in BLOCKS:
             flush()
             ended = ENDS.get(tag, set()) | {"p"}
@@ -247,8 +311,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def run_forward(x: np.ndarray, mask: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, list]:
-    """One direction over (time, pages, 4 HIDDEN) inputs; states of pages past their end stay."""
+def run_forward(
+    x: np.ndarray, mask: np.ndarray, inner: np.ndarray, keep: bool = True
+) -> tuple[np.ndarray, list]:
+    """One direction over (time, pages, 4 HIDDEN) inputs; states of pages past their end stay.
+
+    The second result is what the way back needs; labelling alone does without.
+    """
     steps, pages, _ = x.shape
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
     out, trace = np.zeros((steps, pages, HIDDEN), np.float32), []
@@ -259,7 +328,8 @@ def run_forward(x: np.ndarray, mask: np.ndarray, inner: np.ndarray) -> tuple[np.
         m = mask[t][:, None]
         c_new = f * c + i * new
         squashed = np.tanh(c_new)
-        trace.append((h, c, i, f, o, new, squashed, m))
+        if keep:
+            trace.append((h, c, i, f, o, new, squashed, m))
         h, c = m * (o * squashed) + (1 - m) * h, m * c_new + (1 - m) * c
         out[t] = h
     return out, trace
@@ -312,13 +382,33 @@ class Labeller:
         states = np.concatenate([ahead, back[::-1]], axis=2)
         return x, mask, states, trace, trace_back, sigmoid((states @ wout + bout)[..., 0])
 
+    def project(self, rows: np.ndarray) -> np.ndarray:
+        """What the blocks of a page put into both directions, side by side."""
+        win, bin_, _, wrev, brev, _, _, _ = self.weights
+        return np.concatenate([rows @ win + bin_, rows @ wrev + brev], axis=1)
+
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For every page, the chance of each block to be main text; like-sized pages together."""
+        """For every page of features, the chance of each block to be main text."""
+        return self.label_projected([self.project(rows) for rows in pages])
+
+    def label_projected(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """As ``label``; like-sized pages together, so that little is padded, and PLACES at once."""
+        _, _, inner, _, _, irev, wout, bout = self.weights
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
-        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for low in range(0, len(order), 64):
-            at = order[low : low + 64]
-            chances = self._run([pages[i] for i in at])[-1]
+        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: -len(pages[i]))
+        low = 0
+        while low < len(order):
+            steps = len(pages[order[low]])
+            at = order[low : low + max(1, PLACES // steps)]
+            low += len(at)
+            x = np.zeros((steps, len(at), 8 * HIDDEN), np.float32)
+            mask = np.zeros((steps, len(at)), np.float32)
+            for column, i in enumerate(at):
+                x[: len(pages[i]), column], mask[: len(pages[i]), column] = pages[i], 1
+            ahead, _ = run_forward(x[..., : 4 * HIDDEN], mask, inner, keep=False)
+            back, _ = run_forward(x[::-1, :, 4 * HIDDEN :], mask[::-1], irev, keep=False)
+            score = ahead @ wout[:HIDDEN] + back[::-1] @ wout[HIDDEN:] + bout
+            chances = sigmoid(score[..., 0])
             for column, i in enumerate(at):
                 out[i] = chances[: len(pages[i]), column]
         return out
@@ -436,16 +526,26 @@ def new_layout(
     return page, zeros_before + labels + zeros_after
 
 
+def sampled_pages(pages: DataFrame, sample: int, seed: int) -> list[str]:
+    """At most ``sample`` pages of at most SAMPLE_BYTES: those with the smallest hashes of their ids.
+
+    The ids are ranked without their pages; then those pages alone are read, so the driver gets
+    sample * SAMPLE_BYTES bytes at most, whatever the table holds. Of pages with one id, the first
+    in order of their text is taken.
+    """
+    fit = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES))
+    fit = fit.select(F.xxhash64("page_id", F.lit(seed)).alias("h"), "page_id", "html")
+    ranked = fit.select("h", "page_id").distinct().orderBy("h", "page_id").limit(sample)
+    same = F.col("h").eqNullSafe(F.col("a")) & F.col("page_id").eqNullSafe(F.col("b"))
+    wanted = F.broadcast(ranked.toDF("a", "b"))  # ``sample`` ids
+    chosen = fit.join(wanted, same, "left_semi").groupBy("h", "page_id").agg(F.min("html").alias("html"))
+    return [row.html for row in chosen.orderBy("h", "page_id").collect()]
+
+
 def learn_labeller(pages: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Labeller:
     """Fitted on at most ``sample`` pages and LAYOUTS new layouts of the texts of each."""
-    chosen = (
-        pages.where(F.col("html").isNotNull() & (F.col("html") != ""))
-        .select(F.xxhash64("page_id", F.lit(seed)).alias("h"), "page_id", "html")
-        .orderBy("h", "page_id")
-        .limit(sample)
-    )
     random = np.random.default_rng(seed)
-    read = [read_blocks(row.html) for row in chosen.collect()]
+    read = [read_blocks(page) for page in sampled_pages(pages, sample, seed)]
     told = [[telling(b) for b in blocks] for blocks in read]
     other = [b.text for blocks, t in zip(read, told) for b, x in zip(blocks, t) if x == 0]
     features, known, labels = Features(), [], []
@@ -476,18 +576,25 @@ def main_text(
 
     The chosen blocks in page order, two line breaks in between. Null and empty pages, and pages
     without main text, give an empty text. Equal rows give a row each; ids and urls may be null.
+    A worker holds about PAGE_BYTES of pages, or one longer page, and half a KB for each of its blocks.
     """
     shared = pages.sparkSession.sparkContext.broadcast(labeller)  # some hundred KB of weights
     held: list[Features] = []
 
+    def projected(blocks: list[Block]) -> np.ndarray:
+        parts = [
+            shared.value.project(held[0].of(blocks[low : low + BLOCKS_AT_ONCE]))
+            for low in range(0, len(blocks), BLOCKS_AT_ONCE)
+        ]
+        return np.concatenate(parts) if parts else np.empty((0, 8 * HIDDEN), np.float32)
+
     def extract(batch: pa.RecordBatch) -> dict:
         if not held:
             held.append(Features())
         texts: list[str] = []
-        for low in range(0, batch.num_rows, PAGES_AT_ONCE):
-            part = batch.column(2).slice(low, PAGES_AT_ONCE).to_pylist()
-            read = [read_blocks(page or "") for page in part]
-            chances = shared.value.label([held[0].of(blocks) for blocks in read])
+        for part in slices(batch, 2, PAGE_BYTES):
+            read = [read_blocks(page or "") for page in part.column(2).to_pylist()]
+            chances = shared.value.label_projected([projected(blocks) for blocks in read])
             for blocks, own in zip(read, chances):
                 texts.append("\n\n".join(b.text for b, x in zip(blocks, own) if x >= 0.5))
         return {

@@ -1,6 +1,7 @@
 """Main text of pages, toxicity of restored text, and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -46,6 +47,98 @@ def test_open_heads_and_closed_drawings(page):
     assert [b.text for b in read_blocks(page)] == ["One", "Two"]
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<article><button>x<p>main one</p><p>main two</p></article>", ["x", "main one", "main two"]),
+        ("<p>a<svg><p>b</p><p>c", ["a", "b", "c"]),
+        ("<p>a<svg><text>no</text><p>b</p><svg><text>no</text></svg><p>c", ["a", "b", "c"]),
+        ("<p>a<svg><foreignObject><p>no</p></foreignObject></svg><p>b", ["a", "b"]),
+        ("<audio src=x><article><p>a</p></article>", ["a"]),
+        ("<article><video>old browser</video><p>a<canvas>no</canvas> b</article>", ["a b"]),
+        ("<video src=x><p>no</p></video><p>a", ["a"]),
+        ("<select><option>no<option>no</select><p>a", ["a"]),
+        ("<select><option>no<p>a</p><p>b", ["a", "b"]),
+        ("<datalist><option value=1>no</datalist>a", ["a"]),
+        ("<p>a<title>b<p>c", ["a b", "c"]),
+        ("<noscript><p>no</p></noscript><p>a<noscript>b", ["a b"]),
+        ("<p>a<script>no", ["a"]),
+        ("<button><div>no</div></button><p>a<object>no</object>", ["a"]),
+        ("<math><mi>no</mi></math>a<math><mi>no<h1>b", ["a", "b"]),
+    ],
+)
+def test_elements_that_are_not_ended(page, texts):
+    assert [" ".join(b.text.split()) for b in read_blocks(page)] == texts
+
+
+def test_many_open_elements_take_linear_time():
+    page = "<p>a<svg><button><title>" * 20_000
+    assert len(read_blocks(page)) == 20_000
+
+
+def laid_out_otherwise(page, chance):
+    """A page without names, and with elements that say nothing; what was in its article."""
+    truth, inside = [], 0
+    for block in read_blocks(page):
+        truth.append(int("article" in block.path and not {"aside", "nav", "form", "footer"} & set(block.path)
+                         and not any(n.startswith(".") for n in block.path)))
+    page = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+    page = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", page)
+    return page, truth
+
+
+def test_pages_without_names(spark, labeller):
+    """The tables' pages that the labeller has not learned from, stripped of all names: precision
+    and recall of blocks, against where they stood. Texts and neighbours alone must tell."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages").limit(1500).collect()
+    learned = set(html_text.sampled_pages(table(spark, "/root/testdata/sf0.01", "pages"), html_text.SAMPLE, html_text.SEED))
+    right = found = there = 0
+    for row in [r for r in pages if r.html and r.html not in learned][:300]:
+        page, truth = laid_out_otherwise(row.html, None)
+        blocks = read_blocks(page)
+        if len(blocks) != len(truth):
+            continue
+        chances = labeller.label([html_text.Features().of(blocks)])[0]
+        chosen = [x >= 0.5 for x in chances]
+        right += sum(c and t for c, t in zip(chosen, truth))
+        found += sum(chosen)
+        there += sum(truth)
+    print(f"precision {right / found:.3f}, recall {right / there:.3f} of {there} blocks")
+    assert there > 1000 and right / found > 0.9 and right / there > 0.9
+
+
+def test_very_long_pages(spark, labeller):
+    """A page of twenty thousand items beside short ones: the same labels as alone, in little memory."""
+    import tracemalloc
+
+    features = html_text.Features()
+    pages = [PAGE, "<ul>" + "<li>an item" * 20_000 + "</ul>", PAGE, "", "<p>x"]
+    read = [read_blocks(p) for p in pages]
+    alone = [labeller.label([features.of(b)])[0] for b in read]
+    parts = [labeller.project(features.of(b)) for b in read]
+    tracemalloc.start()
+    together = labeller.label_projected(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for a, b in zip(alone, together):
+        assert a == pytest.approx(b, abs=1e-4)
+    trained = [features.of(b) for b in read if b]
+    whole = labeller._run(trained)[-1]
+    for column, (rows, own) in enumerate(zip(trained, [t for t in together if len(t)])):
+        assert whole[: len(rows), column] == pytest.approx(own, abs=1e-4)
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(i, "u", "<p>" + "x" * (200_000 if i % 2 else 10)) for i in range(60)]
+    rows += [(4, "u", "<p>another"), (None, "u", "<p>none"), (5, "u", None), (6, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_text.sampled_pages(pages.repartition(7), 10, 1)
+    assert len(found) == 10 and max(map(len, found)) < 100
+    assert found == html_text.sampled_pages(pages.coalesce(1), 10, 1)
+    assert len(html_text.sampled_pages(pages, 500, 1)) == 31
+
+
 def test_gradients():
     """Against differences of the loss."""
     chance = np.random.default_rng(2)
