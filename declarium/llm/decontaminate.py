@@ -3,26 +3,32 @@
 The automaton holds every run of consecutive words of every item. Training words are streamed
 through it; at each word it knows the longest run, ending there, that some item contains. Where
 that reaches a window, the words of the window are hit.
+
+Items are dealt to parts of bounded size by a hash. Only the words of one part at a time pass through
+the driver; its automaton is built by the workers that stream documents through it. With several
+parts the documents are scanned once for each, and the ranges found are merged by document.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declarium.llm.common import map_arrow, texts_of
+from declarium.llm.common import map_arrow, shared_table
 
 WINDOW = 10
 # Documents with more than this share of hit words are dropped by remove_spans.
 MAX_COVERAGE = 0.5
-# Words of items in one automaton (a few hundred bytes a word); more items are streamed through
-# further automata, one after the other, in the same pass over the documents.
-AUTOMATON_WORDS = 200_000
+# Words of items in one automaton (a few hundred bytes a word in every worker), on average; more
+# items make further automata, each with a scan of its own.
+AUTOMATON_WORDS = 400_000
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # Upper to lower case; every other byte that is not in a word becomes a space.
@@ -152,23 +158,36 @@ class SuffixAutomaton:
                 ranges.append((begin, place))
 
 
-def automata(items: DataFrame, window: int, id_column: str, text_column: str) -> list:
-    """Broadcast automata, each of at most AUTOMATON_WORDS words or one longer item.
+class Part:
+    """Items of one automaton, built where it is first used; a worker holds the last one only."""
+
+    built: dict[str, SuffixAutomaton] = {}
+
+    def __init__(self, spark: SparkSession, items: list[tuple[object, str | None]], window: int):
+        self.name, self.window = uuid.uuid4().hex, window
+        self.items = spark.sparkContext.broadcast(items)
+
+    def automaton(self) -> SuffixAutomaton:
+        if self.name not in Part.built:
+            Part.built.clear()
+            items = [(item, words_of(text)) for item, text in self.items.value]
+            Part.built[self.name] = SuffixAutomaton(items, self.window)
+        return Part.built[self.name]
 
-    Items arrive at the driver one group at a time; groups are cut by running word totals.
-    """
-    spark = items.sparkSession
-    rows = items.select(id_column, text_column).orderBy(id_column, text_column)
-    made, group, size = [], [], 0
-    for item, text in rows.toLocalIterator():
-        words = words_of(text)
-        if group and size + len(words) > AUTOMATON_WORDS:
-            made.append(spark.sparkContext.broadcast(SuffixAutomaton(group, window)))
-            group, size = [], 0
-        group.append((item, words))
-        size += len(words)
-    made.append(spark.sparkContext.broadcast(SuffixAutomaton(group, window)))
-    return made
+
+def parts_of(
+    items: DataFrame, window: int, id_column: str, text_column: str, words: int | None
+) -> Iterator[Part]:
+    """The items, equal rows once, in parts of about ``words`` words; at least one part."""
+    words = words or AUTOMATON_WORDS
+    word = F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rows = items.select(F.col(id_column).alias("item"), F.col(text_column).alias("text")).distinct()
+    total = rows.agg(F.sum(F.regexp_count("text", word))).first()[0] or 0
+    count = max(1, -(-total // words))
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+    for number in range(count):
+        own = rows.where(part == number).orderBy("item", "text").collect()
+        yield Part(items.sparkSession, [(row.item, row.text) for row in own], window)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -182,14 +201,78 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(words: list[bytes], held: list) -> tuple[list[tuple[int, int]], set]:
-    ranges: list[tuple[int, int]] = []
-    found: set = set()
-    for automaton in held:
-        more, items = automaton.value.hits(words)
-        ranges += more
-        found |= items
-    return (merged(ranges) if len(held) > 1 else ranges), found
+def scanned(docs: DataFrame, part: Part, id_column: str, text_column: str) -> DataFrame:
+    """id, a, b (a digest of the text), n_words, ranges (begin, end, …) and items of every row."""
+
+    def measure(batch: pa.RecordBatch) -> dict:
+        automaton = part.automaton()
+        n_words, ranges, items = [], [], []
+        for text in batch.column(3).to_pylist():
+            words = words_of(text)
+            hit, found = automaton.hits(words)
+            n_words.append(len(words))
+            ranges.append([x for r in hit for x in r])
+            items.append(sorted("" if i is None else str(i) for i in found))
+        return {
+            "id": batch.column(0), "a": batch.column(1), "b": batch.column(2),
+            "n_words": pa.array(n_words, pa.int64()),
+            "ranges": pa.array(ranges, pa.list_(pa.int64())),
+            "items": pa.array(items, pa.list_(pa.string())),
+        }
+
+    text = F.col(text_column)
+    keyed = docs.select(
+        F.col(id_column).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), text
+    )
+    kind = docs.schema[id_column].dataType.simpleString()
+    return map_arrow(
+        keyed, measure, f"id {kind}, a long, b long, n_words long, ranges array<bigint>, items array<string>"
+    )
+
+
+def found_in(
+    docs: DataFrame, parts: Iterator[Part], id_column: str, text_column: str
+) -> DataFrame:
+    """What ``scanned`` finds with all parts, one after the other.
+
+    With several, only rows with hits are kept of each scan, and ranges and items meet by id and
+    digest of the text: equal rows have equal hits.
+    """
+    first, others = next(parts), list(parts)
+    rows = scanned(docs, first, id_column, text_column)
+    if not others:
+        return rows
+    hit = F.size("ranges") > 0
+    rows = shared_table(rows, "hits")
+    more = [shared_table(scanned(docs, part, id_column, text_column).where(hit), "hits") for part in others]
+    every = rows.where(hit)
+    for one in more:
+        every = every.unionByName(one)
+    every = every.dropDuplicates(["id", "a", "b", "ranges", "items"])
+
+    def merge(batch: pa.RecordBatch) -> dict:
+        ranges = []
+        for lists in batch.column(3).to_pylist():
+            pairs = [pair for own in lists for pair in zip(own[::2], own[1::2])]
+            ranges.append([x for pair in merged(pairs) for x in pair])
+        return {
+            "id": batch.column(0), "a": batch.column(1), "b": batch.column(2),
+            "all_ranges": pa.array(ranges, pa.list_(pa.int64())), "all_items": batch.column(4),
+        }
+
+    lists = every.groupBy("id", "a", "b").agg(
+        F.collect_list("ranges").alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    kind = rows.schema["id"].dataType.simpleString()
+    whole = map_arrow(
+        lists, merge, f"id {kind}, a long, b long, all_ranges array<bigint>, all_items array<string>"
+    ).toDF("_id", "_a", "_b", "all_ranges", "all_items")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
+    return rows.join(whole, same, "left").select(
+        "id", "a", "b", "n_words",
+        F.coalesce("all_ranges", "ranges").alias("ranges"), F.coalesce("all_items", "items").alias("items"),
+    )
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -212,36 +295,29 @@ def contamination(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text: str = "text",
+    part_words: int | None = None,
 ) -> DataFrame:
     """id, n_words, n_hit, n_items, item_ids (sorted strings, comma-joined), hit_ranges.
 
     Words are runs of digits, letters a-z (upper case made lower) and non-ASCII characters.
     A window is ``window`` consecutive words of an item; a shorter item is one window. Null and
     empty texts have no words and no hits; without items nothing is hit. Items with equal ids
-    count once. Every row gives a row, also equal ones; other columns are not read.
+    count once, and one without an id has an empty name. Every row gives a row, also equal ones;
+    other columns are not read.
     """
-    held = automata(items, window, item_column, item_text)
-
-    def measure(batch: pa.RecordBatch) -> dict:
-        out = {name: [] for name in ("n_words", "n_hit", "n_items", "item_ids", "hit_ranges")}
-        for text in texts_of(batch, text_column):
-            words = words_of(text)
-            ranges, found = scan(words, held)
-            out["n_words"].append(len(words))
-            out["n_hit"].append(sum(e - b for b, e in ranges))
-            out["n_items"].append(len(found))
-            out["item_ids"].append(",".join(sorted("" if i is None else str(i) for i in found)))
-            out["hit_ranges"].append([x for r in ranges for x in r])
-        kinds = {"item_ids": pa.string(), "hit_ranges": pa.list_(pa.int64())}
-        columns = {n: pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()}
-        return {id_column: batch.column(0), **columns}
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    return map_arrow(
-        docs.select(id_column, text_column),
-        measure,
-        f"{id_column} {kind}, n_words long, n_hit long, n_items long, item_ids string, "
-        "hit_ranges array<bigint>",
+    parts = parts_of(items, window, item_column, item_text, part_words)
+    found = found_in(docs, parts, id_column, text_column)
+    lengths = F.aggregate(
+        F.sequence(F.lit(0), F.size("ranges") - 1, F.lit(2)), F.lit(0).cast("long"),
+        lambda total, i: total + F.get("ranges", i + 1) - F.get("ranges", i),
+    )
+    return found.select(
+        F.col("id").alias(id_column),
+        "n_words",
+        F.when(F.size("ranges") > 0, lengths).otherwise(0).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.array_join("items", ",").alias("item_ids"),
+        F.col("ranges").alias("hit_ranges"),
     )
 
 
@@ -252,37 +328,66 @@ def remove_spans(
     max_coverage: float = MAX_COVERAGE,
     text_column: str = "text",
     chars_column: str = "n_chars",
+    id_column: str = "doc_id",
+    part_words: int | None = None,
 ) -> DataFrame:
     """The documents, all columns, without hit spans.
 
     Documents with more than ``max_coverage`` of their words hit are dropped; in the others the
     spans go and, where there is such a column, the number of characters follows. Clean
-    documents, null and empty texts stay as they are.
+    documents, null and empty texts stay as they are. With items for one automaton the documents are
+    read and cut in one scan; with more, the ranges are found first and joined to the documents.
     """
-    held = automata(items, window, "item_id", "text")
-    place = docs.columns.index(text_column)
+    place, width = docs.columns.index(text_column), len(docs.columns)
     chars = docs.columns.index(chars_column) if chars_column in docs.columns else None
+    parts = parts_of(items, window, "item_id", "text", part_words)
+    first, others = next(parts), list(parts)
 
-    def clean(batches):
+    def clean(batches: Iterator[pa.RecordBatch], ranges_of) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = batch.column(place).to_pylist(), []
             sizes = batch.column(chars).to_pylist() if chars is not None else None
-            for i, text in enumerate(texts):
-                words = words_of(text)
-                ranges, _ = scan(words, held)
+            for i, (text, words, ranges) in enumerate(ranges_of(batch, texts)):
                 hit = sum(e - b for b, e in ranges)
-                keep.append(hit <= max_coverage * len(words))
+                keep.append(hit <= max_coverage * words)
                 if ranges and keep[-1]:
                     texts[i] = without(text, ranges)
                     if sizes is not None:
                         sizes[i] = len(texts[i])
-            columns = list(batch.columns)
+            columns = list(batch.columns)[:width]
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             if sizes is not None:
                 columns[chars] = pa.array(sizes, batch.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+            fields = pa.schema([batch.schema.field(i) for i in range(len(columns))])
+            yield pa.RecordBatch.from_arrays(columns, schema=fields).filter(pa.array(keep))
+
+    if not others:
+
+        def streamed(batch: pa.RecordBatch, texts: list):
+            automaton = first.automaton()
+            for text in texts:
+                words = words_of(text)
+                yield text, len(words), automaton.hits(words)[0]
+
+        return docs.mapInArrow(lambda batches: clean(batches, streamed), docs.schema)
+
+    found = found_in(docs, iter([first, *others]), id_column, text_column).where(F.size("ranges") > 0)
+    found = found.select("id", "a", "b", "n_words", "ranges").distinct()
+    found = found.toDF("_id", "_a", "_b", "_words", "_ranges")
+    text = F.col(text_column)
+    same = (
+        F.col(id_column).eqNullSafe(F.col("_id"))
+        & (F.xxhash64(text) == F.col("_a"))
+        & (F.xxhash64(F.lit(1), text) == F.col("_b"))
+    )
+    joined = docs.join(found, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], "_words", "_ranges")
+
+    def known(batch: pa.RecordBatch, texts: list):
+        columns = (batch.column(width + i).to_pylist() for i in (0, 1))
+        for text, words, own in zip(texts, *columns):
+            yield text, words or 0, list(zip(own[::2], own[1::2])) if own else []
 
-    return docs.mapInArrow(clean, docs.schema)
+    return joined.mapInArrow(lambda batches: clean(batches, known), docs.schema)
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -99,3 +99,31 @@ def test_several_automata_agree(spark, make_docs, monkeypatch):
     one = decontaminate.contamination(docs, items).collect()
     monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 30)
     assert decontaminate.contamination(docs, items).collect() == one
+
+
+def test_many_parts_on_the_tables(spark, monkeypatch):
+    """Parts of a few items each give what one automaton gives, cut texts and repeated rows included."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    docs = docs.union(docs.where("doc_id % 3 = 0"))
+    items = table(spark, "/root/testdata/sf0.001", "benchmark")
+
+    def results():
+        hits = decontaminate.benchmark_hits(docs, items).collect()
+        return sorted(map(tuple, hits)), sorted(map(repr, decontaminate.remove_spans(docs, items).collect()))
+
+    one = results()
+    assert any(row[-1] for row in one[0]) and len(one[0]) == docs.count()
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 300)
+    parts = list(decontaminate.parts_of(items, 10, "item_id", "text", None))
+    assert len(parts) > 3
+    assert results() == one
+
+
+def test_overlapping_hits_of_several_parts(spark, make_docs):
+    """Ranges of one document from several automata are joined, and items named once."""
+    words = [f"w{i}" for i in range(60)]
+    items = items_of(spark, [(i % 7, " ".join(words[i : i + 12])) for i in range(0, 48, 2)] + [(None, words[50])])
+    docs = make_docs([(1, " ".join(words)), (1, " ".join(words)), (None, " ".join(words[:11])), (2, "clean")])
+    one = sorted(map(repr, decontaminate.contamination(docs, items).collect()))
+    many = sorted(map(repr, decontaminate.contamination(docs, items, part_words=15).collect()))
+    assert one == many and len(one) == 4
