@@ -4,16 +4,19 @@ A source's documents are dealt to shards of bounded size and laid end to end in
 each shard is cut into blocks of (nearly) equal words. Blocks go to the sources by highest
 quotients weight / (2 seats + 1), a source's blocks to its shards alike, and each shard takes
 its quota of blocks in a seeded order, going through all of them before any is repeated.
+
+Sources and shards stay in Spark, however many there are. What the seats depend on is the level of
+the last quotient: aggregations count the seats above many levels at once and close in on it, for
+all groups together, so that the driver sees no more than a few sums.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from declarium.llm.common import shared_table
+from declarium.operators.scale import dense_positions
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Weights of the sources in order of name, repeating.
@@ -22,8 +25,9 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 16
 # Documents of a shard, on average: the largest group that one task sorts.
 SHARD_DOCS = 4_096
-# Sources are apportioned together, at the driver; more of them are an error, not cut off.
-MOST_SOURCES = 1_000_000
+# Levels that one aggregation tries, and aggregations: what is left between two levels after them
+# differs in less than one part in 10^10.
+LEVELS, PASSES = 32, 9
 SEED = 20_240
 
 
@@ -31,54 +35,117 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, most: int = MOST_REPEATS) -> np.ndarray:
-    """Words for each source: shares of the whole by weight, at most ``most`` times its size.
+def source_quotas(
+    totals: DataFrame, weights: tuple[int, ...], most: int, block_words: int
+) -> DataFrame:
+    """Every source (_source, words, docs) with its _number, weight, target and _quota of blocks."""
+    order = [F.col("_source").isNull(), F.col("_source")]
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    numbered = shared_table(
+        dense_positions(totals, order, "_number")
+        .withColumn("weight", F.get(cycle, (F.col("_number") % len(weights)).cast("int")))
+        .withColumn("limit", F.col("words") * float(most)),
+        "sources",
+    )
+    level = target_level(numbered)
+    blocks = F.ceil(F.col("words") / block_words)
+    aimed = numbered.withColumn("target", F.least(F.col("weight") * level, F.col("limit"))).select(
+        "_number", "_source", "docs", F.col("words").alias("source_size"), "target",
+        # blocks of the source's own size that make up its target
+        F.when(F.col("words") > 0, F.col("target") / (F.col("words") / blocks)).otherwise(0.0)
+        .alias("weight"),
+        (blocks * most).alias("most"),
+    )
+    seats = aimed.agg(F.round(F.sum("weight"))).first()[0] or 0.0
+    dealt = apportion(aimed.withColumn("seats", F.lit(int(seats))).withColumn("all", F.lit(0)), "all", "_number")
+    return dealt.withColumnRenamed("given", "_quota").drop("all", "weight", "most", "seats")
+
+
+def target_level(sources: DataFrame) -> float:
+    """Words for each unit of weight: what sources at their limit leave over is shared by the others.
 
-    What sources at their limit leave over is shared by weight among the others, until none is
-    above. Sources are filled in the order in which they reach their limit.
+    Starts with none at its limit. Each round's level is that of the others; it only rises, and
+    with it the sources at their limit, until none is added.
     """
-    limits = most * sizes.astype(float)
-    order = np.argsort(limits / weights, kind="stable")
-    left, open_weight = float(sizes.sum()), float(weights.sum())
-    out = np.zeros(len(sizes))
-    for at, i in enumerate(order):
-        level = left / open_weight
-        if level * weights[i] <= limits[i]:  # no later source reaches its limit either
-            rest = order[at:]
-            out[rest] = level * weights[rest]
-            break
-        out[i] = limits[i]
-        left, open_weight = left - limits[i], open_weight - weights[i]
-    return out
-
-
-def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
-    """Seats by highest quotients weight / (2 k + 1), none above its limit; ties to the first.
-
-    Instead of dealing seat by seat, the level of the last quotient is bracketed, everything
-    clearly above it is dealt at once, and only the last few seats one by one.
+    total, weight = sources.agg(F.sum("words"), F.sum("weight")).first()
+    if not total:
+        return 0.0
+    level, reached = total / weight, -1
+    while True:
+        full = F.col("weight") * level > F.col("limit")
+        count, taken, left = sources.agg(
+            F.count_if(full), F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("weight")))
+        ).first()
+        if count == reached or not left:
+            return level
+        level, reached = (total - (taken or 0.0)) / left, count
+
+
+def apportion(rows: DataFrame, group: str, number: str) -> DataFrame:
+    """``given`` seats for every row by highest quotients weight / (2 k + 1), none above ``most``.
+
+    ``seats`` is the number for the whole group; ties go to the smallest ``number``. For all groups
+    at once, every pass counts the seats above LEVELS levels between two bounds and keeps the two
+    around the wanted number. What is above the upper one is given at once, what is left over one by
+    one.
     """
-    weights = weights.astype(float)
-    seats = int(min(seats, most[weights > 0].sum()))
-    given = np.zeros(len(weights), np.int64)
-    if seats <= 0:
-        return given
-
-    def above(level: float) -> np.ndarray:  # seats with a quotient of at least the level
-        return np.minimum(np.floor((weights / level + 1) / 2), most).astype(np.int64)
-
-    low, high = weights[weights > 0].min() / (2.0 * seats + 3) / 4, weights.max() * 2
-    for _ in range(200):
-        level = (low * high) ** 0.5
-        if above(level).sum() > seats:
-            low = level
-        else:
-            high = level
-    given = above(high)
-    while given.sum() < seats:
-        quotients = np.where(given < most, weights / (2 * given + 1), -1.0)
-        given[int(quotients.argmax())] += 1
-    return given
+    rows = shared_table(rows, "seats")
+
+    def above(level: Column) -> Column:
+        return F.least(F.floor((F.col("weight") / level + 1) / 2), F.col("most")).cast("long")
+
+    some = F.col("weight") > 0
+    bounds = rows.groupBy(group).agg(
+        F.least(F.max("seats"), F.sum(F.when(some, F.col("most")))).alias("_wanted"),
+        F.min(F.when(some, F.col("weight"))).alias("_low"),
+        (F.max("weight") * 2).alias("_high"),
+    )
+    bounds = shared_table(
+        bounds.where("_wanted > 0").withColumn("_low", F.col("_low") / (2.0 * F.col("_wanted") + 3) / 4),
+        "levels",
+    )
+    for _ in range(PASSES):
+        step = F.pow(F.col("_high") / F.col("_low"), F.lit(1.0 / LEVELS))
+        levels = [F.col("_low"), *[F.col("_low") * F.pow(step, F.lit(float(j))) for j in range(1, LEVELS)]]
+        levels.append(F.col("_high"))
+        counted = (
+            rows.where(some)
+            .join(bounds.withColumn("_levels", F.array(*levels)), group)
+            .groupBy(group)
+            .agg(
+                F.first("_wanted").alias("_wanted"), F.first("_levels").alias("_levels"),
+                F.array(*[F.sum(above(F.get("_levels", F.lit(j)))) for j in range(LEVELS + 1)]).alias("_seats"),
+            )
+        )
+        # the first level with no more seats than wanted, and the one before it
+        at = F.array_position(F.transform("_seats", lambda n: n <= F.col("_wanted")), True).cast("int")
+        bounds = shared_table(
+            counted.select(
+                group, "_wanted", F.get("_levels", F.greatest(at - 2, F.lit(0))).alias("_low"),
+                F.get("_levels", at - 1).alias("_high"),
+            ),
+            "levels",
+        )
+    placed = rows.join(bounds.select(group, "_wanted", "_high"), group, "left")
+    sure = F.when(some & F.col("_high").isNotNull(), above(F.col("_high"))).otherwise(0)
+    given = shared_table(placed.withColumn("given", sure.cast("long")), "given")
+    rest = given.groupBy(group).agg((F.max("_wanted") - F.sum("given")).alias("_rest")).where("_rest > 0")
+    # no more rows than are left over, each with its next quotient
+    quotient = F.col("weight") / (2 * F.col("given") + 1)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_next"), number))
+    last = (
+        given.where(some & (F.col("given") < F.col("most")))
+        .join(rest, group)
+        .select(group, number, quotient.alias("_next"), "_rest")
+        .withColumn("_place", place)
+        .where(F.col("_place") <= F.col("_rest"))
+        .select(group, number, F.lit(1).alias("_one"))
+    )
+    return (
+        given.join(last, [group, number], "left")
+        .withColumn("given", F.col("given") + F.coalesce("_one", F.lit(0)))
+        .drop("_one", "_wanted", "_high")
+    )
 
 
 def mixture(
@@ -115,63 +182,34 @@ def mixture(
     totals = sized.groupBy("_source").agg(
         F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")
     )
-    found = totals.limit(MOST_SOURCES + 1).toPandas()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"More than {MOST_SOURCES} sources: group them first.")
-    found["key"] = [(s is None, s or "") for s in found["_source"]]
-    found = found.sort_values("key", ignore_index=True)
-    words = found["words"].to_numpy(np.int64)
-    cycle = np.resize(np.array(weights, float), len(found))
-    goal = targets(words, cycle, most) if len(found) and words.sum() else np.zeros(len(found))
-    blocks = -(-words // block_words)
-    size = np.divide(words, blocks, out=np.ones(len(words)), where=blocks > 0)
-    quota = sainte_lague(goal / size, round(float((goal / size).sum())), most * blocks)
-    plan = spark.createDataFrame(
-        list(
-            zip(
-                found["_source"].tolist(),
-                words.tolist(),
-                goal.tolist(),
-                quota.tolist(),
-                np.maximum(1, -(-found["docs"].to_numpy(np.int64) // shard_docs)).tolist(),
-            )
-        ),
-        "_source string, source_size long, target double, _quota long, _shards long",
-    )
+    plan = source_quotas(totals, weights, most, block_words)
     dealt = (
         sized.alias("d")
         .join(plan.alias("p"), F.col("d._source").eqNullSafe(F.col("p._source")))
         .select(
-            "d.doc_id", "d.size", "d._order", "p.source_size", "p.target", "p._quota",
+            "d.doc_id", "d.size", "d._order", "p.source_size", "p.target", "p._quota", "p._number",
             *[f"d.{c}" for c in row],
-            F.struct(F.col("d._source").alias("source")).alias("_source"),
-            F.pmod(F.xxhash64(F.col("d._order"), F.lit(seed)), F.col("p._shards")).alias("_shard"),
+            F.pmod(
+                F.xxhash64(F.col("d._order"), F.lit(seed)),
+                F.greatest(F.lit(1), F.ceil(F.col("p.docs") / shard_docs)),
+            ).alias("_shard"),
         )
-    )
-    shards = dealt.groupBy("_source", "_shard").agg(
-        F.sum("size").alias("_words"), F.max("_quota").alias("_quota")
     )
-
-    def share(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_shard", ignore_index=True)
-        blocks = -(-group["_words"].to_numpy(np.int64) // block_words)
-        total = int(group["_quota"].iloc[0]) if len(group) else 0
-        group["_blocks"] = blocks
-        group["_quota"] = sainte_lague(blocks, total, most * blocks)
-        return group[["_name", "_shard", "_words", "_blocks", "_quota"]]
-
-    named = shards.select(F.to_json("_source").alias("_name"), "_shard", "_words", "_quota")
-    quotas = named.groupBy("_name").applyInPandas(
-        share, "_name string, _shard long, _words long, _blocks long, _quota long"
+    shards = dealt.groupBy("_number", "_shard").agg(
+        F.sum("size").alias("_words"), F.max("_quota").alias("seats")
     )
+    shards = shards.withColumn("_blocks", F.ceil(F.col("_words") / block_words))
+    quotas = apportion(
+        shards.withColumn("weight", F.col("_blocks").cast("double")).withColumn("most", F.col("_blocks") * most),
+        "_number", "_shard",
+    ).select("_number", "_shard", "_words", "_blocks", F.col("given").alias("_quota"))
+    dealt = dealt.drop("_quota")
     placed = (
-        dealt.withColumn("_name", F.to_json("_source"))
-        .drop("_quota", "_source")
-        .join(quotas, ["_name", "_shard"])
+        dealt.join(quotas, ["_number", "_shard"])
         .withColumn(
             "_begin",
             F.sum("size").over(
-                Window.partitionBy("_name", "_shard")
+                Window.partitionBy("_number", "_shard")
                 .orderBy("_order", "doc_id")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)
             )
@@ -198,7 +236,7 @@ def taken(seed: int) -> Column:
             f" - greatest(_begin, ({begin}) * _words DIV _blocks))"
         )
 
-    first = f"pmod(xxhash64({seed}, _name, _shard), _blocks)"
+    first = f"pmod(xxhash64({seed}, _number, _shard), _blocks)"
     last = f"{first} + _quota % _blocks"
     return F.expr(
         f"""CASE WHEN size = 0 THEN 0L ELSE
