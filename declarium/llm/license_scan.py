@@ -196,6 +196,15 @@ def window_finder(weights: dict[str, float], least: float):
     return find
 
 
+# What tells rows apart: two rows equal in all of these have equal texts.
+FILE = ["id", "path", "h1", "h2"]
+
+
+def digest(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def parent(path: Column) -> Column:
     """The directory of a path; the root is the empty string."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -217,17 +226,18 @@ def scan_licences(
     ties to the first by name; reserved rights give way to any licence. Null and empty texts have no passage and may
     inherit; without a path nothing is inherited. A directory with several licence files has the
     licence of most of them, ties to the first by name. ``score`` is 0 where nothing was found,
-    and that of the own passage else. Equal rows give a row each.
+    and that of the own passage else. Equal rows give a row each; rows with equal id and path but
+    other texts have each their own licence.
     """
     spark = files.sparkSession
     rows = files.select(
         F.col(id_column).alias("id"), F.col(path_column).alias("path"),
-        F.col(text_column).alias("text"),
+        F.col(text_column).alias("text"), *digest(F.col(text_column)),
     )
     spoken = (
         rows.where(F.col("text").rlike(TRIGGER))
         .select(
-            "id", "path",
+            *FILE,
             F.regexp_count("text", F.lit(WORD)).alias("words"),
             F.posexplode(F.split("text", "\n")).alias("line", "passage"),
         )
@@ -265,21 +275,22 @@ def scan_licences(
         find = window_finder(weights, least)
         for batch in batches:
             places, windows = [], []
-            for place, text in enumerate(batch.column(2).to_pylist()):
+            for place, text in enumerate(batch.column(len(FILE)).to_pylist()):
                 found = sorted(find(text))
                 places += [place] * len(found)
                 windows += found
-            rows_of = batch.select([0, 1, 3]).take(pa.array(places, pa.int32()))
+            rows_of = batch.select([*FILE, "words"]).take(pa.array(places, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*rows_of.columns, pa.array(windows, pa.string())],
-                names=["id", "path", "words", "passage"],
+                [*rows_of.columns, pa.array(windows, pa.string())], names=[*FILE, "words", "passage"]
             )
 
     kind = files.schema[id_column].dataType.simpleString()
     windows = shared_table(
         rows.where(F.col("text").rlike(ANCHOR))
-        .withColumn("words", F.regexp_count("text", F.lit(WORD)))
-        .mapInArrow(find_windows, f"id {kind}, path string, words int, passage string"),
+        .select(*FILE, "text", F.regexp_count("text", F.lit(WORD)).alias("words"))
+        .mapInArrow(
+            find_windows, f"id {kind}, path string, h1 long, h2 long, words int, passage string"
+        ),
         "windows",
     )
     # what is compared: distinct lines and windows
@@ -315,7 +326,7 @@ def scan_licences(
         .join(best, "passage", "left")
     )
     own = shared_table(
-        found.groupBy("id", "path").agg(
+        found.groupBy(*FILE).agg(
             F.min("best").alias("best"),
             # lines, or the longest window that states a licence across lines
             F.greatest(
@@ -348,9 +359,9 @@ def scan_licences(
         .groupBy("dir")
         .agg(F.max(F.struct("depth", "above", "licence")).alias("near"))
     )
-    taken = own.where(F.col("best").isNotNull()).select("id", "path", "best")
+    taken = own.where(F.col("best").isNotNull()).select(*FILE, "best")
     a, b = rows.drop("text").withColumn("dir", parent(F.col("path"))).alias("a"), taken.alias("b")
-    same = F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.path").eqNullSafe(F.col("b.path"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in FILE]
     licensed = a.join(b, same, "left").select("a.id", "a.path", "a.dir", "b.best")
     return licensed.join(nearest, "dir", "left").select(
         F.col("id").alias(id_column),
