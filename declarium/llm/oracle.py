@@ -12,7 +12,7 @@ scored AS (
     SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
         CAST(list_sum(list_transform(list_zip(q.vector, v.vector), lambda p: p[1] * p[2])) AS BIGINT)
             AS score
-    FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v ON q.vec_id <> v.vec_id
+    FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v ON q.vec_id <> v.vec_id
 )
 SELECT query_id,
     CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,

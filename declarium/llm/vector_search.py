@@ -24,21 +24,29 @@ BLOCK_QUERIES = 2_048
 STEP = 64
 
 
-def scaled(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """id and integer components; rows whose vector is null, empty or holds what is no number go."""
+def taking_part(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """vec_id and vector (doubles) of the rows with an id and none but finite components."""
     vector = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     # infinity minus itself is NaN, and so is NaN: only finite components leave 0
     finite = F.forall(vector, lambda x: F.coalesce((x - x) == 0, F.lit(False)))
     return (
         vectors.where(F.col(vector_column).isNotNull() & F.col(id_column).isNotNull())
         .where((F.size(vector_column) > 0) & finite)
-        .select(
-            F.col(id_column).cast("long").alias("vec_id"),
-            F.transform(vector, lambda x: F.floor(x * scale).cast("long")).alias("vector"),
-        )
+        .select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("vector"))
     )
 
 
+def scaled(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
+    """id and integer components; an error if a score of two of the vectors may not fit 64 bits."""
+    found = taking_part(vectors, id_column, vector_column)
+    largest, width = found.agg(
+        F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))), F.max(F.size("vector"))
+    ).first()
+    if largest is not None and (scale * largest + 1) ** 2 * width >= 2.0**62:
+        raise ValueError(f"Components up to {largest:g} make scores beyond 64 bits.")
+    return found.withColumn("vector", F.transform("vector", lambda x: F.floor(x * scale).cast("long")))
+
+
 def approximate(vectors: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """Cell numbers, and the boundaries of every component's cells: quantiles of the block.
 
@@ -111,10 +119,12 @@ def exact_top_k(
     By default the queries are the rows whose id is divisible by QUERY_EVERY. Components become
     floor(scale * x); scores are inner products of integers. Rows without an id, and vectors
     that are null, empty or hold a null, NaN or infinite component, take no part; neither do
-    vectors of another size than the query's. Equal rows give one candidate; ids with several
-    vectors keep each. Only id and vector are read.
+    vectors of another size than the query's. Every row but those of the query's id is a candidate,
+    equal rows one each; equal rows ask once, and an id with several vectors asks with all of them
+    for one list. Scores are 64-bit numbers: components so large that a score might not fit are an
+    error. Only id and vector are read.
 
-    Vectors and queries are dealt to blocks by a hash of the id; every pair of blocks is one
+    Vectors and queries are dealt to blocks by a hash of id and vector; every pair of blocks is one
     bounded group, and its best are merged by query. A query block is sent to each vector
     block and the other way round, never more than that.
     """
@@ -129,15 +139,19 @@ def exact_top_k(
     ).first()
     if queries is not None:
         questions = asked.count()
+    # no more than k copies of a row can be among the k best
+    copies = F.least(F.count(F.lit(1)), F.lit(k)).cast("int")
+    found = found.groupBy("vec_id", "vector").agg(copies.alias("copies"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     rows_in, query_blocks = max(1, -(-rows // block_vectors)), max(1, -(-questions // block_queries))
 
     def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        place = F.pmod(F.xxhash64("vec_id", F.size("vector")), F.lit(n_own)).cast("int")
+        place = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_own)).cast("int")
         return df.select(
             "vec_id", "vector", F.size("vector").alias("width"), place.alias(own)
         ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
-    left = blocks(found.distinct(), "v", rows_in, "q", query_blocks)
+    left = blocks(found, "v", rows_in, "q", query_blocks)
     right = blocks(asked.distinct(), "q", query_blocks, "v", rows_in)
 
     def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,6 @@ import declarium.llm.mixture as mixture
 from declarium.llm import language_id, license_scan, vector_search
 from declarium.llm.common import table
 from declarium.llm.language_id import Identifier, gram_text, ngrams
-from declarium.llm.mixture import sainte_lague, targets
 
 
 def brute_grams(text):
@@ -97,24 +96,71 @@ def test_only_learned_languages_are_kept(spark, make_docs, folder):
     assert language_id.keep_identified(odd, profiles, floors).count() == 0
 
 
-def test_apportionment():
+def dealt_one_by_one(weights, seats, most):
+    dealt = np.zeros(len(weights), int)
+    for _ in range(int(min(seats, most[weights > 0].sum()))):
+        dealt[np.where((dealt < most) & (weights > 0), weights / (2 * dealt + 1), -1).argmax()] += 1
+    return dealt
+
+
+def test_apportionment(spark):
+    """Two hundred groups at once, against dealing seat by seat."""
     chance = np.random.default_rng(1)
-    for _ in range(200):
+    rows, expected = [], {}
+    for case in range(200):
         n = int(chance.integers(1, 7))
-        weights = chance.choice([0, 1, 2, 3.5, 10], n)
+        weights = chance.choice([0, 1, 2, 3.5, 10, 1e6, 1e-6], n).astype(float)
         most, seats = chance.integers(0, 12, n), int(chance.integers(0, 30))
-        dealt = np.zeros(n, int)
-        for _ in range(int(min(seats, most[weights > 0].sum()))):
-            dealt[np.where((dealt < most) & (weights > 0), weights / (2 * dealt + 1), -1).argmax()] += 1
-        found = sainte_lague(weights, seats, most)
-        assert found.sum() == dealt.sum() and (found <= most).all()
-        assert np.allclose(np.sort(weights / (2 * found + 1)), np.sort(weights / (2 * dealt + 1)))
-
-
-def test_targets_share_the_excess():
-    sizes, weights = np.array([10, 1000, 1000]), np.array([3.0, 1.0, 2.0])
-    found = targets(sizes, weights)
-    assert found[0] == 30 and np.isclose(found.sum(), 2010) and np.isclose(found[2], 2 * found[1])
+        rows += [(case, i, float(w), int(m), seats) for i, (w, m) in enumerate(zip(weights, most))]
+        expected[case] = dealt_one_by_one(weights, seats, most).tolist()
+    df = spark.createDataFrame(rows, "g long, i long, weight double, most long, seats long")
+    found: dict = {}
+    for r in mixture.apportion(df, "g", "i").orderBy("g", "i").collect():
+        found.setdefault(r.g, []).append(r.given)
+    assert found == expected
+
+
+def filled(sizes, weights, most=3):
+    """Targets by raising the level a little at a time, in exact steps from limit to limit."""
+    limits, left = [most * s for s in sizes], sum(sizes)
+    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        level = left / sum(weights[i] for i in open_)
+        full = {i for i in open_ if level * weights[i] > limits[i]}
+        if not full:
+            return [out[i] if i not in open_ else level * weights[i] for i in range(len(sizes))]
+        for i in full:
+            out[i], left = float(limits[i]), left - limits[i]
+        open_ -= full
+    return out
+
+
+def test_targets_share_the_excess(spark):
+    chance = np.random.default_rng(2)
+    cases = [([10, 1000, 1000], [3, 1, 2])]
+    cases += [((10 ** chance.integers(0, 6, 9)).tolist(), chance.integers(1, 4, 9).tolist()) for _ in range(5)]
+    for sizes, weights in cases:
+        df = spark.createDataFrame(
+            [(s, float(w), 3.0 * s) for s, w in zip(sizes, weights)], "words long, weight double, limit double"
+        )
+        level = mixture.target_level(df)
+        assert np.allclose([min(level * w, 3 * s) for s, w in zip(sizes, weights)], filled(sizes, weights))
+    assert mixture.target_level(df.limit(0)) == 0.0
+
+
+def test_as_many_sources_as_documents(spark):
+    """Every document a source of its own, in thousands; the driver keeps none of them."""
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.lpad("id", 6, "0")).alias("source"),
+        F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"),
+    )
+    found = mixture.mixture(docs).collect()
+    sizes = [r.size for r in sorted(found, key=lambda r: r.doc_id)]
+    assert sizes == [i % 50 for i in range(30_000)]
+    goal = filled(sizes, [1 + i % 3 for i in range(30_000)])
+    assert np.allclose([r.target for r in sorted(found, key=lambda r: r.doc_id)], goal)
+    assert all(0 <= r.taken <= 3 * r.size for r in found)
+    assert abs(sum(r.taken for r in found) - sum(goal)) < 0.01 * sum(goal)
 
 
 @pytest.mark.parametrize("shard_docs", [4096, 25])
@@ -125,7 +171,7 @@ def test_mix(spark, shard_docs):
     assert len(found) == len(texts)
     names = sorted({s for s, _ in texts.values()})
     sizes = np.array([sum(n for s, n in texts.values() if s == name) for name in names])
-    goal = dict(zip(names, targets(sizes, np.resize([1.0, 2.0, 3.0], len(names)))))
+    goal = dict(zip(names, filled(sizes.tolist(), np.resize([1.0, 2.0, 3.0], len(names)).tolist())))
     taken = Counter()
     for r in found:
         source, size = texts[r.doc_id]
@@ -155,19 +201,43 @@ def test_mix_of_odd_rows(make_docs):
 
 
 def brute_top(rows, k=5):
-    kept = {
+    kept = [
         (i, tuple(np.floor(256 * np.array(v, float)).astype(int)))
         for i, v in rows
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v)
-    }
+    ]
     out = []
-    for query, vector in kept:
-        if query % 50 == 0:
-            scored = sorted((-int(np.dot(vector, w)), i) for i, w in kept if i != query and len(w) == len(vector))
-            out += [(query, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    for query in {i for i, _ in kept if i % 50 == 0}:
+        scored = sorted(
+            (-int(np.dot(v, w)), i)
+            for v in {v for i, v in kept if i == query}
+            for i, w in kept if i != query and len(w) == len(v)
+        )
+        out += [(query, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
+def test_repeated_rows_are_candidates_each(spark):
+    """Rows of one id, equal or not, and many copies of one row."""
+    chance = np.random.default_rng(9)
+    rows = [(i % 40, chance.normal(0, 0.3, 6).tolist()) for i in range(90)]
+    rows += [rows[3]] * 2 + [rows[7]] * 60 + [rows[0]] * 3 + [(100, rows[7][1]), (100, rows[8][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for blocks in ({}, {"block_vectors": 20, "block_queries": 1}):
+        found = vector_search.exact_top_k(df, **blocks).collect()
+        assert sorted(map(tuple, found)) == brute_top(rows)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    rows = [(0, [1e16, 1.0]), (1, [1e16, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        vector_search.exact_top_k(df)
+    rows = [(0, [1e5, 1.0]), (1, [1e6, 2.0]), (2, [1e300, float("nan")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vector_search.exact_top_k(df).collect())) == brute_top(rows)
+
+
 def test_vectors(spark):
     chance = np.random.default_rng(4)
     rows = [(i, chance.normal(0, 0.3, 8).tolist()) for i in range(230)]
@@ -260,3 +330,21 @@ def test_licences_in_long_lines_and_across_lines(spark):
     assert {i: found[i].licence for i in range(len(rows))} == {i: x for i, (x, _) in enumerate(rows)}
     # a sentence in a long line does not make a licence file of it
     assert found[900].licence is None and not found[0].inherited
+
+
+def test_rows_with_equal_id_and_path(spark):
+    """Each text has its own licence, equal rows the same one; missing ids and paths likewise."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [
+        (1, "a/x", mit), (1, "a/x", apache), (1, "a/x", apache), (1, "a/x", "int x;"), (1, "a/x", None),
+        (None, "b/y", mit), (None, "b/y", "int y;"), (None, None, apache), (None, None, "int z;"),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(5)
+    found = license_scan.scan_licences(files).collect()
+    got = sorted(((r.doc_id, r.path, r.licence, r.inherited) for r in found), key=repr)
+    # of the licence files of a/, two state one licence and one the other
+    assert got == sorted([
+        (1, "a/x", "MIT", False), (1, "a/x", "Apache-2.0", False), (1, "a/x", "Apache-2.0", False),
+        (1, "a/x", "Apache-2.0", True), (1, "a/x", "Apache-2.0", True), (None, "b/y", "MIT", False),
+        (None, "b/y", "MIT", True), (None, None, "Apache-2.0", False), (None, None, None, False),
+    ], key=repr)
