@@ -88,10 +88,8 @@ def shares(occurrences):
     return {c: v / whole for c, v in totals.items()}
 
 
-def category(occurrences, target):
-    """Likely category, support, confidence and places for a calendar month."""
-    if not occurrences:
-        return "Not enough history", 0.0, "Limited historical pattern", "Region-wide"
+def scores(occurrences, target):
+    """The score of every category for a calendar month, and the occurrences of it and around it."""
     near_months = {(target - 2) % 12 + 1, target % 12 + 1}
     exact = [o for o in occurrences if o[0].month == target]
     near = [o for o in occurrences if o[0].month in near_months]
@@ -105,8 +103,16 @@ def category(occurrences, target):
         for name, share in shares(group).items() if group else ():
             score[name] += weight * share
     whole = sum(score.values())
-    best = min(score, key=lambda c: (-round(score[c] / whole, 12), c))
-    support = 100 * score[best] / whole
+    return {name: value / whole for name, value in score.items()}, exact, near
+
+
+def category(occurrences, target):
+    """Likely category, support, confidence and places for a calendar month."""
+    if not occurrences:
+        return "Not enough history", 0.0, "Limited historical pattern", "Region-wide"
+    score, exact, near = scores(occurrences, target)
+    best = min(score, key=lambda c: (-round(score[c], 12), c))
+    support = 100 * score[best]
     seen = len({o[0].year for o in exact if o[1] == best})
     strength = ("Strong" if support >= 50 and seen >= 5
                 else "Moderate" if support >= 32 and seen >= 3 else "Limited")

@@ -105,6 +105,21 @@ def test_region_equals_the_forecast_by_hand(rows, result, region):
         ("2020-07", "2020-06-15", "now")}
 
 
+@pytest.mark.parametrize("region", CASES)
+def test_scores_before_rounding(spark, rows, region):
+    """Every category of every month within 1e-9 of the calculation by hand."""
+    mine = [r for r in rows if r[1] == region]
+    seen = sorted(expected(mine, 1)[3])
+    cube = series.forecast_cube(spark.createDataFrame(mine, SCHEMA), AS_OF)
+    found = categories.category_scores(categories.category_history(cube, AS_OF)).collect()
+    by_month = {}
+    for r in found:
+        by_month.setdefault(r.month_number, {})[r.category] = r.score
+    assert set(by_month) == (set(range(1, 13)) if seen else set())
+    for month, own in by_month.items():
+        assert own == pytest.approx(by_hand.scores(seen, month)[0], abs=1e-9)
+
+
 def test_regions_and_texts(result):
     order = list(dict.fromkeys(r.region for r in result))
     assert order == [f"Region {i}" for i in range(1, 11)]
