@@ -328,6 +328,17 @@ def near(similar: int, a: str = "a", b: str = "b"):
     return 100 * small >= similar * large
 
 
+def alike(a: str, b: str, similar: int):
+    """Parities that allow the similarity.
+
+    Of all shingles of both sets, two for each shared one must be left when those that the parities
+    tell apart are gone.
+    """
+    apart = sum(F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES)
+    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return sizes - apart >= 2 * needed(F.col(f"{a}.n"), F.col(f"{b}.n"), similar)
+
+
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
     """Distinct (a, b) with a < b."""
     return (
@@ -481,17 +492,21 @@ def classes_of(docs: DataFrame, similar: int, id_column: str, text_column: str)
         posted.alias("a").join(ends.alias("b"), "token").where(near(similar))
         .select(F.col("a.gkey").alias("a"), F.col("b.centre").alias("b"))
     )
-    reps = firsts.select("gkey", "rep")
+    reps = firsts.select("gkey", F.col("rep").alias("key")).join(classes.drop("gkey", "doc"), "key")
+    reps = shared_table(reps, "reps")
     grouped = shared_table(
         posted.groupBy("gkey").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")),
         "groups",
     )
+    x = reps.select(F.col("gkey").alias("a"), F.struct("key", "n", *PARITIES).alias("x"))
+    y = reps.select(F.col("gkey").alias("b"), F.struct("key", "n", *PARITIES).alias("y"))
     stars = (
-        enough_shared(ordered_pairs(stars), grouped, similar)
-        .join(reps.select(F.col("gkey").alias("a"), F.col("rep").alias("x")), "a")
-        .join(reps.select(F.col("gkey").alias("b"), F.col("rep").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
+        ordered_pairs(stars).join(x, "a").join(y, "b").where(alike("x", "y", similar))
+        .select("a", "b", F.col("x.key").alias("x"), F.col("y.key").alias("y"))
+    )
+    enough = shared_table(stars, "alike")
+    stars = enough_shared(enough.select("a", "b"), grouped, similar).join(enough, ["a", "b"])
+    stars = stars.select(F.col("x").alias("a"), F.col("y").alias("b"))
     members = classes.join(firsts.where("size > 1"), "gkey").select(
         F.col("key").alias("a"), F.col("rep").alias("b")
     )
@@ -590,21 +605,18 @@ def joined_lists(left: DataFrame, right: DataFrame, similar: int, apart: str) ->
     """Pairs under one shingle whose sizes, places of the shingle and parities allow the similarity.
 
     The first shared shingle of a similar pair stands early in both: from there on, each must
-    hold all that they share. Of all shingles of both, two for each shared one must be left when
-    those that parities tell apart are gone.
+    hold all that they share.
     """
     shared = needed(F.col("a.n"), F.col("b.n"), similar)
     early = (F.col("a.n") - F.col("a.place") >= shared) & (
         F.col("b.n") - F.col("b.place") >= shared
     )
-    apart_bits = sum(F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITIES)
-    alike = F.col("a.n") + F.col("b.n") - apart_bits >= 2 * shared
     pairs = left.alias("a").join(right.alias("b"), "token").where(apart).where(near(similar))
     swap = F.col("a.key") > F.col("b.key")
     one, two = F.struct("a.key", "a.gkey"), F.struct("b.key", "b.gkey")
     return (
         pairs.where(early)
-        .where(alike)
+        .where(alike("a", "b", similar))
         .select(F.when(swap, two).otherwise(one).alias("p"), F.when(swap, one).otherwise(two).alias("q"))
         .select(
             F.col("p.key").alias("a"), F.col("p.gkey").alias("x"),
