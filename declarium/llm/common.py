@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +50,15 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task counts as well."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(
     df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str
 ) -> DataFrame:
@@ -71,6 +81,7 @@ def map_arrow(
                         ],
                         names=names,
                     )
+        give_back()
 
     return df.mapInArrow(run, schema)
 

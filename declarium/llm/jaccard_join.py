@@ -26,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.llm.common import map_arrow, shared_table, slices
+from declarium.llm.common import give_back, map_arrow, shared_table, slices
 
 SHINGLE = 5
 # Similarity, in hundredths.
 SIMILAR = 75
 # Bytes of text shingled at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # Shingles taken as frequent: those that reach a number of occurrences, which doubles from the
 # least until there are no more of them than this (16 bytes each are broadcast).
 FREQUENT = 1 << 20
@@ -47,7 +48,6 @@ REPORTED = 2
 TASK_POSTINGS = 4_000_000
 # Groups whose postings are packed together: their numbers fit two bytes.
 PACKED = 10_000
-REMEMBERED = 500_000
 # Bits of a set's parities, in words of 64.
 PARITY_BITS = 512
 PARITIES = [f"p{i}" for i in range(PARITY_BITS // 64)]
@@ -66,36 +66,82 @@ MULTIPLIERS = np.array(
 )
 
 
-class Words(dict):
-    """64-bit hashes of words, remembered."""
+# Multipliers of a word's bytes by their place, odd and without a pattern; longer words are hashed alone.
+WORD_BYTES = 64
+BYTE_MULTIPLIERS = np.random.default_rng(20_240).integers(1, 2**63, WORD_BYTES, np.uint64) * np.uint64(2) + np.uint64(1)
+# Bytes of words hashed at once.
+HASHED_BYTES = 1 << 20
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+VALUES = np.where(BLANK, 0, np.arange(256) + 1).astype(np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: bytes times odd numbers by place, summed and mixed."""
+    import xxhash
 
-def shingles(text: str | None, known: Words) -> np.ndarray:
-    """The distinct shingles of a text, as sorted 64-bit hashes.
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + HASHED_BYTES, "right")))
+        at, lengths = starts[low:high] - starts[low], ends[low:high] - starts[low:high]
+        own = data[starts[low] : ends[high - 1]]
+        word = np.zeros(len(own), np.int32)
+        word[at[1:]] = 1
+        place = np.arange(len(own), dtype=np.int32) - at.astype(np.int32)[np.cumsum(word, dtype=np.int32)]
+        parts = VALUES[own] * BYTE_MULTIPLIERS[np.minimum(place, WORD_BYTES - 1)]
+        out[low:high] = np.add.reduceat(parts, at) + lengths.astype(np.uint64)
+        for i in np.flatnonzero(lengths > WORD_BYTES).tolist():
+            out[low + i] = xxhash.xxh3_64_intdigest(own[at[i] : at[i] + lengths[i]].tobytes())
+        low = high
+    out ^= out >> np.uint64(32)
+    out *= MULTIPLIERS[0]
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_lists(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of every text, as sorted 64-bit hashes.
 
     Words are what ASCII white space separates, with A-Z in lower case. Fewer than five words
-    are one shingle, no words none.
+    are one shingle; no words, as in null, none.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
+    lower = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    if not len(lower):
+        return []
+    _, offsets, buffer = lower.buffers()
+    edges = np.frombuffer(offsets, np.int64)[lower.offset : lower.offset + len(lower) + 1]
+    data = np.frombuffer(buffer, np.uint8)[edges[0] : edges[-1]] if buffer else np.empty(0, np.uint8)
+    edges = edges - edges[0]
+    blank = BLANK[data]
+    # a word begins behind a blank or where its text does, and ends alike
+    before, after = np.ones((2, len(data)), bool)
+    before[1:], after[:-1] = blank[:-1], blank[1:]
+    inside = edges[(edges > 0) & (edges < len(data))]
+    before[inside], after[inside - 1] = True, True
+    starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+    hashes = word_hashes(data, starts, ends)
+    bounds = np.searchsorted(starts, edges).tolist()
+    whole = joined_words(hashes, SHINGLE)
+    out = []
+    for low, high in zip(bounds, bounds[1:]):
+        if high - low >= SHINGLE:
+            out.append(np.unique(whole[low : high - SHINGLE + 1]))
+        else:
+            out.append(joined_words(hashes[low:high], high - low))
+    return out
+
+
+def joined_words(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash for every run of ``width`` words."""
+    count = len(hashes) - width + 1
+    if not width or count < 1:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(len(words), SHINGLE)
-    count = len(words) - width + 1
     total = np.full(count, width, np.uint64)
     for i in range(width):
         total += hashes[i : i + count] * MULTIPLIERS[i]
         total ^= total >> np.uint64(29)
     total *= MULTIPLIERS[0]
-    return np.unique(total ^ (total >> np.uint64(32)))
+    return total ^ (total >> np.uint64(32))
 
 
 def digest(values: np.ndarray) -> bytes:
@@ -152,17 +198,18 @@ def frequent_shingles(docs: DataFrame, id_column: str, text_column: str) -> tupl
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, held = Words(), [], 0
+        found, held = [], 0
         for batch in batches:
             for part in slices(batch, 0, SLICE_BYTES):
-                for text in part.column(0).to_pylist():
-                    found.append(shingles(text, known))
-                    held += len(found[-1])
+                found += shingle_lists(part.column(0))
+                held = sum(map(len, found))
                 if held >= COUNTED_AT_ONCE:
                     yield report(found)
                     found, held = [], 0
         if held:
             yield report(found)
+        found = None
+        give_back()
 
     counted = docs.select(text_column).mapInArrow(count, "token long, n long, total long")
     sums = shared_table(
@@ -187,12 +234,10 @@ def features(docs: DataFrame, frequent, similar: int, id_column: str, text_colum
     """id, n, key (of the set), gkey (of prefix and size), prefix and parities of every row."""
 
     def describe(batch: pa.RecordBatch) -> dict:
-        known = Words()
         out = {name: [] for name in ("n", "key", "gkey", "prefix")}
         bits = []
         for part in slices(batch, 1, SLICE_BYTES):
-            for text in part.column(1).to_pylist():
-                values = shingles(text, known)
+            for values in shingle_lists(part.column(1)):
                 first = prefix(values, frequent.value, similar)
                 out["n"].append(len(values))
                 out["key"].append(digest(values))
@@ -266,6 +311,7 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
                     ],
                     names=["bucket", "tokens", "often", "owner", "places", "names", "sizes"],
                 )
+        give_back()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,6 +356,8 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
                 ],
                 names=["token", "gkey", "n", "place"],
             )
+        del tokens, often, owner, place, names, sizes, group, order, first, same, keep
+        give_back()
 
     dealt = described.select("gkey", "prefix", "n").mapInArrow(
         deal,
@@ -370,9 +418,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column
         chosen = (shared.value[at // np.uint64(64)] >> (at % np.uint64(64))) & np.uint64(1) == 1
         if not chosen.any():
             return None
-        known = Words()
-        texts = batch.column(1).filter(pa.array(chosen)).to_pylist()
-        found = [v for v in (shingles(text, known) for text in texts) if len(v)]
+        wanted = pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(chosen))], names=["text"])
+        found = [
+            v for part in slices(wanted, 0, SLICE_BYTES) for v in shingle_lists(part.column(0)) if len(v)
+        ]
         return {
             "key": pa.array([digest(v) for v in found], pa.binary()),
             "shingles": pa.array([v.tobytes() for v in found], pa.binary()),
@@ -686,9 +735,9 @@ def _first_of_unclear(docs: DataFrame, unclear: DataFrame, kept: DataFrame) -> D
     place, names = rows.columns.index("text"), [*rows.columns, "_key", "_empty"]
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
-            found = [shingles(text, known) for text in batch.column(place).to_pylist()]
+            parts = slices(batch, place, SLICE_BYTES)
+            found = [v for part in parts for v in shingle_lists(part.column(place))]
             keys = pa.array([digest(v) for v in found], pa.binary())
             empty = pa.array([not len(v) for v in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(

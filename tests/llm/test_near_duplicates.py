@@ -94,3 +94,49 @@ def test_one_document_of_each_group_stays(make_docs):
         [(3, long), (4, ""), (6, None), (7, "short text"), (8, "other text"),
          (None, "without id at all here")], key=repr,
     )
+
+
+def test_near_copies_with_outliers(make_docs):
+    """A group of near copies, and outliers around the limit, some of which link to one member alone."""
+    chance = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+
+    def changed(words, times):
+        words = list(words)
+        for _ in range(times):
+            words[chance.randrange(len(words))] = f"x{chance.randint(0, 9999)}"
+        return words
+
+    texts = [changed(base, chance.randint(0, 3)) for _ in range(120)]
+    texts += [changed(chance.choice(texts[:120]), chance.randint(3, 9)) for _ in range(60)]
+    texts += [changed(texts[-1], chance.randint(4, 8)) for _ in range(20)]
+    texts += [base[: chance.randint(100, 159)] for _ in range(20)]
+    rows = list(enumerate(" ".join(words) for words in texts))
+    compare(make_docs(rows), rows)
+    assert 1 < len({c for _, c in brute(rows)}) < 100
+
+
+def test_parities_bound_what_two_sets_share():
+    import numpy as np
+
+    chance = np.random.default_rng(3)
+    for _ in range(300):
+        shared, a, b = (chance.integers(0, 2**63, int(chance.integers(0, n))).astype(np.uint64) for n in (900, 300, 300))
+        x, y = np.unique(np.append(shared, a)), np.unique(np.append(shared, b))
+        apart = np.bitwise_count(jaccard_join.parities(x).view(np.uint64) ^ jaccard_join.parities(y).view(np.uint64)).sum()
+        assert 2 * len(np.intersect1d(x, y)) <= len(x) + len(y) - int(apart)
+
+
+def test_shingles_of_odd_texts():
+    import pyarrow as pa
+
+    texts = [None, "", " \t\n\x0b\x0c\r", "a", "A  a", "é É ß\x85x y z", "\x1ca b c d e f", "x" * 64 + " " + "x" * 65]
+    texts += [" ".join(["y" * 100, "z" * 300, "y" * 100, "b", "c", "d", "z" * 300]), "q " * 700_000, "one two three four five six"]
+    found = jaccard_join.shingle_lists(pa.array(texts, pa.string()))
+    assert [len(v) for v in found] == [len(shingle_set(t)) for t in texts]
+    again = jaccard_join.shingle_lists(pa.array(["x", *texts], pa.string()).slice(1))
+    for a, b in zip(found, again):
+        assert a.tolist() == b.tolist()
+    alone = [jaccard_join.shingle_lists(pa.array([t], pa.string()))[0].tolist() for t in texts]
+    assert alone == [v.tolist() for v in found]
+    assert jaccard_join.shingle_lists(pa.array([], pa.string())) == []
