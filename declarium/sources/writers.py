@@ -39,9 +39,14 @@ def publish(spark: SparkSession, new: str, path: str) -> None:
 
 def replace_folder(df: DataFrame, path: str, save: Callable[[DataFrameWriter, str], None]) -> str:
     """Write beside the folder and publish at the end; a failed write leaves the old table as it is."""
-    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    save(df.write, new)
-    publish(df.sparkSession, new, path)
+    spark, new = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        save(df.write, new)
+        publish(spark, new, path)
+    except BaseException:
+        begun = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+        begun.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(begun, True)
+        raise
     return path
 
 

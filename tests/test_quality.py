@@ -86,7 +86,7 @@ def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     broken = spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise("x").alias("v"))
     with pytest.raises(Exception, match="no"):
         writers.write_table(broken, path)
-    assert spark.read.parquet(path).count() == 5
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["table"]
     writers.write_table(spark.range(7), path)
     assert spark.read.parquet(path).count() == 7
     # a table can be replaced by what is read from itself
