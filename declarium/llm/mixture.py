@@ -6,12 +6,15 @@ quotients weight / (2 seats + 1), a source's blocks to its shards alike, and eac
 its quota of blocks in a seeded order, going through all of them before any is repeated.
 
 Sources and shards stay in Spark, however many there are. What the seats depend on is the level of
-the last quotient: aggregations count the seats above many levels at once and close in on it, for
-all groups together, so that the driver sees no more than a few sums.
+the last quotient. A bounded number of sources, or of shards of a source, is dealt in one task; for
+more, aggregations count the seats above many levels at once and close in on it, for all groups
+together. The driver sees no more than a few sums.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,9 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 16
 # Documents of a shard, on average: the largest group that one task sorts.
 SHARD_DOCS = 4_096
-# Levels that one aggregation tries, and aggregations: what is left between two levels after them
+# Sources, or shards of a source, that one task apportions.
+AT_ONCE = 100_000
+# Beyond that: levels that one aggregation tries, and aggregations: what is left between two levels after them
 # differs in less than one part in 10^10.
 LEVELS, PASSES = 32, 9
 SEED = 20_240
@@ -81,15 +86,56 @@ def target_level(sources: DataFrame) -> float:
         level, reached = (total - (taken or 0.0)) / left, count
 
 
-def apportion(rows: DataFrame, group: str, number: str) -> DataFrame:
+def seats_of(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
+    """Seats by highest quotients weight / (2 k + 1), none above its limit; ties to the first."""
+    given = np.zeros(len(weights), np.int64)
+    some = weights > 0
+    seats = min(seats, int(most[some].sum()))
+    if seats <= 0:
+        return given
+
+    def above(level: float) -> np.ndarray:  # seats with a quotient of at least the level
+        return np.where(some, np.minimum(np.floor((weights / level + 1) / 2), most), 0).astype(np.int64)
+
+    low, high = weights[some].min() / (2.0 * seats + 3) / 4, weights.max() * 2
+    for _ in range(200):
+        level = (low * high) ** 0.5
+        if above(level).sum() > seats:
+            low = level
+        else:
+            high = level
+    given = above(high)
+    while given.sum() < seats:
+        quotients = np.where(some & (given < most), weights / (2 * given + 1), -1.0)
+        given[int(quotients.argmax())] += 1
+    return given
+
+
+def apportion(rows: DataFrame, group: str, number: str, at_once: int = AT_ONCE) -> DataFrame:
     """``given`` seats for every row by highest quotients weight / (2 k + 1), none above ``most``.
 
-    ``seats`` is the number for the whole group; ties go to the smallest ``number``. For all groups
-    at once, every pass counts the seats above LEVELS levels between two bounds and keeps the two
-    around the wanted number. What is above the upper one is given at once, what is left over one by
-    one.
+    ``seats`` is the number for the whole group; ties go to the smallest ``number``. Groups of up to
+    ``at_once`` rows are dealt in a task each. If some are larger, the same is done by aggregations,
+    for all groups together: every pass counts the seats above LEVELS levels between two bounds and
+    keeps the two around the wanted number. What is above the upper one is given at once, what is
+    left over one by one.
     """
     rows = shared_table(rows, "seats")
+    largest = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= at_once:
+
+        def deal(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values(number, ignore_index=True)
+            weights, most = own["weight"].to_numpy(float), own["most"].to_numpy(np.int64)
+            own["given"] = seats_of(weights, int(own["seats"].max()), most) if len(own) else []
+            return own[[group, number, "given"]]
+
+        kinds = dict(rows.dtypes)
+        narrow = rows.select(group, number, "weight", "most", "seats")
+        dealt = narrow.groupBy(group).applyInPandas(
+            deal, f"{group} {kinds[group]}, {number} {kinds[number]}, given long"
+        )
+        return rows.join(dealt, [group, number])
 
     def above(level: Column) -> Column:
         return F.least(F.floor((F.col("weight") / level + 1) / 2), F.col("most")).cast("long")

@@ -114,10 +114,11 @@ def test_apportionment(spark):
         rows += [(case, i, float(w), int(m), seats) for i, (w, m) in enumerate(zip(weights, most))]
         expected[case] = dealt_one_by_one(weights, seats, most).tolist()
     df = spark.createDataFrame(rows, "g long, i long, weight double, most long, seats long")
-    found: dict = {}
-    for r in mixture.apportion(df, "g", "i").orderBy("g", "i").collect():
-        found.setdefault(r.g, []).append(r.given)
-    assert found == expected
+    for at_once in (0, 100):  # by aggregations, and each group in a task
+        found: dict = {}
+        for r in mixture.apportion(df, "g", "i", at_once).orderBy("g", "i").collect():
+            found.setdefault(r.g, []).append(r.given)
+        assert found == expected
 
 
 def filled(sizes, weights, most=3):
@@ -148,8 +149,9 @@ def test_targets_share_the_excess(spark):
     assert mixture.target_level(df.limit(0)) == 0.0
 
 
-def test_as_many_sources_as_documents(spark):
+def test_as_many_sources_as_documents(spark, monkeypatch):
     """Every document a source of its own, in thousands; the driver keeps none of them."""
+    monkeypatch.setattr(mixture.apportion, "__defaults__", (1000,))
     docs = spark.range(30_000).select(
         F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.lpad("id", 6, "0")).alias("source"),
         F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"),
