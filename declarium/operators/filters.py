@@ -37,9 +37,9 @@ def apply_filters(
 
     An omitted bound is open, which selects the same rows as the table's own first or last
     date; undated records never pass. A start behind the table's last date, without an end, selects
-    nothing here; ``date_range`` is where that is an error. An empty selection does not filter. Every condition
-    is on a plain column, so a columnar source can skip row groups; tables written in folders
-    by year also get bounds on the year, so that whole folders are skipped.
+    nothing here; ``date_range`` is where that is an error. An empty selection does not filter.
+    Every condition is on a plain column, so a columnar source can skip row groups; tables written
+    in folders by year also get bounds on the year, so that whole folders are skipped.
     """
     start = as_date(start) if start is not None else None
     end = as_date(end) if end is not None else None

@@ -45,7 +45,7 @@ def pin_splits(spark: SparkSession) -> None:
 
 
 def split_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, split, top): lines with a number for their split, and whether it begins the file."""
+    """(value, file, start, split): lines, where their split begins, and a number for it."""
     start = F.input_file_block_start()
     return spark.read.option("lineSep", "\n").text(path).select(
         "value",
