@@ -50,6 +50,19 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# What an operator keeps in a worker from task to task, by its module.
+CACHES: dict[str, dict] = {}
+
+
+def make_room(module: str) -> None:
+    """Drop what other operators keep here: workers go on from stage to stage, and from job to job."""
+    others = [cache for name, cache in CACHES.items() if name != module and cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker that waits for its next task counts as well."""
     pa.default_memory_pool().release_unused()
@@ -70,6 +83,7 @@ def map_arrow(
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(function.__module__)
         for batch in batches:
             if batch.num_rows:
                 columns = function(batch)

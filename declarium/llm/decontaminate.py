@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declarium.llm.common import map_arrow, shared_table
+from declarium.llm.common import CACHES, make_room, map_arrow, shared_table
 
 WINDOW = 10
 # Documents with more than this share of hit words are dropped by remove_spans.
@@ -161,7 +161,7 @@ class SuffixAutomaton:
 class Part:
     """Items of one automaton, built where it is first used; a worker holds the last one only."""
 
-    built: dict[str, SuffixAutomaton] = {}
+    built: dict[str, SuffixAutomaton] = CACHES.setdefault(__name__, {})
 
     def __init__(self, spark: SparkSession, items: list[tuple[object, str | None]], window: int):
         self.name, self.window = uuid.uuid4().hex, window
@@ -344,6 +344,7 @@ def remove_spans(
     first, others = next(parts), list(parts)
 
     def clean(batches: Iterator[pa.RecordBatch], ranges_of) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         for batch in batches:
             texts, keep = batch.column(place).to_pylist(), []
             sizes = batch.column(chars).to_pylist() if chars is not None else None

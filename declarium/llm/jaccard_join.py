@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.llm.common import give_back, map_arrow, shared_table, slices
+from declarium.llm.common import give_back, make_room, map_arrow, shared_table, slices
 
 SHINGLE = 5
 # Similarity, in hundredths.
@@ -198,6 +198,7 @@ def frequent_shingles(docs: DataFrame, id_column: str, text_column: str) -> tupl
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         found, held = [], 0
         for batch in batches:
             for part in slices(batch, 0, SLICE_BYTES):
@@ -271,6 +272,7 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
     buckets = 8 * tasks
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         known = frequent.value[0]
         for batch in parts(batches):
             groups = {
@@ -319,6 +321,7 @@ def postings(described: DataFrame, frequent, total: int) -> DataFrame:
                 yield batch.slice(low, PACKED)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         held = 0
         for batch in batches:

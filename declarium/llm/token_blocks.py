@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from declarium.llm.common import shared_folder, slices
+from declarium.llm.common import CACHES, make_room, shared_folder, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -53,7 +53,7 @@ SEGMENT_SCHEMA = (
     "n_ids long, starts binary, payload binary"
 )
 
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[str, "Encoder"] = CACHES.setdefault(__name__, {})
 
 
 # -- blocks ---------------------------------------------------------------------------------
@@ -285,6 +285,7 @@ def _segments(path: str | None, id_column: str, text_column: str):
         import public_tokenizers
         from pyspark import TaskContext
 
+        make_room(__name__)
         tokens = encoder(path or public_tokenizers.path(TOKENIZER))
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.llm.common import ids_of, map_arrow, texts_of
+from declarium.llm.common import CACHES, ids_of, map_arrow, texts_of
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -23,7 +23,7 @@ REMEMBERED = 300_000
 SAFE_SPACE = re.compile(r"(?<=[^ ▁]) (?= *[^ ])")
 SPACE_MARK = "▁"
 
-_loaded: dict[str, object] = {}
+_loaded: dict[str, object] = CACHES.setdefault(__name__, {})
 
 
 def safe_parts(text: str) -> list[str]:
