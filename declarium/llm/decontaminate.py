@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declarium.llm.common import CACHES, make_room, map_arrow, shared_table
+from declarium.llm.common import CACHES, give_back, make_room, map_arrow, shared_table
 
 WINDOW = 10
 # Documents with more than this share of hit words are dropped by remove_spans.
@@ -361,6 +361,7 @@ def remove_spans(
                 columns[chars] = pa.array(sizes, batch.schema.field(chars).type)
             fields = pa.schema([batch.schema.field(i) for i in range(len(columns))])
             yield pa.RecordBatch.from_arrays(columns, schema=fields).filter(pa.array(keep))
+        give_back()
 
     if not others:
 
