@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.llm.common import map_arrow, shared_table, slices
+from declarium.llm.common import give_back, make_room, map_arrow, shared_table, slices
 from declarium.llm.jaccard_join import components
 
 SHINGLE = 3
@@ -33,9 +33,10 @@ DISTANCE = 3
 # Bytes of text, and shingles of a text, worked on at once.
 SLICE_BYTES = 8 << 20
 SHINGLES = 1 << 16
-# Fingerprints dealt at once, and variants that one task holds.
-DEALT = 1 << 15
-TASK_VARIANTS = 2_000_000
+# Fingerprints dealt at once (11 KB each while their variants are made), and variants that one
+# task holds (100 bytes each while they are compared).
+DEALT = 1 << 13
+TASK_VARIANTS = 500_000
 # Segments with more members than this, or than 1 / HOT_SEGMENTS of all, are cut again; so the
 # broadcast list of them has at most HOT_SEGMENTS entries.
 HOT_MEMBERS = 50_000
@@ -143,7 +144,7 @@ def codes_of(fps: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
             masks = THIRDS if variant < WHOLE else HALVES
             for part in range(len(masks) + 1):
                 chosen = every[again] if part else every[~again]
-                places.append(chosen)
+                places.append(chosen.astype(np.int32))
                 codes.append(np.full(len(chosen), (part * 2 + side) * VARIANTS + variant, np.uint16))
     return np.concatenate(places), np.concatenate(codes)
 
@@ -220,6 +221,29 @@ def crowded(classes: DataFrame, total: int, members: int) -> tuple[np.ndarray, n
     return tuple(out)
 
 
+def packed(
+    every: np.ndarray, hot: tuple[np.ndarray, np.ndarray], tasks: int
+) -> Iterator[pa.RecordBatch]:
+    """The variants of all fingerprints by task, DEALT fingerprints at a time."""
+    for begin in range(0, len(every), DEALT):
+        fps = every[begin : begin + DEALT]
+        places, codes = codes_of(fps, hot)
+        fps = fps[places]
+        task = (variant_keys(fps, codes) % np.uint64(tasks)).astype(np.int32)
+        order = np.argsort(task, kind="stable")
+        task, codes, fps = task[order], codes[order], fps[order]
+        edges = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
+        cuts = list(zip(edges, edges[1:]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(task[edges[:-1]]),
+                pa.array([codes[low:high].tobytes() for low, high in cuts], pa.binary()),
+                pa.array([fps[low:high].tobytes() for low, high in cuts], pa.binary()),
+            ],
+            names=["task", "codes", "fps"],
+        )
+
+
 def links(classes: DataFrame, members: int = HOT_MEMBERS) -> DataFrame:
     """Distinct links (a, b), a < b, that join the fingerprints of ``classes`` (fp)."""
     spark = classes.sparkSession
@@ -231,42 +255,32 @@ def links(classes: DataFrame, members: int = HOT_MEMBERS) -> DataFrame:
     )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         held: list[np.ndarray] = []
         for batch in batches:
             held.append(batch.column(0).to_numpy().view(np.uint64))
             if sum(map(len, held)) >= DEALT:
-                yield packed(np.concatenate(held))
+                yield from packed(np.concatenate(held), hot.value, tasks)
                 held = []
         if held:
-            yield packed(np.concatenate(held))
-
-    def packed(fps: np.ndarray) -> pa.RecordBatch:
-        places, codes = codes_of(fps, hot.value)
-        fps = fps[places]
-        task = (variant_keys(fps, codes) % np.uint64(tasks)).astype(np.int32)
-        order = np.argsort(task, kind="stable")
-        task, codes, fps = task[order], codes[order], fps[order]
-        edges = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
-        cuts = list(zip(edges, edges[1:]))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(task[edges[:-1]]),
-                pa.array([codes[low:high].tobytes() for low, high in cuts], pa.binary()),
-                pa.array([fps[low:high].tobytes() for low, high in cuts], pa.binary()),
-            ],
-            names=["task", "codes", "fps"],
-        )
+            yield from packed(np.concatenate(held), hot.value, tasks)
+        held = []
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         codes, fps = [], []
         for batch in batches:
             codes += [np.frombuffer(c, np.uint16) for c in batch.column(0).to_pylist()]
             fps += [np.frombuffer(f, np.uint64) for f in batch.column(1).to_pylist()]
         if fps:
             a, b = linked(np.concatenate(fps), np.concatenate(codes))
+            codes, fps = [], []
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
             )
+            del a, b
+        give_back()
 
     dealt = classes.select("fp").mapInArrow(deal, "task int, codes binary, fps binary")
     met = dealt.repartitionById(tasks, F.col("task")).select("codes", "fps")

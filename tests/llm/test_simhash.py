@@ -106,6 +106,24 @@ def test_all_distances_in_a_crowd(spark):
         assert {fp: root(fp) for fp in fps} == label
 
 
+def test_dealing_many_fingerprints_takes_little_memory():
+    """All variants of all fingerprints reach a task, made for a bounded number of them at once."""
+    import tracemalloc
+
+    fps = np.random.default_rng(2).integers(0, 2**63, 70_000).astype(np.uint64)
+    none = np.empty(0, np.uint64)
+    tracemalloc.start()
+    pairs = 0
+    for batch in simhash.packed(fps, (none, none), 40):
+        sizes = [len(c.as_py()) // 2 for c in batch.column(1)]
+        assert sizes == [len(f.as_py()) // 8 for f in batch.column(2)]
+        pairs += sum(sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == len(fps) * 2 * simhash.VARIANTS
+    assert peak < 160e6
+
+
 def test_rows_without_any_id(make_docs):
     compare(make_docs([(None, "a b c"), (None, "a b c")]), [(None, "a b c"), (None, "a b c")])
 
