@@ -54,6 +54,8 @@ PARITIES = [f"p{i}" for i in range(PARITY_BITS // 64)]
 # Bits of the filter on documents whose shingles are needed again: a fixed size; what passes by
 # chance is dropped by the exact join after it.
 FILTER_BITS = 1 << 26
+# The same of the ids of rows that may go, whose words of 64 bits are joined by broadcast.
+GONE_BITS = 1 << 24
 # Rounds of step 4 with two new centres a shingle, before what is open is paired in full. Rounds
 # end early once there are only a few open pairs for every posting.
 TURNS = 1
@@ -724,12 +726,35 @@ def first_of_groups(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     counts = described.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     unclear = counts.where(F.col("doc_id").isNull() | (F.col("rows") > 1)).select("doc_id")
     unclear = shared_table(unclear, "unclear")
-    plain = docs.join(kept.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # whole rows are shuffled only where their id may not be among those that stay as they are
+    ids = kept.select(F.col("doc").alias("doc_id")).distinct()
+    gone = described.select("doc_id").join(ids, "doc_id", "left_anti").union(unclear)
+    sure, open_rows = parted(docs, gone, "doc_id")
+    plain = sure.unionByName(open_rows.join(ids, "doc_id", "left_semi").join(unclear, "doc_id", "left_anti"))
     if unclear.isEmpty():
         return plain
-    return plain.join(unclear, "doc_id", "left_anti").unionByName(
-        _first_of_unclear(docs, unclear, kept)
+    return plain.unionByName(_first_of_unclear(open_rows, unclear, kept))
+
+
+def parted(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is surely not among ``ids``, and the others: all with such an id or none, and few more.
+
+    A bit set of hashed ids tells in the scan, so no row is shuffled for it.
+    """
+
+    place = F.pmod(F.xxhash64(column), F.lit(GONE_BITS))
+    marked = (
+        ids.where(F.col(column).isNotNull())
+        .select((place / 64).cast("long").alias("_gone_word"), (place % 64).cast("int").alias("bit"))
+        .groupBy("_gone_word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_gone_bits"))
     )
+    marked = F.broadcast(shared_table(marked, "gone"))
+    found = docs.join(marked, (place / 64).cast("long") == F.col("_gone_word"), "left")
+    bit = F.getbit("_gone_bits", place % 64)
+    hit = F.coalesce(bit == 1, F.lit(False)) | F.col(column).isNull()
+    names = [F.col(f"`{name}`") for name in docs.columns]
+    return found.where(~hit).select(names), found.where(hit).select(names)
 
 
 def _first_of_unclear(docs: DataFrame, unclear: DataFrame, kept: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from declarium.llm.common import shared_table
-from declarium.operators.scale import dense_positions
+from declarium.operators.scale import broadcast_if_small, dense_positions
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Weights of the sources in order of name, repeating.
@@ -228,7 +228,8 @@ def mixture(
     totals = sized.groupBy("_source").agg(
         F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")
     )
-    plan = source_quotas(totals, weights, most, block_words)
+    # whole rows need not meet by source: quotas are sent to them, unless there are very many sources
+    plan = broadcast_if_small(shared_table(source_quotas(totals, weights, most, block_words), "quotas"))
     dealt = (
         sized.alias("d")
         .join(plan.alias("p"), F.col("d._source").eqNullSafe(F.col("p._source")))
@@ -249,19 +250,14 @@ def mixture(
         shards.withColumn("weight", F.col("_blocks").cast("double")).withColumn("most", F.col("_blocks") * most),
         "_number", "_shard",
     ).select("_number", "_shard", "_words", "_blocks", F.col("given").alias("_quota"))
-    dealt = dealt.drop("_quota")
-    placed = (
-        dealt.join(quotas, ["_number", "_shard"])
-        .withColumn(
-            "_begin",
-            F.sum("size").over(
-                Window.partitionBy("_number", "_shard")
-                .orderBy("_order", "doc_id")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            - F.col("size"),
-        )
+    # places come first: the join that follows keeps to their shuffle, so whole rows move once
+    begin = F.sum("size").over(
+        Window.partitionBy("_number", "_shard")
+        .orderBy("_order", "doc_id")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    placed = dealt.drop("_quota").withColumn("_begin", begin - F.col("size"))
+    placed = placed.join(quotas, ["_number", "_shard"])
     return placed.select(
         "doc_id", "size", "source_size", "target", taken(seed).alias("taken"), *row
     )

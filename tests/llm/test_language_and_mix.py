@@ -186,6 +186,22 @@ def test_mix(spark, shard_docs):
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
 
 
+def test_whole_rows_are_shuffled_once(spark, make_docs):
+    """Quotas are sent to the rows, and rows meet by shard alone."""
+    import re
+
+    docs = make_docs([(i, f"word {i} " * 9, "en", f"s{i % 5}") for i in range(300)])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixture.mix_documents(docs)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    above = re.findall(r"Exchange hashpartitioning.*\n.*Project \[.*\brow#", plan)
+    assert len(above) == 1 and "_number" in above[0] and "_shard" in above[0]
+
+
 def test_mix_of_odd_rows(make_docs):
     rows = [
         (1, "a b c", "x", None), (2, None, "x", "s"), (3, "", "x", "s"), (4, "w " * 500, "x", "s"),

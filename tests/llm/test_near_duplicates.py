@@ -96,6 +96,29 @@ def test_one_document_of_each_group_stays(make_docs):
     )
 
 
+def test_rows_that_stay_are_not_shuffled(spark, make_docs):
+    """Rows are parted in the scan; only those whose id may be listed are joined by shuffle."""
+    rows = [(i if i % 9 else None, f"text {i}") for i in range(400)] + [(7, "again"), (-3, "x")]
+    docs = make_docs(rows, extra=True).repartition(3)
+    ids = spark.createDataFrame([(7,), (-3,), (64,), (4_000,), (None,)], "doc_id long")
+    sure, others = jaccard_join.parted(docs, ids, "doc_id")
+    assert sure.columns == others.columns == docs.columns
+    # the wanted rows by their own numbers, without the split under test
+    found = sorted(((r.doc_id, r.text) for r in sure.union(others).collect()), key=repr)
+    assert found == sorted(rows, key=repr)
+    kept = {r.doc_id for r in sure.collect()}
+    assert not kept & {7, -3, 64, None} and len(kept) > 300
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stays, _ = jaccard_join.parted(plain, ids, "doc_id")
+    stays.collect()
+    plan = stays._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(doc_id" not in plan
+    whole = jaccard_join.first_of_groups(plain)
+    whole.collect()
+    scans = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("_gone_bits") >= 2
+
+
 def test_near_copies_with_outliers(make_docs):
     """A group of near copies, and outliers around the limit, some of which link to one member alone."""
     chance = random.Random(11)
