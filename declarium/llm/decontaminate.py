@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declarium.llm.common import CACHES, give_back, make_room, map_arrow, shared_table
+from declarium.llm.common import CACHES, give_back, make_room, map_arrow, shared_table, slices
 
 WINDOW = 10
 # Documents with more than this share of hit words are dropped by remove_spans.
@@ -29,6 +29,8 @@ MAX_COVERAGE = 0.5
 # Words of items in one automaton (a few hundred bytes a word in every worker), on average; more
 # items make further automata, each with a scan of its own.
 AUTOMATON_WORDS = 400_000
+# Bytes of text of whole rows that are cut at once.
+SLICE_BYTES = 4 << 20
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # Upper to lower case; every other byte that is not in a word becomes a space.
@@ -345,7 +347,7 @@ def remove_spans(
 
     def clean(batches: Iterator[pa.RecordBatch], ranges_of) -> Iterator[pa.RecordBatch]:
         make_room(__name__)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place, SLICE_BYTES)):
             texts, keep = batch.column(place).to_pylist(), []
             sizes = batch.column(chars).to_pylist() if chars is not None else None
             for i, (text, words, ranges) in enumerate(ranges_of(batch, texts)):

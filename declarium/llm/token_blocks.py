@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from declarium.llm.common import CACHES, make_room, shared_folder, slices
+from declarium.llm.common import CACHES, give_back, make_room, shared_folder, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -42,8 +42,10 @@ PERCENTILE = 95
 SEGMENT_IDS = 1 << 18
 # Bytes of text encoded at once, and words whose ids a worker remembers.
 SLICE_BYTES = 8 << 20
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 JOINED_BYTES = 1 << 16
+# Ids copied at once.
+COPIED_IDS = 1 << 18
 # Printable ASCII, line breaks and Latin letters.
 PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ɏ]*")
 HEADER = struct.Struct("<IHBH")
@@ -118,12 +120,19 @@ def read_block(starts: bytes, payload: bytes, block: int) -> np.ndarray:
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Pieces of ``data``, one after the other."""
-    ends = np.cumsum(sizes)
+    """Pieces of ``data``, one after the other; copied run by run, as places take more than ids."""
+    ends = np.cumsum(sizes, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    places = np.repeat(starts - (ends - sizes), sizes)
-    places += np.arange(total)
-    return data[places]
+    found = np.empty(total, data.dtype)
+    cut = np.searchsorted(ends, np.arange(COPIED_IDS, total, COPIED_IDS), side="right")
+    edges = np.unique([0, *cut.tolist(), len(sizes)]).tolist()
+    for low, high in zip(edges, edges[1:]):
+        first, last = int(ends[low - 1]) if low else 0, int(ends[high - 1])
+        own = sizes[low:high]
+        places = np.repeat(starts[low:high] - (ends[low:high] - own), own)
+        places += np.arange(first, last)
+        found[first:last] = data[places]
+    return found
 
 
 class Encoder:
@@ -230,27 +239,31 @@ class Encoder:
             "\n" + t.replace("\n", " \n") if t and i not in others else ""
             for i, t in enumerate(listed)
         ]
-        split = pc.split_pattern(pa.array(marked, pa.string()), " ")
+        # each form of the texts goes when the next one is made
+        del listed
+        marked = pa.array(marked, pa.string())
+        split = pc.split_pattern(marked, " ")
+        del marked
         coded = split.values.dictionary_encode()
-        firsts = split.offsets.to_numpy()[:-1]
-        codes = coded.indices.to_numpy().astype(np.int64)
-        names = coded.dictionary
+        firsts = split.offsets.to_numpy()[:-1].copy()
+        del split
+        codes, names = coded.indices.to_numpy(), coded.dictionary
         data, sizes = self.words(pc.if_else(pc.equal(names, ""), "\n", names))
-        from_ = np.cumsum(sizes) - sizes
-        begins, lengths = from_[codes], sizes[codes]
+        found = [self.whole(text) for text in others.values()]
+        held = len(data) + sum(map(len, found))
+        kind = np.int32 if held < 1 << 31 else np.int64
+        begins, lengths = (np.cumsum(sizes) - sizes).astype(kind)[codes], sizes.astype(kind)[codes]
         # the line break put before the first word goes; other texts are one such part
         begins[firsts] += 1
         lengths[firsts] -= 1
-        pieces = [data]
-        held = len(data)
-        for i, text in others.items():
-            pieces.append(self.whole(text))
-            begins[firsts[i]], lengths[firsts[i]] = held, len(pieces[-1])
-            held += len(pieces[-1])
-        pieces.append(np.array([END_ID], "<u4"))
+        own = np.array([len(ids) for ids in found], np.int64)
+        first = firsts[list(others)]
+        begins[first], lengths[first] = len(data) + np.cumsum(own) - own, own
         places = np.append(firsts[1:], len(codes))
+        del coded, codes, names
         begins, lengths = np.insert(begins, places, held), np.insert(lengths, places, 1)
-        ids = gathered(np.concatenate(pieces), begins, lengths)
+        data = np.concatenate([data, *found, np.array([END_ID], "<u4")])
+        ids = gathered(data, begins, lengths)
         ends = np.cumsum(lengths)[places + np.arange(len(places))]
         return ids, np.diff(ends, prepend=0)
 
@@ -323,8 +336,11 @@ def _segments(path: str | None, id_column: str, text_column: str):
                         yield close()
                         segment, first = segment + 1, first + held
                         doc_ids, lengths, pieces, held = [], [], [], 0
+            batch = rows = ids = None  # before the next one is read
         if doc_ids:
             yield close()
+        doc_ids, lengths, pieces = [], [], []
+        give_back()
 
     return run
 

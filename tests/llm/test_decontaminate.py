@@ -127,3 +127,17 @@ def test_overlapping_hits_of_several_parts(spark, make_docs):
     one = sorted(map(repr, decontaminate.contamination(docs, items).collect()))
     many = sorted(map(repr, decontaminate.contamination(docs, items, part_words=15).collect()))
     assert one == many and len(one) == 4
+
+
+def test_rows_are_cut_in_slices_of_their_batches(spark, make_docs, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(i, f"{'a ' * (i % 7)}{passage} {'b ' * 30}" if i % 3 else "c " * (i % 5)) for i in range(90)]
+    rows += [(90, None), (91, ""), (None, passage)]
+    docs = make_docs(rows, extra=True).coalesce(1)
+    kept = sorted(map(str, decontaminate.remove_spans(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 100)
+    assert sorted(map(str, decontaminate.remove_spans(docs, items).collect())) == kept
+    assert len(kept) == 92 and not any("w3" in row for row in kept)
+    parts = docs.select("doc_id", "text").toArrow().combine_chunks().to_batches()
+    assert sum(1 for batch in parts for _ in decontaminate.slices(batch, 1, 100)) > 10

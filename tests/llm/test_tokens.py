@@ -1,9 +1,11 @@
 """Token files and counts against the libraries on whole texts."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -104,3 +106,36 @@ def test_outliers_do_not_widen_blocks():
     ids = np.full(1000, 7, "<u4")
     ids[::100] = 4_000_000_000
     assert len(token_blocks.pack_block(ids)) < 100
+
+
+def test_pieces_are_copied_with_little_memory_beside_them():
+    data = np.arange(1_000, dtype="<u4")
+    starts, sizes = np.tile([3, 990, 7, 0], 1_500), np.tile([900, 10, 0, 1_000], 1_500)
+    expected = np.concatenate([data[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist())])
+    tracemalloc.start()
+    found = token_blocks.gathered(data, starts, sizes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.dtype == data.dtype and (found == expected).all()
+    assert most < 2 * found.nbytes
+    none = np.empty(0, np.int64)
+    assert len(token_blocks.gathered(data, none, none)) == 0
+    assert token_blocks.gathered(data, np.array([5, 9]), np.array([0, 0])).tolist() == []
+
+
+def test_slices_of_texts_take_bounded_memory(bpe):
+    """Ids of 8 MB of common words, with odd texts among them."""
+    line = "the quick brown fox jumps over a lazy dog, and 12 more. " * 40
+    texts = [line.strip() + f" end{i}" for i in range(3_700)]
+    texts[5], texts[77], texts[3_000] = None, "a  b <|endoftext|>", "中文 字 符"
+    encoder = token_blocks.Encoder(public_tokenizers.path(token_blocks.TOKENIZER))
+    column = pa.array(texts)
+    tracemalloc.start()
+    ids, sizes = encoder.ids(column)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ends = np.cumsum(sizes)
+    for i in (0, 5, 6, 77, 78, 3_000, 3_001, 3_699):
+        own = ids[ends[i] - sizes[i] : ends[i]].tolist()
+        assert own == [*bpe.encode(texts[i] or "", add_special_tokens=False).ids, 0]
+    assert most < 9 * column.nbytes
