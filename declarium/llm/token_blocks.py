@@ -23,6 +23,7 @@ import string
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -44,6 +45,7 @@ SEGMENT_IDS = 1 << 18
 SLICE_BYTES = 8 << 20
 REMEMBERED = 500_000
 JOINED_BYTES = 1 << 16
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Ids copied at once.
 COPIED_IDS = 1 << 18
 # Printable ASCII, line breaks and Latin letters.
@@ -345,6 +347,22 @@ def _segments(path: str | None, id_column: str, text_column: str):
     return run
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes while this lasts, unless the session sets their size.
+
+    A batch stands in the JVM, in a buffer of up to twice its size, and in Python.
+    """
+    before = spark.conf.get(BATCH_BYTES, None)
+    if before is None:
+        spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -356,13 +374,14 @@ def write_tokens(
 
     Null and empty texts hold the end id alone. Rows without an id come first; rows with equal
     ids are ordered by text. Only the id and the text are read and shuffled, once, by ranges of
-    the id; encoding happens after the shuffle, so ids move nowhere but into the files.
+    the id; encoding happens after the shuffle, so ids move nowhere but into the files. Texts go to
+    Python in batches of about SLICE_BYTES, unless the session sets their size.
     """
     ordered = docs.select(F.col(id_column).cast("long"), F.col(text_column))
     ordered = ordered.repartitionByRange(id_column).sortWithinPartitions(id_column, text_column)
-    ordered.mapInArrow(_segments(tokenizer, id_column, text_column), SEGMENT_SCHEMA).write.parquet(
-        path
-    )
+    coded = ordered.mapInArrow(_segments(tokenizer, id_column, text_column), SEGMENT_SCHEMA)
+    with batches_of(docs.sparkSession, SLICE_BYTES):
+        coded.write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

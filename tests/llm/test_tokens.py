@@ -139,3 +139,17 @@ def test_slices_of_texts_take_bounded_memory(bpe):
         own = ids[ends[i] - sizes[i] : ends[i]].tolist()
         assert own == [*bpe.encode(texts[i] or "", add_special_tokens=False).ids, 0]
     assert most < 9 * column.nbytes
+
+
+def test_batches_of_texts_are_bounded_while_tokens_are_written(spark, make_docs):
+    docs = make_docs([(i, "word " * 200) for i in range(400)]).coalesce(1).select("doc_id", "text")
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(token_blocks.BATCH_BYTES, None)
+    with token_blocks.batches_of(spark, 50_000):
+        found = [r.n for r in docs.mapInArrow(rows, "n long").collect()]
+    assert sum(found) == 400 and max(found) < 200
+    assert spark.conf.get(token_blocks.BATCH_BYTES, None) == before
