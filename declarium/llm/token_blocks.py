@@ -22,9 +22,8 @@ import re
 import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +40,14 @@ BLOCK = 1024
 PERCENTILE = 95
 # Ids after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 18
-# Bytes of text encoded at once, and words whose ids a worker remembers.
+# Bytes of text encoded at once, and words and their bytes whose ids a worker remembers.
 SLICE_BYTES = 8 << 20
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+REMEMBERED_BYTES = 64 << 20
 JOINED_BYTES = 1 << 16
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Blocks packed or unpacked at once.
+BLOCKS = 64
 # Ids copied at once.
 COPIED_IDS = 1 << 18
 # Printable ASCII, line breaks and Latin letters.
@@ -63,53 +65,93 @@ _loaded: dict[str, "Encoder"] = CACHES.setdefault(__name__, {})
 # -- blocks ---------------------------------------------------------------------------------
 
 
+def pack_blocks(values: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
+    """Blocks of equally many, at most 65,535, unsigned 32-bit values: one of each row."""
+    values = values.astype(np.uint32, copy=False)
+    count = values.shape[1]
+    lows = values.min(axis=1)
+    rest = values - lows[:, None]
+    place = -(-(count - 1) * percentile // 100)
+    # the exponent of a whole number is its bit length
+    widths = np.frexp(np.partition(rest, place, axis=1)[:, place].astype(float))[1]
+    over = rest >> widths[:, None].astype(np.uint64) != 0
+    kept = np.where(over, np.uint32(0), rest)
+    blocks = [b""] * len(values)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        if width == 16:  # the same bytes as below, faster
+            packed = kept[rows].astype("<u2").view(np.uint8)
+        else:
+            bits = np.unpackbits(
+                kept[rows].astype("<u4", copy=False).view(np.uint8).reshape(-1, 4),
+                axis=1, count=width, bitorder="little",
+            )
+            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        for row, held in zip(rows.tolist(), packed):
+            places = np.flatnonzero(over[row])
+            blocks[row] = b"".join((
+                HEADER.pack(lows[row], count, width, len(places)), held.tobytes(),
+                places.astype("<u2").tobytes(), rest[row, places].astype("<u4").tobytes(),
+            ))
+    return blocks
+
+
 def pack_block(values: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     """One block of at most 65,535 unsigned 32-bit values."""
-    low = int(values.min())
-    rest = (values.astype(np.uint32) - np.uint32(low)).astype(np.uint32)
-    place = -(-(len(rest) - 1) * percentile // 100)
-    width = int(np.partition(rest, place)[place]).bit_length()
-    places = np.flatnonzero(rest >> np.uint64(width)) if width < 32 else np.empty(0, np.int64)
-    header = HEADER.pack(low, len(values), width, len(places))
-    kept = rest.copy()
-    kept[places] = 0
-    if width == 16:  # the same bytes as below, faster
-        packed = kept.astype("<u2").tobytes()
-    elif width:
-        bits = np.unpackbits(kept.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-        packed = np.packbits(bits[:, :width].ravel(), bitorder="little").tobytes()
-    else:
-        packed = b""
-    return header + packed + places.astype("<u2").tobytes() + rest[places].astype("<u4").tobytes()
+    return pack_blocks(np.asarray(values)[None], percentile)[0]
+
+
+def unpack_blocks(data: bytes, starts: list[int]) -> list[np.ndarray]:
+    """The blocks at these offsets; those of one size and width together."""
+    found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(starts)
+    alike: dict[tuple[int, int], list[int]] = {}
+    headers = [HEADER.unpack_from(data, start) for start in starts]
+    for i, (_, count, width, _) in enumerate(headers):
+        alike.setdefault((count, width), []).append(i)
+    for (count, width), members in alike.items():
+        size = (count * width + 7) // 8
+        begins = [starts[i] + HEADER.size for i in members]
+        packed = np.stack([np.frombuffer(data, np.uint8, size, begin) for begin in begins])
+        if width == 16:
+            values = packed.view("<u2").astype("<u4")
+        else:
+            bits = np.unpackbits(packed, axis=1, count=count * width, bitorder="little")
+            rest = np.zeros((len(members), count, 32), np.uint8)
+            rest[:, :, :width] = bits.reshape(len(members), count, width)
+            values = np.packbits(rest, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        for i, begin, own in zip(members, begins, values):
+            low, _, _, exceptions = headers[i]
+            places = np.frombuffer(data, "<u2", exceptions, begin + size)
+            own[places] = np.frombuffer(data, "<u4", exceptions, begin + size + 2 * exceptions)
+            found[i] = own + np.uint32(low)
+    return found
 
 
 def unpack_block(data: bytes, start: int = 0) -> np.ndarray:
-    low, count, width, exceptions = HEADER.unpack_from(data, start)
-    start += HEADER.size
-    size = (count * width + 7) // 8
-    if width == 16:
-        values = np.frombuffer(data, "<u2", count, start).astype("<u4")
-    else:
-        rest = np.zeros((count, 32), np.uint8)
-        packed = np.frombuffer(data, np.uint8, size, start)
-        bits = np.unpackbits(packed, count=count * width, bitorder="little")
-        rest[:, :width] = bits.reshape(count, width)
-        values = np.packbits(rest, axis=1, bitorder="little").view("<u4").ravel().copy()
-    start += size
-    places = np.frombuffer(data, "<u2", exceptions, start)
-    values[places] = np.frombuffer(data, "<u4", exceptions, start + 2 * exceptions)
-    return values + np.uint32(low)
+    return unpack_blocks(data, [start])[0]
+
+
+def runs(count: int) -> Iterator[tuple[int, int]]:
+    """Places of so many blocks, some at a time."""
+    return ((i, min(i + BLOCKS, count)) for i in range(0, count, BLOCKS))
 
 
 def pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     """Block index and payload."""
-    blocks = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    full = len(ids) // BLOCK
+    even = ids[: full * BLOCK].reshape(full, BLOCK)
+    blocks = [block for low, high in runs(full) for block in pack_blocks(even[low:high])]
+    if len(ids) > full * BLOCK:
+        blocks.append(pack_block(ids[full * BLOCK :]))
     starts = np.cumsum([0, *map(len, blocks[:-1])]) if blocks else np.empty(0)
     return starts.astype("<u4").tobytes(), b"".join(blocks)
 
 
 def unpack_ids(starts: bytes, payload: bytes) -> np.ndarray:
-    found = [unpack_block(payload, int(s)) for s in np.frombuffer(starts, "<u4")]
+    places = np.frombuffer(starts, "<u4").tolist()
+    found = [
+        block for low, high in runs(len(places)) for block in unpack_blocks(payload, places[low:high])
+    ]
     return np.concatenate(found) if found else np.empty(0, np.uint32)
 
 
@@ -137,6 +179,56 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return found
 
 
+def pieces_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes of each word end, and the bytes of all."""
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.uint8)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    held = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return ends[1:].astype(np.int64) - ends[0], held[ends[0] : ends[-1]]
+
+
+class Known:
+    """Words and their ids, in few arrays: a word takes little more than its bytes and ids."""
+
+    def __init__(self):
+        self.names = pa.array([], pa.string())
+        # where the ids of each word stand in ``data``
+        self.data, self.starts, self.sizes = (np.empty(0, k) for k in ("<u4", np.int64, np.int64))
+        self.used = np.empty(0, bool)
+
+    def add(self, names: pa.Array, data: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.data) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.data = np.concatenate([self.data, *data])
+        self.names = pa.concat_arrays([self.names, names])
+        self.used = np.concatenate([self.used, np.ones(len(names), bool)])
+
+    def forget(self) -> None:
+        """Keep the words that the last batches used."""
+        kept = np.flatnonzero(self.used)
+        self.data = gathered(self.data, self.starts[kept], self.sizes[kept])
+        self.sizes = self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.names = self.names.take(pa.array(kept))
+        self.used = np.zeros(len(kept), bool)
+
+    def find(self, wanted: pa.Array, learn: Callable[[pa.Array], None]) -> np.ndarray:
+        """Places of words; ``learn`` gets the distinct ones that are not known, and adds them."""
+        if len(self.names) > REMEMBERED or self.names.nbytes > REMEMBERED_BYTES:
+            self.forget()
+        at = pc.fill_null(pc.index_in(wanted, value_set=self.names), -1).to_numpy().copy()
+        missing = at < 0
+        if missing.any():
+            before = len(self.names)
+            new = wanted.filter(pa.array(missing)).dictionary_encode()
+            learn(new.dictionary)
+            at[missing] = new.indices.to_numpy() + before
+        self.used[at] = True
+        return at
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -158,79 +250,58 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)  # one character a byte
-        # known words by number, and where the ids of each stand in ``data``; tails behind a NUL
-        self.known: dict[str, int] = {}
-        self.data, self.starts, self.sizes = (np.empty(0, k) for k in ("<u4", np.int64, np.int64))
-        self.used = np.empty(0, bool)
+        self.stems, self.tails = Known(), Known()
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        # of the library's calls the one that keeps no offsets
+        (coded,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(coded.ids, "<u4")
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: pa.Array) -> None:
         """Ids of words as they are after a space, or with their line break before them."""
-        parts = [w if w[:1] == "\n" else " " + w for w in words]
-        sizes = pc.binary_length(pa.array(parts, pa.string())).to_numpy().astype(np.int64)
-        chunk = np.cumsum(sizes) // JOINED_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(parts)]
+        parts = pc.if_else(
+            pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(" ", words, "")
+        )
+        ends, joined = pieces_of(parts)
+        sizes = np.diff(ends, prepend=0)
+        edges = [0, *(np.flatnonzero(np.diff(ends // JOINED_BYTES)) + 1).tolist(), len(parts)]
         found, lengths = [], []
         for low, high in zip(edges, edges[1:]):
-            ids = self.whole("".join(parts[low:high]))
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[low:high])) + 1
+            text = joined[ends[low] - sizes[low] : ends[high - 1]].tobytes().decode()
+            ids = self.whole(text)
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[low:high])) + 1
             found.append(ids)
-            lengths.append(np.diff(ends, prepend=0))
-        self.add(words, found, np.concatenate(lengths))
+            lengths.append(np.diff(last, prepend=0))
+        self.stems.add(words, found, np.concatenate(lengths))
 
-    def add(self, words: list[str], found: list[np.ndarray], lengths: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.data) + np.cumsum(lengths) - lengths])
-        self.sizes = np.concatenate([self.sizes, lengths])
-        self.data = np.concatenate([self.data, *found])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.used = np.concatenate([self.used, np.ones(len(words), bool)])
-
-    def forget(self) -> None:
-        """Keep the words that the last batches used."""
-        kept = np.flatnonzero(self.used)
-        self.data = gathered(self.data, self.starts[kept], self.sizes[kept])
-        self.sizes = self.sizes[kept]
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        words = np.array(list(self.known), object)[kept]
-        self.known = dict(zip(words.tolist(), range(len(kept))))
-        self.used = np.zeros(len(kept), bool)
+    def learn_tails(self, tails: pa.Array) -> None:
+        found = [self.whole(tail) for tail in tails.to_pylist()]
+        self.tails.add(tails, found, np.array([len(ids) for ids in found]))
 
     def words(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, one after the other, and how many each has."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
         # punctuation behind a letter is encoded alone
         bare = pc.utf8_rtrim(wanted, characters=PUNCTUATION)
         plain = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, -1))
         stems = pc.if_else(plain, bare, wanted)
-        listed = stems.to_pylist()
-        at = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = [listed[i] for i in missing.tolist()]
-            self.learn(list(dict.fromkeys(new)))
-            at[missing] = [self.known[word] for word in new]
-        self.used[at] = True
-        starts, sizes = self.starts[at], self.sizes[at]
-        tailed = np.flatnonzero(
-            pc.binary_length(stems).to_numpy() < pc.binary_length(wanted).to_numpy()
-        )
+        at = self.stems.find(stems, self.learn)
+        starts, sizes = self.stems.starts[at], self.stems.sizes[at]
+        ends, data = pieces_of(wanted)
+        behind = np.diff(ends, prepend=0) - pc.binary_length(stems).to_numpy()
+        tailed = np.flatnonzero(behind)
         if not len(tailed):
-            return gathered(self.data, starts, sizes), sizes
-        words = wanted.take(pa.array(tailed)).to_pylist()
-        ends = ["\0" + word[len(listed[i]) :] for word, i in zip(words, tailed.tolist())]
-        new = sorted(set(ends) - self.known.keys())
-        if new:
-            found = [self.whole(end[1:]) for end in new]
-            self.add(new, found, np.array([len(ids) for ids in found]))
-        tails = np.fromiter(map(self.known.__getitem__, ends), np.int64, len(ends))
-        self.used[tails] = True
-        behind, lengths = np.zeros((2, len(sizes)), np.int64)
-        behind[tailed], lengths[tailed] = self.starts[tails], self.sizes[tails]
-        both = np.stack([starts, behind], axis=1).ravel(), np.stack([sizes, lengths], axis=1).ravel()
-        return gathered(self.data, *both), sizes + lengths
+            return gathered(self.stems.data, starts, sizes), sizes
+        behind = behind[tailed]
+        tails = gathered(data, ends[tailed] - behind, behind)
+        offsets = np.cumsum([0, *behind], dtype=np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(tails)]
+        at = self.tails.find(pa.Array.from_buffers(pa.string(), len(tailed), buffers), self.learn_tails)
+        after, lengths = np.zeros((2, len(sizes)), np.int64)
+        after[tailed] = self.tails.starts[at] + len(self.stems.data)
+        lengths[tailed] = self.tails.sizes[at]
+        both = np.stack([starts, after], axis=1).ravel(), np.stack([sizes, lengths], axis=1).ravel()
+        known = np.concatenate([self.stems.data, self.tails.data])
+        return gathered(known, *both), sizes + lengths
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; ids of each."""

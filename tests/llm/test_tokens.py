@@ -153,3 +153,61 @@ def test_batches_of_texts_are_bounded_while_tokens_are_written(spark, make_docs)
         found = [r.n for r in docs.mapInArrow(rows, "n long").collect()]
     assert sum(found) == 400 and max(found) < 200
     assert spark.conf.get(token_blocks.BATCH_BYTES, None) == before
+
+
+def test_blocks_are_packed_and_unpacked_together(monkeypatch):
+    """Not one by one in Python: 300 blocks of several widths, with exceptions, and a short one."""
+    draw = np.random.default_rng(1)
+    rows = [draw.integers(0, 1 << (i % 33), token_blocks.BLOCK, np.uint32) for i in range(300)]
+    for row in rows:
+        row[draw.integers(0, len(row), 20)] = draw.integers(0, 1 << 32, 20, np.uint32)
+    ids = np.concatenate([*rows, np.arange(100, dtype=np.uint32)])
+    calls, bits = [], []
+    partition, unpackbits = np.partition, np.unpackbits
+    monkeypatch.setattr(np, "partition", lambda *a, **k: calls.append(1) or partition(*a, **k))
+    starts, payload = token_blocks.pack_ids(ids)
+    assert len(calls) < 10
+    monkeypatch.setattr(np, "unpackbits", lambda *a, **k: bits.append(1) or unpackbits(*a, **k))
+    assert (token_blocks.unpack_ids(starts, payload) == ids).all()
+    assert len(bits) < 200
+    alone = [token_blocks.pack_block(ids[i : i + 1024]) for i in range(0, len(ids), 1024)]
+    assert b"".join(alone) == payload
+    assert (token_blocks.read_block(starts, payload, 299) == rows[299]).all()
+
+
+def test_distinct_words_are_no_python_objects():
+    """A hundred thousand new words, with and without punctuation behind them."""
+    texts = [" ".join(f"w{chr(97 + i % 26)}{i:x}q{'.,!'[i % 3]} " f"v{i:o}x" for i in range(k, k + 100))
+             for k in range(0, 50_000, 100)]
+    encoder = token_blocks.Encoder(public_tokenizers.path(token_blocks.TOKENIZER))
+    column = pa.array(texts)
+    tracemalloc.start()
+    encoder.ids(column)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 60 * 100_000
+
+
+@pytest.mark.parametrize("limit", ["REMEMBERED", "REMEMBERED_BYTES"])
+def test_forgotten_words_are_learned_again(monkeypatch, bpe, limit):
+    monkeypatch.setattr(token_blocks, limit, 20)
+    encoder = token_blocks.Encoder(public_tokenizers.path(token_blocks.TOKENIZER))
+    texts = [
+        f"Word{i}s. and thing{i % 7}, the\nline{i} éa!!! {'?' * (i % 5)} x{'!' * (i % 40)} (a{i}b)"
+        for i in range(60)
+    ]
+    for low in (0, 20, 0, 40, 10):
+        own = texts[low : low + 20] + [None, "", "odd  <|endoftext|>"]
+        ids, sizes = encoder.ids(pa.array(own))
+        ends = np.cumsum(sizes)
+        for text, end, size in zip(own, ends, sizes):
+            whole = [*bpe.encode(text or "", add_special_tokens=False).ids, 0]
+            assert ids[end - size : end].tolist() == whole
+        assert len(encoder.stems.names) < 400
+
+
+def test_texts_without_words_hold_the_end_id():
+    encoder = token_blocks.Encoder(public_tokenizers.path(token_blocks.TOKENIZER))
+    for texts in ([None], [""], ["", None]):
+        ids, sizes = encoder.ids(pa.array(texts, pa.string()))
+        assert ids.tolist() == [token_blocks.END_ID] * len(texts) and sizes.tolist() == [1] * len(texts)
